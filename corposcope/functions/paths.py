@@ -89,14 +89,22 @@ def document_type(path: Column | str) -> Column:
     )
 
 
-def is_excluded(path: Column | str) -> Column:
-    """A component names an excluded directory, or the file is a temporary one."""
-    p = F.replace(col(path), F.lit("\\"), F.lit("/"))
+def _component_pattern() -> str:
     names = "|".join(java_quote(n) for n in EXCLUDED_COMPONENTS)
     prefixes = "|".join(java_quote(n) + "[^/]*" for n in EXCLUDED_PREFIXES)
-    component = f"(?:^|/)(?:{names}|{prefixes})(?:/|$)"
+    return f"(?:^|/)(?:{names}|{prefixes})(?:/|$)"
+
+
+def is_excluded_dir(path: Column | str) -> Column:
+    """Some component of the path names an excluded directory."""
+    return F.rlike(F.replace(col(path), F.lit("\\"), F.lit("/")), F.lit(_component_pattern()))
+
+
+def is_excluded(path: Column | str) -> Column:
+    """An excluded component, or the name of a temporary file."""
+    p = F.replace(col(path), F.lit("\\"), F.lit("/"))
     marker = java_quote(TEMP_MARKER) + "[^/]*$"
-    return F.rlike(p, F.lit(f"{component}|{marker}"))
+    return F.rlike(p, F.lit(f"{_component_pattern()}|{marker}"))
 
 
 def normalize_path(path: str) -> str:

@@ -104,9 +104,10 @@ def running_offsets(items: str, before: str, width: str) -> str:
     ``aggregate`` copies boxed elements at every step.
     """
     return (
-        f"cast(split(rtrim(aggregate({items}, named_struct('out', '', 'at', 0), "
+        f"aggregate({items}, named_struct('out', '', 'at', 0), "
         f"(acc, x) -> named_struct('out', concat(acc.out, cast(acc.at + {before} AS string), ' '), "
-        f"'at', acc.at + {before} + {width})).out), ' ') AS array<int>)"
+        f"'at', acc.at + {before} + {width}), "
+        "acc -> if(acc.out = '', cast(array() AS array<int>), cast(split(rtrim(acc.out), ' ') AS array<int>)))"
     )
 
 

@@ -43,24 +43,26 @@ def document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` as files named by URL without scheme."""
-    df = read_table(spark, sf_dir, "pages", ["url", "html"])
-    return df.select(page_path(F.col("url")).alias("path"), F.col("html").alias("content"))
+    """``pages`` as files named by URL and page id."""
+    df = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return df.select(page_path(F.col("url"), F.col("page_id")).alias("path"), F.col("html").alias("content"))
 
 
-def page_path(url: Column) -> Column:
-    return F.regexp_replace(url, r"^[a-z]+://", "")
+def page_path(url: Column, page_id: Column) -> Column:
+    host = F.regexp_replace(url, r"^[a-z]+://", "")
+    return F.concat(host, F.lit("/page_"), page_id.cast("string"), F.lit(".html"))
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a change log: one mutation row per event."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    path = F.concat(
+        F.lit("user/"), F.col("user_id").cast("string"), F.lit("/v"),
+        F.floor("value").cast("string"), F.lit(".log"),
+    )
     return df.select(
-        F.col("event_id").alias("generation"),
-        F.concat(F.lit("user/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit(".log")).alias("path"),
-        F.col("event_type").alias("source"),
-        F.col("ts").alias("timestamp"),
-        F.col("value"),
+        F.col("event_id").alias("generation"), path.alias("path"), F.col("event_type").alias("source"),
+        F.col("ts").alias("timestamp"), "value", "user_id",
     )
 
 
