@@ -138,9 +138,9 @@ def find_file_substring(spark, sf):
 
 
 @query("find_file_glob", with_ctes(CORPUS) + """SELECT path, 'glob' AS match_type, 1.0::DOUBLE AS score, 'filename_match' AS reason
-FROM corpus WHERE regexp_full_match(path, '(?i).*s/src1.*doc_.7\\.py') ORDER BY path LIMIT 100""")
+FROM corpus WHERE regexp_full_match(path, '(?i).*s/src.*doc_.6\\.py') ORDER BY path LIMIT 100""")
 def find_file_glob(spark, sf):
-    return index.find_file(corpus.document_paths(spark, sf), "*S/src1*doc_?7.py", max_results=100)
+    return index.find_file(corpus.document_paths(spark, sf), "*S/src*doc_?6.py", max_results=100)
 
 
 @query("find_file_scoped_cs", with_ctes(CORPUS) + """SELECT path, 'substring' AS match_type, 1.0::DOUBLE AS score, 'filename_match' AS reason

@@ -119,8 +119,8 @@ def reference_ctes(name: str, context: int, scope: str) -> list[str]:
         "island AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY start_byte) AS g FROM opened)",
         "chunked AS (SELECT *, (row_number() OVER (PARTITION BY path, g ORDER BY start_byte) - 1) // 3 AS c FROM island)",
         """refs AS (SELECT path, min(line) AS line, min(s) AS start_line, max(e) AS end_line, count(*) AS occurrences, arg_min(coalesce(enclosing, ''), start_byte) AS enclosing_symbol,
-            string_agg(line || ':' || col::BIGINT || ':' || start_byte::BIGINT, ' ' ORDER BY start_byte) AS positions, min(start_byte) AS at FROM chunked GROUP BY path, g, c)""",
-        "turned AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, at) - 1 AS turn FROM refs)",
+            string_agg(line || ':' || col::BIGINT || ':' || start_byte::BIGINT, ' ' ORDER BY start_byte) AS positions, min(start_byte) AS first_byte FROM chunked GROUP BY path, g, c)""",
+        "turned AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, first_byte) - 1 AS turn FROM refs)",
     ]
 
 

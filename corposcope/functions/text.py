@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def pin(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once and kept out of the generated
+    code of its uses (a one-element transform)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def java_quote(text: str) -> str:
     """Escape ``text`` so that a Java regex matches it literally."""
     return _JAVA_META.sub(r"\\\1", text)
@@ -118,27 +125,34 @@ def line_starts(raw_lines: str) -> str:
 
 def line_ending(c: Column | str) -> Column:
     """none / crlf / lf / mixed; a CR without LF makes the text mixed."""
-    c = col(c)
-    n = F.octet_length(c)
-    crlf = ((n - F.octet_length(F.replace(c, F.lit("\r\n"), F.lit("")))) / 2).cast("int")
-    lf = n - F.octet_length(F.replace(c, F.lit("\n"), F.lit(""))) - crlf
-    cr = n - F.octet_length(F.replace(c, F.lit("\r"), F.lit(""))) - crlf
-    return (
-        F.when((crlf == 0) & (lf == 0) & (cr == 0), "none")
-        .when((lf == 0) & (cr == 0), "crlf")
-        .when((crlf == 0) & (cr == 0), "lf")
-        .otherwise("mixed")
-    )
+
+    def label(t: Column) -> Column:
+        n = F.octet_length(t)
+        pairs = n - F.octet_length(F.replace(t, F.lit("\r\n"), F.lit("\r")))
+        lf = n - F.octet_length(F.replace(t, F.lit("\n"), F.lit("")))
+        cr = n - F.octet_length(F.replace(t, F.lit("\r"), F.lit("")))
+        return (
+            F.when((lf == 0) & (cr == 0), "none")
+            .when((lf == pairs) & (cr == pairs), "crlf")
+            .when(cr == 0, "lf")
+            .otherwise("mixed")
+        )
+
+    return pin(col(c), label)
 
 
 def to_line_ending(text: Column, label: Column) -> Column:
     """Rewrite the line ends of ``text`` to those named by ``label``."""
-    lf = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return (
-        F.when(label == "crlf", F.replace(lf, F.lit("\n"), F.lit("\r\n")))
-        .when(label == "lf", lf)
-        .otherwise(text)
-    )
+
+    def rewrite(x: Column) -> Column:
+        lf = F.replace(F.replace(x["text"], F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+        return (
+            F.when(x["label"] == "crlf", F.replace(lf, F.lit("\n"), F.lit("\r\n")))
+            .when(x["label"] == "lf", lf)
+            .otherwise(x["text"])
+        )
+
+    return pin(F.struct(text.alias("text"), label.alias("label")), rewrite)
 
 
 def keep_terminal_newline(selected: Column, replacement: Column) -> Column:
@@ -154,16 +168,18 @@ def keep_terminal_newline(selected: Column, replacement: Column) -> Column:
 def char_boundary(utf8: Column, index: Column) -> Column:
     """Largest character boundary <= ``index`` in UTF-8 bytes ``utf8``."""
 
-    def continuation(i: Column) -> Column:
-        return F.hex(F.substring(utf8, i + F.lit(1), F.lit(1))).between("80", "BF")
+    def boundary(x: Column) -> Column:
+        u, i = x["u"], x["i"]
 
-    back = (
-        F.when(~continuation(index), 0)
-        .when(~continuation(index - 1), 1)
-        .when(~continuation(index - 2), 2)
-        .otherwise(3)
-    )
-    return F.when(index <= 0, F.lit(0)).when(index >= F.octet_length(utf8), F.octet_length(utf8)).otherwise(index - back)
+        def continuation(j: Column) -> Column:
+            return F.hex(F.substring(u, j + F.lit(1), F.lit(1))).between("80", "BF")
+
+        back = (
+            F.when(~continuation(i), 0).when(~continuation(i - 1), 1).when(~continuation(i - 2), 2).otherwise(3)
+        )
+        return F.when(i <= 0, F.lit(0)).when(i >= F.octet_length(u), F.octet_length(u)).otherwise(i - back)
+
+    return pin(F.struct(utf8.alias("u"), index.cast("int").alias("i")), boundary)
 
 
 def byte_slice(utf8: Column, start: Column, end: Column) -> Column:

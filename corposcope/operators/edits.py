@@ -33,7 +33,14 @@ def matching_needle(content: Column, selected: Column, old: Column, expected: Co
     """The form of ``old`` to look for: with the file's own line ends when that
     form occurs exactly as often as expected, else as given."""
     adapted = text.to_line_ending(old, text.line_ending(content))
-    return F.when((adapted != old) & (text.count_literal(selected, adapted) == expected), adapted).otherwise(old)
+
+    def pick(x: Column) -> Column:
+        fits = text.count_literal(x["selected"], x["adapted"]) == x["expected"]
+        return F.when((x["adapted"] != x["old"]) & fits, x["adapted"]).otherwise(x["old"])
+
+    return text.pin(
+        F.struct(selected.alias("selected"), old.alias("old"), adapted.alias("adapted"), expected.alias("expected")), pick
+    )
 
 
 def replace_exact(

@@ -24,7 +24,7 @@ def check_regex(pattern: str) -> str:
     for construct, what in (
         (r"\(\?(?:[=!]|<[=!])", "look-around"),
         (r"\\[1-9k]", "back-reference"),
-        (r"\(\?>|[*+?}]\+", "atomic group or possessive quantifier"),
+        (r"\(\?>|[*+?]\+|\{\d+(?:,\d*)?\}\+", "atomic group or possessive quantifier"),
         (r"\\[GZQE]", "anchor or quote unknown to the dialect"),
     ):
         if re.search(construct, re.sub(r"\\\\", "", pattern)):
