@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import handles, paths, terms, text
+from ..functions.rows import unnest
 from ..operators import index, symbols
 from ..sources import corpus
 from .base import BASE, CORPUS, SYMBOLS, document_type_sql, handle_sql, language_sql, query, sql_list, terms_sql, with_ctes
@@ -80,7 +81,7 @@ def line_endings(spark, sf):
 
 @query("line_rows", with_ctes(*BASE) + "SELECT path, line, text FROM lines")
 def line_rows(spark, sf):
-    rows = text.with_lines(corpus.documents(spark, sf)).select("path", F.posexplode("lines").alias("i", "text"))
+    rows = unnest(text.with_lines(corpus.documents(spark, sf)), "lines", "text", "path", position="i")
     return rows.select("path", (F.col("i") + 1).alias("line"), "text")
 
 

@@ -76,11 +76,11 @@ def symbol_owners(spark, sf):
     return symbols.owners(_files(spark, sf)).select("path", "ordinal", "name", F.coalesce("owner", F.lit("")).alias("owner"))
 
 
-@query("qualified_symbol", TABLE + """SELECT s.path, s.name, s.start_line FROM symbols s WHERE s.name = 'Le' AND EXISTS (
-  SELECT 1 FROM symbols o WHERE o.path = s.path AND o.name = 'doc_12' AND o.start_line <= s.start_line AND o.end_line >= s.end_line
+@query("qualified_symbol", TABLE + """SELECT s.path, s.name, s.start_line FROM symbols s WHERE s.name = 'Die' AND EXISTS (
+  SELECT 1 FROM symbols o WHERE o.path = s.path AND o.name = 'doc_71' AND o.start_line <= s.start_line AND o.end_line >= s.end_line
     AND (o.start_line < s.start_line OR o.end_line > s.end_line))""")
 def qualified_symbol(spark, sf):
-    return references.definitions(_files(spark, sf), "doc_12::Le").select("path", "name", "start_line")
+    return references.definitions(_files(spark, sf), "doc_71::Die").select("path", "name", "start_line")
 
 
 SPOTS = """line_bytes AS (

@@ -7,6 +7,7 @@ build on each other is folded in order, one request at a time.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import handles, linediff, paths, syntax, text
-from ..functions.sqltext import bind, lit
+from ..functions.rows import unnest
+from ..functions.sqltext import bind
 
 PLAN_SCHEMA = T.StructType(
     [
@@ -125,7 +127,7 @@ def rename(files: DataFrame, moves: DataFrame) -> DataFrame:
         F.struct(F.col("to").alias("path"), none.alias("before"), F.col("content").alias("after")),
     )
     first = F.slice(rows, F.lit(1), F.when(error.isNull(), F.lit(2)).otherwise(F.lit(1)))
-    return df.select(error.alias("error"), F.explode(first).alias("r")).select("r.path", "error", "r.before", "r.after")
+    return unnest(df, first, "r", error.alias("error")).select("r.path", "error", "r.before", "r.after")
 
 
 def overlapping(files: DataFrame, needles: Column) -> DataFrame:
@@ -266,16 +268,29 @@ def plan_transactions(changes: DataFrame, files: DataFrame) -> DataFrame:
     """
     touched = changes.select("path").union(changes.filter(F.col("to").isNotNull()).select(F.col("to").alias("path"))).distinct()
     current = files.join(touched, "path", "left_semi").select("path", "content")
-    source = current.withColumnRenamed("content", "content")
     target = current.select(F.col("path").alias("to"), F.lit(True).alias("to_exists"))
-    rows = changes.join(source, "path", "left").join(target, "to", "left")
-    return rows.groupBy("txn").applyInPandas(_fold_transaction, PLAN_SCHEMA)
-
-
-def _fold_transaction(rows: pd.DataFrame) -> pd.DataFrame:
-    txn = rows["txn"].iloc[0]
+    rows = changes.join(current, "path", "left").join(target, "to", "left")
+    # One hash partition holds whole transactions, sorted; a partition is streamed
+    # batch by batch, and only the transaction being read is in memory.
+    ordered = rows.repartition("txn").sortWithinPartitions("txn", "seq")
+    return ordered.mapInPandas(_fold_partition, PLAN_SCHEMA)
+
+
+def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    records = (r for batch in batches for r in batch.to_dict("records"))
+    out: list[list] = []
+    for txn, rows in itertools.groupby(records, key=lambda r: r["txn"]):
+        out.extend(_fold_transaction(txn, rows))
+        if len(out) >= 1000:
+            yield pd.DataFrame(out, columns=PLAN_SCHEMA.names)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=PLAN_SCHEMA.names)
+
+
+def _fold_transaction(txn: str, rows) -> list[list]:
     plan: dict[str, list] = {}
-    for row in rows.sort_values("seq").to_dict("records"):
+    for row in rows:
         path, error = row["path"], None
         stored = row["content"] if isinstance(row["content"], str) else None
         before = plan[path][1] if path in plan else stored
@@ -300,8 +315,7 @@ def _fold_transaction(rows: pd.DataFrame) -> pd.DataFrame:
         else:
             error = "INVALID_CHANGE_KIND"
         if error:
-            return pd.DataFrame([[txn, path, None, None, error]], columns=PLAN_SCHEMA.names)
+            return [[txn, path, None, None, error]]
         for name, (old, new) in updates.items():
             plan[name] = [plan[name][0] if name in plan else old, new]
-    out = [[txn, path, before, after, None] for path, (before, after) in sorted(plan.items())]
-    return pd.DataFrame(out, columns=PLAN_SCHEMA.names)
+    return [[txn, path, before, after, None] for path, (before, after) in sorted(plan.items())]

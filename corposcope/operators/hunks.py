@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.rows import unnest
 from ..functions.sqltext import bind, lit
 
 _FILE_START = r"(?md)^(?=diff --git )"
@@ -50,7 +51,7 @@ def parse(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
         ),
     )
     found = f"flatten(transform(split({diff}, {lit(_FILE_START)}, -1), s -> {section}))"
-    rows = diffs.select(*keys, F.posexplode(F.expr(found)).alias("hunk_no", "h"))
+    rows = unnest(diffs, F.expr(found), "h", *keys, position="hunk_no")
     missing = F.col("h.new") == ""
     parsed = rows.select(
         *keys, "hunk_no", F.col("h.path").alias("path"),
@@ -106,9 +107,7 @@ def paginate(hunks: DataFrame, keys: list[str], max_chars: int) -> DataFrame:
     )
     fold = f"aggregate(h, named_struct('out', '', 'page', 0, 'used', 0), (acc, x) -> {step}).out"
     pages = F.expr(f"cast(split(rtrim({fold}), ' ') AS array<int>)")
-    return sizes.select(*keys, "h", pages.alias("pages")).select(
-        *keys, "pages", F.posexplode("h").alias("i", "x")
-    ).select(
+    return unnest(sizes.select(*keys, "h", pages.alias("pages")), "h", "x", *keys, "pages", position="i").select(
         *keys, F.col("x.hunk_no").alias("hunk_no"), F.col("x.size").alias("size"),
         F.expr("get(pages, i)").alias("page"),
     )
@@ -155,7 +154,7 @@ def parse_status(texts: DataFrame, keys: list[str], raw: str = "raw") -> DataFra
         f"filter(split({raw}, '\\\\x00', -1), x -> x <> '')", "r",
         bind(taken, "k", f"filter(array_compact(transform(r, (x, i) -> {record})), e -> e.path <> '')"),
     )
-    entries = texts.select(*keys, F.explode(F.expr(rows)).alias("e"))
+    entries = unnest(texts, F.expr(rows), "e", *keys)
     flags = entries.groupBy(*keys, F.col("e.path").alias("path")).agg(
         F.bool_or("e.staged").alias("staged"), F.bool_or("e.unstaged").alias("unstaged"),
         F.bool_or("e.untracked").alias("untracked"),
@@ -176,7 +175,7 @@ def status_header(texts: DataFrame, keys: list[str], raw: str = "raw") -> DataFr
 def parse_log(logs: DataFrame, raw: str = "raw") -> DataFrame:
     """Commit rows from tab-separated log lines."""
     fields = F.split("line", "\t", 4)
-    return logs.select(F.explode(text.split_lines(raw)).alias("line")).select(
+    return unnest(logs, text.split_lines(raw), "line").select(
         F.get(fields, F.lit(0)).alias("commit"), F.get(fields, F.lit(1)).alias("date"),
         F.get(fields, F.lit(2)).alias("author"), F.get(fields, F.lit(3)).alias("subject"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import handles, paths, terms, text
+from ..functions.rows import unnest
 from ..sources.corpus import admissible, describe
 from .references import identifiers
 from .symbols import symbol_rows, with_symbols
@@ -21,7 +22,7 @@ def with_terms(files: DataFrame) -> DataFrame:
 
 def postings(files: DataFrame) -> DataFrame:
     """term, path.  Terms are distinct per file already, so nothing is shuffled."""
-    return with_terms(files).select(F.explode("indexed_terms").alias("term"), "path")
+    return unnest(with_terms(files), "indexed_terms", "term", "path")
 
 
 def candidate_files(corpus: DataFrame, posting_rows: DataFrame, wanted: list[str]) -> DataFrame:
@@ -113,7 +114,7 @@ def metrics(files: DataFrame) -> DataFrame:
         ).alias("rows")
     )
     grouped = (
-        rows.select(F.explode("rows").alias("r")).groupBy("r.kind", "r.token")
+        unnest(rows, "rows", "r").groupBy("r.kind", "r.token")
         .agg(
             F.count("*").alias("n"), F.sum("r.loc").alias("loc"),
             F.sum("r.source_loc").alias("source_loc"), F.sum("r.bytes").alias("bytes"),
@@ -163,7 +164,7 @@ def refresh(files: DataFrame, changed: DataFrame) -> DataFrame:
     gone = changed.filter(F.col("content").isNull()).select(F.col("path").alias("dir"))
     present = changed.filter(F.col("content").isNotNull())
     below = (
-        files.select("path", F.explode(paths.ancestors("path")).alias("dir"))
+        unnest(files, paths.ancestors("path"), "dir", "path")
         .join(gone, "dir", "left_semi").select("path").distinct()
     )
     kept = files.select("path", "content").join(below, "path", "left_anti")
@@ -180,7 +181,7 @@ def refresh(files: DataFrame, changed: DataFrame) -> DataFrame:
 def removed_paths(files: DataFrame, changed: DataFrame) -> DataFrame:
     gone = changed.filter(F.col("content").isNull()).select(F.col("path").alias("dir"))
     return (
-        files.select("path", F.explode(paths.ancestors("path")).alias("dir"))
+        unnest(files, paths.ancestors("path"), "dir", "path")
         .join(gone, "dir", "left_semi").select("path").distinct()
     )
 
@@ -200,7 +201,7 @@ def build(corpus: DataFrame, target: str, *, extractor: str = "prose", max_bytes
     spark = corpus.sparkSession
     stored = spark.read.parquet(out["files"])
     tables = {
-        "postings": (stored.select(F.explode("indexed_terms").alias("term"), "path"), ["term", "path"]),
+        "postings": (unnest(stored, "indexed_terms", "term", "path"), ["term", "path"]),
         "symbols": (symbol_rows(stored), ["name", "path"]),
         "identifiers": (identifiers(stored), ["token", "path"]),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import handles, paths, text
+from ..functions.rows import unnest
 from ..functions.sqltext import bind, lit
 
 DEFAULT_BUDGET = 30_000
@@ -129,10 +130,8 @@ def read_symbols(files: DataFrame, name: str, *, surrounding: int = 0, path: str
     """Text of every declaration of ``name`` with its surrounding lines."""
     around = min(surrounding, MAX_SURROUNDING)
     scoped = files if path is None else files.filter(F.col("path") == paths.normalize_path(path))
-    hits = scoped.filter(F.contains("content", F.lit(name)) | F.contains("path", F.lit(name))).select(
-        "path", "lines", "line_count",
-        F.explode(F.filter("symbols", lambda s: s["name"] == name)).alias("s"),
-    )
+    named = scoped.filter(F.contains("content", F.lit(name)) | F.contains("path", F.lit(name)))
+    hits = unnest(named, F.filter("symbols", lambda s: s["name"] == name), "s", "path", "lines", "line_count")
     start = F.greatest(F.col("s.start_line") - around, F.lit(1))
     end = F.least(F.col("s.end_line") + around, F.col("line_count"))
     return hits.select(
@@ -148,7 +147,7 @@ def import_prelude(files: DataFrame, before: Column) -> DataFrame:
     for prefix in IMPORT_PREFIXES:
         hit = lead.startswith(prefix)
         test = hit if test is None else test | hit
-    numbered = text.with_lines(files).select("path", before.alias("before"), F.posexplode("lines").alias("i", "text"))
+    numbered = unnest(text.with_lines(files), "lines", "text", "path", before.alias("before"), position="i")
     return numbered.filter((F.col("i") + 1 < F.col("before")) & test).select("path", (F.col("i") + 1).alias("line"), "text")
 
 
@@ -188,6 +187,6 @@ def pages_of(files: DataFrame, max_chars: int) -> DataFrame:
     fold = f"aggregate({turns}, named_struct('out', '', 'at', 0), (acc, i) -> {step}).out"
     offsets = bind("encode(content, 'UTF-8')", "u", f"if(octet_length(u) = 0, '0', rtrim({fold}))")
     df = files.select("path", F.encode("content", "UTF-8").alias("_utf8"), F.expr(f"cast(split({offsets}, {lit(' ')}) AS array<int>)").alias("_offsets"))
-    rows = df.select("path", "_utf8", "_offsets", F.posexplode("_offsets").alias("page", "offset"))
+    rows = unnest(df, "_offsets", "offset", "path", "_utf8", "_offsets", position="page")
     end = F.coalesce(F.get("_offsets", F.col("page") + 1), F.octet_length("_utf8"))
     return rows.select("path", "page", "offset", end.alias("next_offset"), text.byte_slice(F.col("_utf8"), F.col("offset"), end).alias("content"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import handles, paths, syntax, text
+from ..functions.rows import unnest
 from ..functions.sqltext import bind, choose, lit
 from ..functions.terms import IDENTIFIER_CLASS
 from .search import clamp_limit
@@ -113,7 +114,7 @@ def with_occurrences(files: DataFrame, name: str, parsed: bool = False) -> DataF
 
 
 def occurrence_rows(files: DataFrame, name: str, parsed: bool = False) -> DataFrame:
-    return with_occurrences(files, name, parsed).select("path", F.explode("spots").alias("o")).select("path", "o.*")
+    return unnest(with_occurrences(files, name, parsed), "spots", "o", "path").select("path", "o.*")
 
 
 def definitions(
@@ -131,10 +132,9 @@ def definitions(
         "symbols",
         lambda s: s["name"].isin(sorted(names)) & (F.lit(True) if line is None else s["start_line"] == line),
     )
-    rows = (
-        scoped.filter(F.contains("path", F.lit(leaf)) | F.contains("content", F.lit(leaf)))
-        .select("path", "content", "symbols", F.explode(wanted).alias("s"))
-        .filter(qualified_match(F.col("symbols"), F.col("s"), selector))
+    named = scoped.filter(F.contains("path", F.lit(leaf)) | F.contains("content", F.lit(leaf)))
+    rows = unnest(named, wanted, "s", "path", "content", "symbols").filter(
+        qualified_match(F.col("symbols"), F.col("s"), selector)
     )
     marks = syntax.role_marks(leaf)(paths.language("path"), F.col("content")) if parsed else F.array().cast(syntax.MARKS_TYPE)
     rows = rows.withColumn("_marks", marks).withColumn("_raw", F.expr(occurrences(leaf)))
@@ -251,10 +251,9 @@ def find_references(
         f"array_sort(transform(windows, (w, i) -> named_struct('p', {choose('w.kind', KIND_PRIORITY, 6)}, "
         "'l', w.line, 'i', i, 'w', w)))"
     )
-    groups = per_file.select("path", "content", F.slice(ranked, 1, cap).alias("ranked")).select(
-        "path", "content",
-        F.get("ranked", F.lit(0))["p"].alias("group_priority"),
-        F.posexplode("ranked").alias("turn", "r"),
+    groups = unnest(
+        per_file.select("path", "content", F.slice(ranked, 1, cap).alias("ranked")), "ranked", "r", "path", "content",
+        F.get("ranked", F.lit(0))["p"].alias("group_priority"), position="turn",
     )
     rows = groups.select(
         "path", "content", "group_priority", "turn", F.lit(1).alias("after_declaration"),
@@ -333,9 +332,7 @@ def identifiers(corpus: DataFrame) -> DataFrame:
     For a name made of identifier characters, its exact occurrences are the runs
     equal to it, so references to all symbols are one join on ``token``.
     """
-    lines = text.with_lines(corpus.select("path", "content")).select(
-        "path", F.posexplode("lines").alias("index", "text")
-    )
+    lines = unnest(text.with_lines(corpus.select("path", "content")), "lines", "text", "path", position="index")
     run = f"[{IDENTIFIER_CLASS}]+"
     placed = F.expr(
         bind(
@@ -351,7 +348,7 @@ def identifiers(corpus: DataFrame) -> DataFrame:
             ),
         )
     )
-    return lines.select("path", (F.col("index") + 1).alias("line"), F.explode(placed).alias("t")).select(
+    return unnest(lines, placed, "t", "path", (F.col("index") + 1).alias("line")).select(
         "path", "line", "t.token", "t.column"
     )
 
@@ -363,9 +360,9 @@ def reference_counts(files: DataFrame) -> DataFrame:
     corpus reaches the exchange as one row per task.
     """
     run = f"[{IDENTIFIER_CLASS}]+"
-    tokens = files.select(F.explode(F.regexp_extract_all(F.col("content"), F.lit(run), F.lit(0))).alias("name"))
+    tokens = unnest(files, F.regexp_extract_all(F.col("content"), F.lit(run), F.lit(0)), "name")
     uses = tokens.groupBy("name").agg(F.count("*").alias("occurrences"))
-    names = files.select(F.explode("symbols").alias("s")).groupBy(F.col("s.name").alias("name")).agg(
+    names = unnest(files, "symbols", "s").groupBy(F.col("s.name").alias("name")).agg(
         F.count("*").alias("declarations")
     )
     return names.join(uses, "name", "left").select(

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..errors import EngineError
 from ..functions import handles, paths, terms, text
+from ..functions.rows import unnest
 from .windows import merge_lines
 
 DEFAULT_RESULTS = 20
@@ -98,9 +99,7 @@ def match_windows(files: DataFrame, matcher, context: int, gate: Column) -> Data
 
 def _capped(windows: DataFrame, scope: list[str] | None, limit: int) -> DataFrame:
     cap = limit if paths.scope_size(scope) == 1 else min(limit, PER_FILE_CAP)
-    return windows.select(
-        "*", F.posexplode(F.slice("_windows", F.lit(1), F.lit(cap))).alias("_turn", "_window")
-    )
+    return unnest(windows, F.slice("_windows", F.lit(1), F.lit(cap)), "_window", "*", position="_turn")
 
 
 def clamp_limit(max_results: int, configured: int = PROTOCOL_MAX_RESULTS) -> int:
@@ -240,11 +239,9 @@ def search_many(
             for i, (q, _, _, _) in enumerate(per_query)
         ]
     )
-    windows = (
-        files.select("path", F.explode(entries).alias("e"))
-        .select("path", F.col("e.query_index").alias("query_index"), F.col("e.query").alias("query"),
-                F.posexplode("e.windows").alias("turn", "w"))
-        .select("path", "query_index", "query", "turn", "w.*")
+    per_file = unnest(files, entries, "e", "path").select("path", "e.*")
+    windows = unnest(per_file, "windows", "w", "path", "query_index", "query", position="turn").select(
+        "path", "query_index", "query", "turn", "w.*"
     )
     order = W.partitionBy("query_index").orderBy("turn", "path")
     return windows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

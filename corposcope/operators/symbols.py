@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import handles, paths, syntax, text
+from ..functions.rows import unnest
 from ..functions.sqltext import bind, lit
 from .search import DEFAULT_RESULTS, clamp_limit
 
@@ -55,7 +56,7 @@ def with_symbols(corpus: DataFrame, extractor: str = "prose") -> DataFrame:
 
 def symbol_rows(files: DataFrame) -> DataFrame:
     """One row per symbol with its ordinal in the file."""
-    return files.select("path", F.posexplode("symbols").alias("ordinal", "s")).select("path", "ordinal", "s.*")
+    return unnest(files, "symbols", "s", "path", position="ordinal").select("path", "ordinal", "s.*")
 
 
 def qualified_parts(name: str) -> tuple[str, str] | None:
@@ -97,8 +98,7 @@ def find_symbol(
     name = text.ascii_lower("s.name")
     rank = F.when(name == needle, 0).when(name.startswith(needle), 1).otherwise(2)
     rows = (
-        files.filter(paths.in_scope("path", scope))
-        .select("path", "content", F.posexplode("symbols").alias("ordinal", "s"))
+        unnest(files.filter(paths.in_scope("path", scope)), "symbols", "s", "path", "content", position="ordinal")
         .filter(F.contains(name, F.lit(needle)))
         .select("path", "content", "ordinal", "s", rank.alias("rank"))
         .orderBy("rank", "path", "s.start_line", "ordinal")
@@ -177,6 +177,6 @@ def owners(files: DataFrame) -> DataFrame:
         "o -> named_struct('span', o.end_line - o.start_line, 'name', o.name))).name"
     )
     paired = bind("symbols", "a", f"transform(a, (s, i) -> named_struct('ordinal', i, 's', s, 'owner', {owner}))")
-    return files.select("path", F.explode(F.expr(paired)).alias("e")).select(
+    return unnest(files, F.expr(paired), "e", "path").select(
         "path", "e.ordinal", "e.s.name", "e.s.start_line", "e.s.end_line", "e.owner"
     )
