@@ -64,7 +64,12 @@ def blame(spark: SparkSession, root: str, path: str, start: int | None = None, e
 
 
 def diff(spark: SparkSession, root: str, *, staged: bool = False, paths: list[str] | None = None) -> DataFrame:
-    """Hunks of all changed files; untracked ones count when asked for by path."""
+    """Hunks of all changed files (a new-file patch has a header but no hunk)."""
+    return hunks.parse(patches(spark, root, staged=staged, paths=paths), ["file"]).drop("file")
+
+
+def patches(spark: SparkSession, root: str, *, staged: bool = False, paths: list[str] | None = None) -> DataFrame:
+    """Patch text per changed file; untracked files are included when asked for by path."""
     changed = status(spark, root)
     wanted = changed.filter("staged" if staged else "unstaged").select("path", F.lit(False).alias("untracked"))
     if paths and not staged:
@@ -85,5 +90,4 @@ def diff(spark: SparkSession, root: str, *, staged: bool = False, paths: list[st
             yield pd.DataFrame(rows, columns=["file", "diff", "content"])
 
     texts = wanted.mapInPandas(read, "file STRING, diff STRING, content STRING")
-    texts = texts.select("file", F.coalesce("diff", hunks.untracked_patch(F.col("file"), F.col("content"))).alias("diff"))
-    return hunks.parse(texts, ["file"]).drop("file")
+    return texts.select("file", F.coalesce("diff", hunks.untracked_patch(F.col("file"), F.col("content"))).alias("diff"))

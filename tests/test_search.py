@@ -109,8 +109,6 @@ TEXTS = st.lists(st.sampled_from(["a", "b", "n", "\n", "\r\n", "\r", "\n\n\n"]),
 @given(st.lists(TEXTS, min_size=1, max_size=30), st.integers(0, 3))
 def test_windows_equal_a_sequential_model(spark, texts, context):
     df = spark.createDataFrame([(f"p{i:03d}", t) for i, t in enumerate(texts)], "path STRING, content STRING")
-    got = search.search_text(df, "n", scope=["p"] * 2, context=context, max_results=200, case_sensitive=True, prune="none")
-    del got
     windows = search.match_windows(df, search.line_matcher("n", "literal", True), context, F.lit(True))
     got = {r.path: [(w.line, w.start_line, w.end_line) for w in r._windows] for r in windows.select("path", "_windows").collect()}
     assert got == {f"p{i:03d}": reference_windows(t, "n", context) for i, t in enumerate(texts)}
