@@ -113,10 +113,10 @@ def indexed_terms(spark, sf):
     return files.select("path", F.array_join("indexed_terms", " ").alias("terms"))
 
 
-@query("postings", _index_terms_sql() + "SELECT term, count(*) AS files, min(path) AS first_path FROM (SELECT unnest(terms) AS term, path FROM indexed) GROUP BY term")
+@query("postings", _index_terms_sql() + "SELECT term, count(*) AS files, sum(length(path))::BIGINT AS path_chars FROM (SELECT unnest(terms) AS term, path FROM indexed) GROUP BY term")
 def postings(spark, sf):
     rows = index.postings(symbols.with_symbols(corpus.documents(spark, sf)))
-    return rows.groupBy("term").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
+    return rows.groupBy("term").agg(F.count("*").alias("files"), F.sum(F.length("path")).alias("path_chars"))
 
 
 @query("candidate_files", _index_terms_sql() + "SELECT path FROM indexed WHERE list_has_any(terms, ['haus', 'eau', 'doc_17'])")

@@ -112,7 +112,8 @@ SELECT t.path, CASE WHEN c.path IS NULL OR c.content <> t.content THEN 'STALE_CO
 FROM two t LEFT JOIN current c ON c.path = t.path""")
 def read_continuation(spark, sf):
     old, new = _versions(spark, sf)
-    first = reads.read_range(old, max_chars=900).filter(F.col("continuation").isNotNull()).select("continuation")
+    # Only a text above the budget has a continuation.
+    first = reads.read_range(old.filter(F.octet_length("content") > 900), max_chars=900).select("continuation")
     served = reads.read_continuations(new, first, max_chars=500)
     return served.select("path", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("content", F.lit("")).alias("content"))
 

@@ -182,12 +182,12 @@ def scanned_scope(spark, sf):
     return references.scanned_scope(corpus.documents(spark, sf), "production")
 
 
-@query("identifiers", with_ctes(*BASE, TOKENS) + """SELECT path, line, count(*) AS tokens, sum(col * length(token))::BIGINT AS weight, min(token) AS least
+@query("identifiers", with_ctes(*BASE, TOKENS) + """SELECT path, line, count(*) AS tokens, sum(col * length(token))::BIGINT AS weight, sum(unicode(token))::BIGINT AS heads
 FROM tokens GROUP BY path, line""")
 def identifiers(spark, sf):
     rows = references.identifiers(corpus.documents(spark, sf))
     return rows.groupBy("path", "line").agg(
-        F.count("*").alias("tokens"), F.sum(F.col("column") * F.length("token")).alias("weight"), F.min("token").alias("least")
+        F.count("*").alias("tokens"), F.sum(F.col("column") * F.length("token")).alias("weight"), F.sum(F.ascii("token")).alias("heads")
     )
 
 

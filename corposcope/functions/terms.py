@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, java_quote, pin
 
 # Words that are never indexed.
 STOP_WORDS = [
@@ -23,7 +23,7 @@ TERM_PATTERN = r"[A-Za-z_][A-Za-z0-9_.-]*[A-Za-z0-9_]"
 
 # Characters that continue an identifier (class body of a Java regex).
 IDENTIFIER_CLASS = (
-    r"_$\p{IsAlphabetic}\p{N}\x{200C}\x{200D}\x{0300}-\x{036F}\x{1AB0}-\x{1AFF}"
+    r"_$a-zA-Z0-9\p{IsAlphabetic}\p{N}\x{200C}\x{200D}\x{0300}-\x{036F}\x{1AB0}-\x{1AFF}"
     r"\x{1DC0}-\x{1DFF}\x{20D0}-\x{20FF}\x{FE20}-\x{FE2F}"
 )
 
@@ -48,8 +48,25 @@ def terms(c: Column | str) -> Column:
 
 def indexed_terms(content: Column, path: Column, symbol_names: Column) -> Column:
     """Terms of content, path and symbol names, plus the parts of compound terms."""
+
+    def with_parts(whole: Column) -> Column:
+        compound = F.filter(whole, lambda t: F.rlike(t, F.lit(r"[_.-]")))
+        parts = _terms(F.translate(F.array_join(compound, " "), "_.-", "   "))
+        return F.sort_array(F.array_union(whole, parts))
+
     text = F.concat_ws("\n", content, path, F.array_join(symbol_names, "\n"))
-    whole = _terms(text)
-    compound = F.filter(whole, lambda t: F.rlike(t, F.lit(r"[_.-]")))
-    parts = _terms(F.translate(F.array_join(compound, " "), "_.-", "   "))
-    return F.sort_array(F.array_union(whole, parts))
+    return pin(_terms(text), with_parts)
+
+
+def term_regex(term: str) -> str:
+    """Regex for texts whose indexed terms include ``term`` (one of query_terms).
+
+    A term is a run of word characters, dots and dashes without the digits, dots
+    and dashes before its first letter and the dots and dashes after its end.  A
+    term without separators may also be a part of a compound one: there, a run
+    of letters and digits without its leading digits.
+    """
+    body = java_quote(term)
+    if re.search(r"[_.-]", term):
+        return rf"(?i)(?<![A-Za-z0-9_.-])[0-9.-]*{body}[.-]*(?![A-Za-z0-9_.-])"
+    return rf"(?i)(?<![A-Za-z0-9])[0-9]*{body}(?![A-Za-z0-9])"

@@ -52,47 +52,57 @@ def line_matcher(pattern: str, syntax: str, case_sensitive: bool):
 
 
 def candidates(
-    corpus: DataFrame, pattern: str, syntax: str, scope: list[str] | None, case_sensitive: bool
+    corpus: DataFrame, pattern: str, syntax: str, scope: list[str] | None, case_sensitive: bool, prune: str = "terms"
 ) -> DataFrame:
     """Files that can hold a match, by tests cheap enough for the scan itself."""
     if pattern == "":
         raise EngineError("INVALID_REQUEST", "a text search needs a pattern")
     out = corpus.filter(paths.in_scope("path", scope))
-    if syntax != "literal":
-        return out
-    if "\n" in pattern:
-        return out.filter(F.lit(False))
-    return out.filter(text.contains_literal("content", pattern, case_sensitive))
+    return out.filter(possible(corpus, pattern, syntax, case_sensitive, prune))
 
 
-def term_gate(corpus: DataFrame, pattern: str, syntax: str, prune: str) -> Column:
-    """Whether the file holds at least one indexed term of a literal.
+def possible(corpus: DataFrame, pattern: str, syntax: str, case_sensitive: bool, prune: str) -> Column:
+    """The needle somewhere in the text, and one of its terms among the file's.
 
-    This is part of the meaning: a needle that is only the inside of a longer
-    term finds nothing.  ``prune="none"`` gives the plain substring search.  A
-    needle without terms (short or stop words) looks at every file.
+    The second test is part of the meaning: a needle that is only the inside of
+    a longer term finds nothing.  ``prune="none"`` gives the plain substring
+    search, and a needle without terms (short or stop words) sees every file.
     """
-    wanted = terms.query_terms(pattern) if syntax == "literal" and prune == "terms" else []
-    if not wanted:
+    if syntax != "literal":
         return F.lit(True)
-    return F.arrays_overlap(file_terms(corpus), F.array(*map(F.lit, wanted)))
+    if "\n" in pattern:
+        return F.lit(False)
+    inside = text.contains_literal("content", pattern, case_sensitive)
+    wanted = terms.query_terms(pattern) if prune == "terms" else []
+    return inside & has_term(corpus, wanted) if wanted else inside
 
 
-def file_terms(corpus: DataFrame) -> Column:
-    """The stored term column when the corpus has one, else computed from the row."""
-    if "indexed_terms" in corpus.columns:
-        return F.col("indexed_terms")
-    names = F.transform("symbols", lambda s: s["name"]) if "symbols" in corpus.columns else F.array().cast("array<string>")
-    return terms.indexed_terms(F.col("content"), F.col("path"), names)
+def has_term(corpus: DataFrame, wanted: list[str]) -> Column:
+    """Any wanted term among the indexed terms of the row.
 
-
-def match_windows(files: DataFrame, matcher, context: int, gate: Column) -> DataFrame:
-    """One row per file with all of its windows (none when the gate is shut)."""
+    A stored term column answers directly.  Without one, each term is looked for
+    by regex, which stops at its first hit; building all terms of a file to test
+    for one of them costs several times the scan.
+    """
+    if "indexed_terms" in corpus.columns:
+        return F.arrays_overlap("indexed_terms", F.array(*map(F.lit, wanted)))
+    sources = [F.col("content"), F.col("path")]
+    if "symbols" in corpus.columns:
+        sources.append(F.array_join(F.transform("symbols", lambda s: s["name"]), "\n"))
+    found = None
+    for source in sources:
+        for term in wanted:
+            hit = F.rlike(source, F.lit(terms.term_regex(term)))
+            found = hit if found is None else found | hit
+    return found
+
+
+def match_windows(files: DataFrame, matcher, context: int) -> DataFrame:
+    """One row per file with all of its windows."""
     numbered = F.transform("lines", lambda line, i: F.when(matcher(line), i + 1))
-    hits = F.when(gate, F.array_compact(numbered)).otherwise(F.array().cast("array<int>"))
     return (
         text.with_lines(files)
-        .withColumns({"_hits": hits, "_count": text.line_count("content")})
+        .withColumns({"_hits": F.array_compact(numbered), "_count": text.line_count("content")})
         .withColumn("_windows", merge_lines("_hits", context, "_count"))
     )
 
@@ -127,9 +137,8 @@ def search_text(
     limit = clamp_limit(max_results)
     context = min(context, MAX_CONTEXT)
     windows = match_windows(
-        candidates(corpus, pattern, syntax, scope, case_sensitive),
+        candidates(corpus, pattern, syntax, scope, case_sensitive, prune),
         line_matcher(pattern, syntax, case_sensitive), context,
-        term_gate(corpus, pattern, syntax, prune),
     )
     top = (
         _capped(windows.select("path", "content", "_windows"), scope, limit)
@@ -170,9 +179,8 @@ def search_stats(
     limit = clamp_limit(max_results)
     cap = limit if paths.scope_size(scope) == 1 else min(limit, PER_FILE_CAP)
     windows = match_windows(
-        candidates(corpus, pattern, syntax, scope, case_sensitive),
+        candidates(corpus, pattern, syntax, scope, case_sensitive, prune),
         line_matcher(pattern, syntax, case_sensitive), min(context, MAX_CONTEXT),
-        term_gate(corpus, pattern, syntax, prune),
     )
     per_file = windows.select(F.size("_windows").alias("n"))
     totals = per_file.agg(
@@ -210,24 +218,17 @@ def search_many(
     cap = limit if paths.scope_size(scope) == 1 else min(limit, PER_FILE_CAP)
     if not patterns:
         raise EngineError("INVALID_REQUEST", "queries cannot be empty")
-    files = corpus.filter(paths.in_scope("path", scope))
-    any_hit, per_query = None, []
-    for query in patterns:
-        matcher = line_matcher(query, syntax, case_sensitive)
-        possible = F.lit("\n" not in query) & matcher(F.col("content")) if syntax == "literal" else F.lit(True)
-        wanted = terms.query_terms(query) if syntax == "literal" and prune == "terms" else []
-        any_hit = possible if any_hit is None else any_hit | possible
-        per_query.append((query, matcher, possible, wanted))
-    files = text.with_lines(files.filter(any_hit).withColumn("_terms", file_terms(corpus)))
-
-    def hits(matcher, possible: Column, wanted: list[str]) -> Column:
+    # One flag per pattern, computed once; a file with no flag set is dropped.
+    flags = F.array(*[possible(corpus, p, syntax, case_sensitive, prune) for p in patterns])
+    files = corpus.filter(paths.in_scope("path", scope)).select("path", "content", flags.alias("_flags"))
+    files = text.with_lines(files.filter(F.exists("_flags", lambda f: f)))
+
+    def hits(i: int, pattern: str) -> Column:
+        matcher = line_matcher(pattern, syntax, case_sensitive)
         numbered = F.transform("lines", lambda line, j: F.when(matcher(line), j + 1))
-        gate = possible
-        if wanted:
-            gate = possible & F.arrays_overlap("_terms", F.array(*map(F.lit, wanted)))
-        return F.when(gate, F.array_compact(numbered)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.get("_flags", F.lit(i)), F.array_compact(numbered)).otherwise(F.array().cast("array<int>"))
 
-    columns = {f"_hits{i}": hits(m, p, w) for i, (_, m, p, w) in enumerate(per_query)}
+    columns = {f"_hits{i}": hits(i, p) for i, p in enumerate(patterns)}
     files = files.withColumns({**columns, "_count": text.line_count("content")})
     entries = F.array(
         *[
@@ -236,7 +237,7 @@ def search_many(
                 F.lit(q).alias("query"),
                 F.slice(merge_lines(f"_hits{i}", context, "_count"), F.lit(1), F.lit(cap)).alias("windows"),
             )
-            for i, (q, _, _, _) in enumerate(per_query)
+            for i, q in enumerate(patterns)
         ]
     )
     per_file = unnest(files, entries, "e", "path").select("path", "e.*")

@@ -102,6 +102,18 @@ def reference_windows(content, needle, context):
     return [tuple(w) for w in out]
 
 
+WORDS = st.lists(st.sampled_from(["ab", "a", "9", "_", ".", "-", " ", "é", "AB", "b"]), max_size=14).map("".join)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(WORDS, min_size=1, max_size=60), st.sampled_from(["ab", "ab_a", "a-b", "b9", "aab", "ab.ab"]))
+def test_term_test_equals_the_term_list(spark, texts, term):
+    df = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "path STRING, content STRING")
+    listed = index.with_terms(df.withColumn("symbols", F.expr("cast(array() as array<struct<name: string>>)")))
+    got = {r.path for r in df.filter(search.has_term(df, [term])).collect()}
+    assert got == {r.path for r in listed.filter(search.has_term(listed, [term])).collect()}
+
+
 TEXTS = st.lists(st.sampled_from(["a", "b", "n", "\n", "\r\n", "\r", "\n\n\n"]), max_size=40).map("".join)
 
 
@@ -109,7 +121,7 @@ TEXTS = st.lists(st.sampled_from(["a", "b", "n", "\n", "\r\n", "\r", "\n\n\n"]),
 @given(st.lists(TEXTS, min_size=1, max_size=30), st.integers(0, 3))
 def test_windows_equal_a_sequential_model(spark, texts, context):
     df = spark.createDataFrame([(f"p{i:03d}", t) for i, t in enumerate(texts)], "path STRING, content STRING")
-    windows = search.match_windows(df, search.line_matcher("n", "literal", True), context, F.lit(True))
+    windows = search.match_windows(df, search.line_matcher("n", "literal", True), context)
     got = {r.path: [(w.line, w.start_line, w.end_line) for w in r._windows] for r in windows.select("path", "_windows").collect()}
     assert got == {f"p{i:03d}": reference_windows(t, "n", context) for i, t in enumerate(texts)}
 
