@@ -77,9 +77,13 @@ def lines_of(pieces: Column | str, c: Column | str) -> Column:
     return F.slice(pieces, F.lit(1), F.size(pieces) - extra)
 
 
-def with_lines(df: DataFrame, content: str = "content", name: str = "lines") -> DataFrame:
-    """Add the array of lines of ``content``, split once per row."""
-    df = df.withColumn("_parts", parts(content))
+def with_lines(df: DataFrame, content: str = "content", name: str = "lines", only: Column | None = None) -> DataFrame:
+    """Add the array of lines of ``content``, split once per row.
+
+    With ``only``, rows that fail it get null instead, at the cost of the test.
+    """
+    pieces = parts(content) if only is None else F.when(only, parts(content))
+    df = df.withColumn("_parts", pieces)
     return df.withColumn(name, lines_of("_parts", content)).drop("_parts")
 
 

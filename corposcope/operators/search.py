@@ -51,16 +51,6 @@ def line_matcher(pattern: str, syntax: str, case_sensitive: bool):
     raise EngineError("INVALID_OPERATION_FIELD", "syntax must be literal or regex", field="syntax")
 
 
-def candidates(
-    corpus: DataFrame, pattern: str, syntax: str, scope: list[str] | None, case_sensitive: bool, prune: str = "terms"
-) -> DataFrame:
-    """Files that can hold a match, by tests cheap enough for the scan itself."""
-    if pattern == "":
-        raise EngineError("INVALID_REQUEST", "a text search needs a pattern")
-    out = corpus.filter(paths.in_scope("path", scope))
-    return out.filter(possible(corpus, pattern, syntax, case_sensitive, prune))
-
-
 def possible(corpus: DataFrame, pattern: str, syntax: str, case_sensitive: bool, prune: str) -> Column:
     """The needle somewhere in the text, and one of its terms among the file's.
 
@@ -97,16 +87,32 @@ def has_term(corpus: DataFrame, wanted: list[str]) -> Column:
     return found
 
 
-def match_windows(files: DataFrame, matcher, context: int) -> DataFrame:
-    """One row per file with all of its windows."""
+def match_windows(files: DataFrame, matcher, context: int, only: Column | None = None) -> DataFrame:
+    """One row per file with all of its windows; null where ``only`` fails.
+
+    The file-level test guards the split instead of filtering rows.  A filter
+    would be moved below any exchange that spreads a small input over the cores,
+    and the text tests would then run on the few tasks of the scan.
+    """
     numbered = F.transform("lines", lambda line, i: F.when(matcher(line), i + 1))
     return (
-        text.with_lines(files)
+        text.with_lines(files, only=only)
         .withColumns({"_hits": F.array_compact(numbered), "_count": text.line_count("content")})
         .withColumn("_windows", merge_lines("_hits", context, "_count"))
     )
 
 
+def _windows(
+    corpus: DataFrame, pattern: str, syntax: str, scope: list[str] | None, case_sensitive: bool, prune: str, context: int
+) -> DataFrame:
+    if pattern == "":
+        raise EngineError("INVALID_REQUEST", "a text search needs a pattern")
+    return match_windows(
+        corpus.filter(paths.in_scope("path", scope)), line_matcher(pattern, syntax, case_sensitive),
+        min(context, MAX_CONTEXT), possible(corpus, pattern, syntax, case_sensitive, prune),
+    )
+
+
 def _capped(windows: DataFrame, scope: list[str] | None, limit: int) -> DataFrame:
     cap = limit if paths.scope_size(scope) == 1 else min(limit, PER_FILE_CAP)
     return unnest(windows, F.slice("_windows", F.lit(1), F.lit(cap)), "_window", "*", position="_turn")
@@ -135,11 +141,7 @@ def search_text(
     preview, hash and handle are computed for the final rows alone.
     """
     limit = clamp_limit(max_results)
-    context = min(context, MAX_CONTEXT)
-    windows = match_windows(
-        candidates(corpus, pattern, syntax, scope, case_sensitive, prune),
-        line_matcher(pattern, syntax, case_sensitive), context,
-    )
+    windows = _windows(corpus, pattern, syntax, scope, case_sensitive, prune, context)
     top = (
         _capped(windows.select("path", "content", "_windows"), scope, limit)
         .select("path", "content", "_turn", "_window")
@@ -178,10 +180,7 @@ def search_stats(
     """Window totals before caps, rows returned, and whether results were cut."""
     limit = clamp_limit(max_results)
     cap = limit if paths.scope_size(scope) == 1 else min(limit, PER_FILE_CAP)
-    windows = match_windows(
-        candidates(corpus, pattern, syntax, scope, case_sensitive, prune),
-        line_matcher(pattern, syntax, case_sensitive), min(context, MAX_CONTEXT),
-    )
+    windows = _windows(corpus, pattern, syntax, scope, case_sensitive, prune, context)
     per_file = windows.select(F.size("_windows").alias("n"))
     totals = per_file.agg(
         F.count_if(F.col("n") > 0).alias("matched_files"),
@@ -218,10 +217,10 @@ def search_many(
     cap = limit if paths.scope_size(scope) == 1 else min(limit, PER_FILE_CAP)
     if not patterns:
         raise EngineError("INVALID_REQUEST", "queries cannot be empty")
-    # One flag per pattern, computed once; a file with no flag set is dropped.
+    # One flag per pattern, computed once; a file with no flag set is not split.
     flags = F.array(*[possible(corpus, p, syntax, case_sensitive, prune) for p in patterns])
     files = corpus.filter(paths.in_scope("path", scope)).select("path", "content", flags.alias("_flags"))
-    files = text.with_lines(files.filter(F.exists("_flags", lambda f: f)))
+    files = text.with_lines(files, only=F.exists("_flags", lambda f: f))
 
     def hits(i: int, pattern: str) -> Column:
         matcher = line_matcher(pattern, syntax, case_sensitive)
