@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import paths
+from ..functions.rows import unnest
 
 LOG_CAPACITY = 2000
 RUN_CAPACITY = 128
@@ -129,25 +130,24 @@ def partition_by_owner(dirty: DataFrame, log: DataFrame, own_source: str) -> Dat
     return dirty.select("path").distinct().join(touched, "path").select("path", "own", "external")
 
 
-def attribute_runs(log: DataFrame, runs: DataFrame, bucket: int = 1024) -> DataFrame:
+def attribute_runs(log: DataFrame, runs: DataFrame, bucket: int = 1024, salts: int = 8) -> DataFrame:
     """Distinct paths changed by each run: start < generation <= end, not later
     than the run's end time.
 
     A range join by buckets of generations: a run is repeated for each bucket it
-    spans, a log row falls into one, and the pair meets on equality.  A bucket
-    holds at most ``bucket`` generations, so no join key grows with the data.
+    spans, a log row falls into one, and the pair meets on equality.  One batch
+    may write most of the log under a single generation, so the key also holds a
+    hash of the path; runs, the small side, are repeated for each of its values.
     """
-    spans = runs.withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(
-                F.floor((F.col("start_generation") + 1) / bucket).cast("bigint"),
-                F.floor(F.col("end_generation") / bucket).cast("bigint"),
-            )
-        ),
+    first = F.expr(f"(start_generation + 1) div {bucket}")
+    last = F.expr(f"end_generation div {bucket}")
+    spans = unnest(runs.filter("end_generation > start_generation"), F.sequence(first, last), "_bucket", "*")
+    spans = unnest(spans, F.sequence(F.lit(0), F.lit(salts - 1)), "_salt", "*")
+    rows = log.select(
+        "path", "generation", "timestamp", F.expr(f"generation div {bucket}").alias("_bucket"),
+        F.pmod(F.hash("path"), F.lit(salts)).alias("_salt"),
     )
-    rows = log.select("path", "generation", "timestamp", F.floor(F.col("generation") / bucket).cast("bigint").alias("_bucket"))
-    joined = spans.join(rows, "_bucket").filter(
+    joined = spans.join(rows, ["_bucket", "_salt"]).filter(
         (F.col("generation") > F.col("start_generation"))
         & (F.col("generation") <= F.col("end_generation"))
         & (F.col("ended_at").isNull() | (F.col("timestamp") <= F.col("ended_at")))

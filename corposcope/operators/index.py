@@ -157,28 +157,29 @@ def refresh(files: DataFrame, changed: DataFrame) -> DataFrame:
     """Rows after a set of path events.
 
     ``changed`` has one row per path with ``content``, null when the path is
-    gone.  A vanished path removes itself and everything below it: each file is
-    matched by equality against its own ancestor directories, so the prefix test
-    is a semi join, not a range join.  ``status`` tells kept, changed and added.
+    gone.  A vanished path removes itself and everything below it.  ``status``
+    tells kept, changed and added.
+
+    Unchanged files pass through one anti join on their path.  When the changed
+    set is small Spark broadcasts it, and the text of the corpus is not shuffled;
+    old and new versions are compared by hash, never side by side.
     """
-    gone = changed.filter(F.col("content").isNull()).select(F.col("path").alias("dir"))
     present = changed.filter(F.col("content").isNotNull())
-    below = (
-        unnest(files, paths.ancestors("path"), "dir", "path")
-        .join(gone, "dir", "left_semi").select("path").distinct()
-    )
-    kept = files.select("path", "content").join(below, "path", "left_anti")
-    merged = kept.select("path", F.col("content").alias("old")).join(
-        present.select("path", F.col("content").alias("new")), "path", "full_outer"
+    replaced = removed_paths(files, changed).union(present.select("path"))
+    kept = files.select("path", "content").join(replaced, "path", "left_anti")
+    survivors = files.select("path", handles.content_hash("content").alias("old")).join(
+        removed_paths(files, changed), "path", "left_anti"
     )
-    return merged.select(
-        "path", F.coalesce("new", "old").alias("content"),
-        F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "added")
-        .when(F.col("new") == F.col("old"), "kept").otherwise("changed").alias("status"),
+    fresh = present.select("path", "content", handles.content_hash("content").alias("new")).join(survivors, "path", "left")
+    status = F.when(F.col("old").isNull(), "added").when(F.col("new") == F.col("old"), "kept").otherwise("changed")
+    return kept.select("path", "content", F.lit("kept").alias("status")).unionByName(
+        fresh.select("path", "content", status.alias("status"))
     )
 
 
 def removed_paths(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files at or below a vanished path: each file is matched by equality against
+    its own ancestors, so the prefix test is a semi join, not a range join."""
     gone = changed.filter(F.col("content").isNull()).select(F.col("path").alias("dir"))
     return (
         unnest(files, paths.ancestors("path"), "dir", "path")

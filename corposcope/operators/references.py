@@ -353,6 +353,17 @@ def identifiers(corpus: DataFrame) -> DataFrame:
     )
 
 
+def files_with_identifier(files: DataFrame, identifier_rows: DataFrame, name: str) -> DataFrame:
+    """Files that a stored identifier table lists for ``name``.
+
+    The table is sorted by token, so the filter reads few row groups; the files
+    found are then scanned exactly.  Valid for names of identifier characters,
+    whose occurrences are exactly the runs in the table.
+    """
+    hits = identifier_rows.filter(F.col("token") == name).select("path").distinct()
+    return files.join(hits, "path", "left_semi")
+
+
 def reference_counts(files: DataFrame) -> DataFrame:
     """For every declared name, its declarations and its exact occurrences.
 

@@ -91,14 +91,18 @@ def find_symbol(
 ) -> DataFrame:
     """Symbols whose name contains the query, exact before prefix before inner.
 
-    Always folds ASCII case.  One top-k, no other exchange.
+    Always folds ASCII case.  Every name occurs in the text or the path of its
+    file, so files without the query are dropped before their symbols are built.
+    One top-k, no other exchange.
     """
     limit = clamp_limit(max_results)
     needle = text.ascii_lower_py(query)
     name = text.ascii_lower("s.name")
     rank = F.when(name == needle, 0).when(name.startswith(needle), 1).otherwise(2)
+    holds = text.contains_literal("content", needle, False) | text.contains_literal("path", needle, False)
+    named = files.filter(paths.in_scope("path", scope)).filter(holds)
     rows = (
-        unnest(files.filter(paths.in_scope("path", scope)), "symbols", "s", "path", "content", position="ordinal")
+        unnest(named, "symbols", "s", "path", "content", position="ordinal")
         .filter(F.contains(name, F.lit(needle)))
         .select("path", "content", "ordinal", "s", rank.alias("rank"))
         .orderBy("rank", "path", "s.start_line", "ordinal")

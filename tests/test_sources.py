@@ -92,8 +92,10 @@ def test_stored_index(spark, tmp_path, corpus):
     assert paths(index.candidate_files(files, postings, ["gamma"])) == ["src/a.md"]
     assert index.candidate_files(files, postings, ["missing"]).count() == 0
     assert spark.read.parquet(tables["identifiers"]).filter("token = 'alpha'").first().column == 7
-    from corposcope.operators import search
+    from corposcope.operators import references, search
 
+    rows = spark.read.parquet(tables["identifiers"])
+    assert paths(references.files_with_identifier(files, rows, "Beta")) == ["docs/b.md"]
     assert search.search_text(files, "beta").count() == 2
 
 
