@@ -121,10 +121,13 @@ def log_rows(spark, sf):
     return hunks.parse_log(logs)
 
 
-@query("diff_stat")
+# Each changed line becomes one that exists nowhere else, so the shortest edit
+# script removes and adds exactly those lines.
+@query("diff_stat", with_ctes(*BASE) + """SELECT p.path, coalesce(n, 0) AS added, coalesce(n, 0) AS removed FROM parts p
+LEFT JOIN (SELECT path, count(*) AS n FROM lines WHERE regexp_matches(text, '^(La|The)( |$)') GROUP BY path) USING (path)""")
 def diff_stat(spark, sf):
     """Line totals of an edit that changes every line led by "La" or "The"."""
-    edited = F.regexp_replace("content", r"(?m)^(La|The)\b", "X")
+    edited = F.regexp_replace("content", r"(?md)^(?:La|The)(?= |$)", "X")
     files = corpus.documents(spark, sf)
     stat = linediff.diff_stat("content", edited)
     return files.select("path", stat.alias("s")).select("path", "s.added", "s.removed")
@@ -132,5 +135,5 @@ def diff_stat(spark, sf):
 
 @query("unified_diff")
 def unified_diff(spark, sf):
-    edited = F.regexp_replace("content", r"(?m)^(La|The)\b", "X")
+    edited = F.regexp_replace("content", r"(?md)^(?:La|The)(?= |$)", "X")
     return corpus.documents(spark, sf).select("path", linediff.unified_diff("path", "content", edited).alias("diff"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from .sqltext import lit
 from .text import base64url, col, from_base64url
 
 RANGE_SCHEMA = "w STRING, p STRING, a BIGINT, b BIGINT, h STRING"
@@ -40,6 +41,15 @@ def range_handle(workspace: str, path: Column, start: Column, end: Column, diges
     return F.concat(F.lit("range:"), base64url(body))
 
 
+def range_handle_sql(workspace: str, start: str, end: str) -> str:
+    """SQL form of ``range_handle`` over the columns path and content."""
+    body = (
+        f"to_json(named_struct('w', {lit(workspace)}, 'p', path, 'a', {start}, 'b', {end}, "
+        "'h', sha2(encode(content, 'UTF-8'), 256)))"
+    )
+    return f"concat('range:', translate(base64(encode({body}, 'UTF-8')), '+/=\\r\\n', '-_'))"
+
+
 def fetch_token(
     workspace: str, path: Column, offset: Column, digest: Column, scope: Column
 ) -> Column:

@@ -21,6 +21,10 @@ def bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def in_list(values) -> str:
+    return "(" + ", ".join(lit(v) for v in values) + ")"
+
+
 def choose(value: str, mapping: dict, default) -> str:
     arms = " ".join(f"WHEN {lit(str(k))} THEN {v!r}D" if isinstance(v, float) else f"WHEN {lit(str(k))} THEN {v}" for k, v in mapping.items())
     tail = f"{default!r}D" if isinstance(default, float) else str(default)

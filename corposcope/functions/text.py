@@ -122,6 +122,12 @@ def running_offsets(items: str, before: str, width: str) -> str:
     )
 
 
+def preview(start: str, end: str, content: str = "content") -> str:
+    """SQL: lines start..end of ``content``, for a window that lies within it."""
+    pieces = f"split(replace({content}, '\\r\\n', '\\n'), '\\n', -1)"
+    return f"ltrim('\\n', array_join(slice({pieces}, {start}, {end} - {start} + 1), '\\n'))"
+
+
 def line_starts(raw_lines: str) -> str:
     """SQL: byte offset of each LF-separated piece (``raw_lines`` keeps CR)."""
     return running_offsets(raw_lines, "0", "octet_length(x) + 1")

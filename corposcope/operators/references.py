@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import handles, paths, syntax, text
 from ..functions.rows import unnest
-from ..functions.sqltext import bind, choose, lit
+from ..functions.sqltext import bind, choose, in_list, lit
 from ..functions.terms import IDENTIFIER_CLASS
 from .search import clamp_limit
 from .symbols import enclosing_symbol, qualified_match, qualified_parts
@@ -90,17 +90,9 @@ def occurrences(name: str, content: str = "content") -> str:
     )
 
 
-def with_occurrences(files: DataFrame, name: str, parsed: bool = False) -> DataFrame:
-    """Files holding ``name`` with ``spots``: position, role, evidence, enclosing.
-
-    Without a parser every role is ``other``; with one, a syntactic mark at the
-    same bytes gives role and enclosing symbol but never removes a hit.
-    """
-    hits = files.filter(F.contains("content", F.lit(name)))
-    if parsed:
-        hits = hits.withColumn("_marks", syntax.role_marks(name)(paths.language("path"), F.col("content")))
-    else:
-        hits = hits.withColumn("_marks", F.array().cast(syntax.MARKS_TYPE))
+def _spots(name: str) -> str:
+    """SQL: occurrences with role, evidence and enclosing symbol, given the columns
+    content, symbols and _marks."""
     spot = bind(
         "get(filter(b.marks, m -> m.start_byte = o.start_byte), 0)", "m",
         "named_struct('line', o.line, 'column', o.column, 'start_byte', o.start_byte, 'end_byte', o.end_byte, "
@@ -110,7 +102,24 @@ def with_occurrences(files: DataFrame, name: str, parsed: bool = False) -> DataF
     spots = bind(
         "named_struct('symbols', symbols, 'marks', _marks)", "b", f"transform({occurrences(name)}, o -> {spot})"
     )
-    return hits.withColumn("spots", F.expr(f"cast({spots} AS array<{SPOT}>)")).drop("_marks")
+    return f"cast({spots} AS array<{SPOT}>)"
+
+
+def _with_marks(files: DataFrame, name: str, parsed: bool) -> DataFrame:
+    """Add ``_marks``: what a parser says about ``name``, or nothing without one."""
+    if not parsed:
+        return files.selectExpr("*", f"cast(array() AS {syntax.MARKS_TYPE.simpleString()}) AS _marks")
+    return files.withColumn("_marks", syntax.role_marks(name)(paths.language("path"), F.col("content")))
+
+
+def with_occurrences(files: DataFrame, name: str, parsed: bool = False) -> DataFrame:
+    """Files holding ``name`` with ``spots``: position, role, evidence, enclosing.
+
+    Without a parser every role is ``other``; with one, a syntactic mark at the
+    same bytes gives role and enclosing symbol but never removes a hit.
+    """
+    hits = _with_marks(files.where(f"contains(content, {lit(name)})"), name, parsed)
+    return hits.selectExpr("* EXCEPT (_marks)", f"{_spots(name)} AS spots")
 
 
 def occurrence_rows(files: DataFrame, name: str, parsed: bool = False) -> DataFrame:
@@ -126,29 +135,21 @@ def definitions(
         raise EngineError("INVALID_REQUEST", "a reference query needs a symbol")
     leaf = (qualified_parts(selector) or ("", selector))[1]
     # A full name equal to the selector is also accepted, whatever its form.
-    names = {selector, leaf}
-    scoped = files if path is None else files.filter(F.col("path") == paths.normalize_path(path))
-    wanted = F.filter(
-        "symbols",
-        lambda s: s["name"].isin(sorted(names)) & (F.lit(True) if line is None else s["start_line"] == line),
-    )
-    named = scoped.filter(F.contains("path", F.lit(leaf)) | F.contains("content", F.lit(leaf)))
-    rows = unnest(named, wanted, "s", "path", "content", "symbols").filter(
-        qualified_match(F.col("symbols"), F.col("s"), selector)
-    )
-    marks = syntax.role_marks(leaf)(paths.language("path"), F.col("content")) if parsed else F.array().cast(syntax.MARKS_TYPE)
-    rows = rows.withColumn("_marks", marks).withColumn("_raw", F.expr(occurrences(leaf)))
-    inside = F.filter(
-        "_raw", lambda o: (o["line"] >= F.col("s.start_line")) & (o["line"] <= F.col("s.end_line"))
-    )
-    declared = F.filter(
-        inside,
-        lambda o: F.exists("_marks", lambda m: (m["start_byte"] == o["start_byte"]) & (m["role"] == "declaration")),
+    wanted = f"x.name IN {in_list(sorted({selector, leaf}))}" + ("" if line is None else f" AND x.start_line = {int(line)}")
+    tests = [f"(contains(path, {lit(leaf)}) OR contains(content, {lit(leaf)}))"]
+    if path is not None:
+        tests.append(f"path = {lit(paths.normalize_path(path))}")
+    rows = (
+        files.where(" AND ".join(tests))
+        .selectExpr("path", "content", "symbols", f"explode_outer(filter(symbols, x -> {wanted})) AS s")
+        .where(f"s IS NOT NULL AND ({qualified_match('symbols', 's', selector)})")
     )
-    picked = F.coalesce(F.get(declared, F.lit(0)), F.get(inside, F.lit(0)))
-    return rows.select(
-        "path", "s.name", "s.kind", "s.start_line", "s.end_line", "s.signature",
-        picked["start_byte"].alias("start_byte"), picked["end_byte"].alias("end_byte"),
+    declared = "filter(inside, o -> exists(_marks, m -> m.start_byte = o.start_byte AND m.role = 'declaration'))"
+    return (
+        _with_marks(rows, leaf, parsed)
+        .selectExpr("path", "s", "_marks", f"filter({occurrences(leaf)}, o -> o.line >= s.start_line AND o.line <= s.end_line) AS inside")
+        .selectExpr("path", "s.*", f"coalesce(get({declared}, 0), get(inside, 0)) AS picked")
+        .selectExpr("* EXCEPT (picked)", "picked.start_byte", "picked.end_byte")
     )
 
 
@@ -173,8 +174,8 @@ def resolve_symbol(
     return Target(row["name"], row["kind"], row["path"], row["start_line"], row["end_line"], row["start_byte"], row["end_byte"])
 
 
-def fold_windows(spots: str, context: int, line_count: str) -> Column:
-    """Windows over ordered occurrences, at most three occurrences in each.
+def fold_windows(spots: str, context: int, line_count: str) -> str:
+    """SQL: windows over ordered occurrences, at most three occurrences in each.
 
     A window takes the role, evidence and enclosing symbol of its best-ranked
     occurrence and keeps the line of its first.
@@ -199,14 +200,15 @@ def fold_windows(spots: str, context: int, line_count: str) -> Column:
     )
     zero = f"named_struct('done', cast(array() AS array<{WINDOW}>), 'open', cast(NULL AS {WINDOW}))"
     finish = "acc -> if(acc.open IS NOT NULL, concat(acc.done, array(acc.open)), acc.done)"
-    return F.expr(f"aggregate({spots}, {zero}, (acc, o) -> {step}, {finish})")
+    return f"aggregate({spots}, {zero}, (acc, o) -> {step}, {finish})"
 
 
 def _in_scope(files: DataFrame, reference_scope: str, scope: list[str] | None) -> DataFrame:
-    return files.filter(
-        paths.in_scope("path", scope)
-        & paths.in_reference_scope(reference_scope, "path", paths.document_type("path"))
-    )
+    if scope:
+        files = files.filter(paths.in_scope("path", scope))
+    if reference_scope in ("", "all"):
+        return files
+    return files.filter(paths.in_reference_scope(reference_scope, "path", paths.document_type("path")))
 
 
 def reference_windows(
@@ -219,16 +221,15 @@ def reference_windows(
         raise EngineError("INVALID_REQUEST", "unsupported reference kind", kinds=sorted(unknown))
     if reference_scope not in ("all", "tests", "production"):
         raise EngineError("INVALID_REQUEST", "reference scope must be all, production or tests")
+    tests = []
+    if target.start_byte is not None:
+        tests.append(f"NOT (path = {lit(target.path)} AND o.start_byte = {target.start_byte})")
+    if kinds:
+        tests.append(f"o.role IN {in_list(kinds)}")
     hits = with_occurrences(_in_scope(files, reference_scope, scope), target.name, parsed)
-
-    def kept(o: Column) -> Column:
-        own = (F.col("path") == target.path) & (o["start_byte"] == F.lit(target.start_byte))
-        wanted = o["role"].isin(list(kinds)) if kinds else F.lit(True)
-        return ~F.coalesce(own, F.lit(False)) & wanted
-
-    hits = hits.withColumn("_kept", F.filter("spots", kept))
-    return hits.withColumn("windows", fold_windows("_kept", context, "line_count")).select(
-        "path", "content", F.size("_kept").alias("occurrence_count"), "windows"
+    kept = f"filter(spots, o -> {' AND '.join(tests) or 'true'})"
+    return hits.selectExpr("path", "content", "line_count", f"{kept} AS _kept").selectExpr(
+        "path", "content", "size(_kept) AS occurrence_count", f"{fold_windows('_kept', context, 'line_count')} AS windows"
     )
 
 
@@ -247,54 +248,43 @@ def find_references(
     per_file = reference_windows(
         files, target, reference_scope=reference_scope, scope=scope, kinds=kinds, context=context, parsed=parsed
     )
-    ranked = F.expr(
-        f"array_sort(transform(windows, (w, i) -> named_struct('p', {choose('w.kind', KIND_PRIORITY, 6)}, "
-        "'l', w.line, 'i', i, 'w', w)))"
-    )
-    groups = unnest(
-        per_file.select("path", "content", F.slice(ranked, 1, cap).alias("ranked")), "ranked", "r", "path", "content",
-        F.get("ranked", F.lit(0))["p"].alias("group_priority"), position="turn",
+    ranked = (
+        f"slice(array_sort(transform(windows, (w, i) -> named_struct('p', {choose('w.kind', KIND_PRIORITY, 6)}, "
+        f"'l', w.line, 'i', i, 'w', w))), 1, {cap})"
     )
-    rows = groups.select(
-        "path", "content", "group_priority", "turn", F.lit(1).alias("after_declaration"),
-        F.col("r.w").alias("w"), F.lit("reference").alias("match_type"),
+    rows = (
+        per_file.selectExpr("path", "content", f"{ranked} AS ranked")
+        .selectExpr("path", "content", "get(ranked, 0).p AS group_priority", "posexplode_outer(ranked) AS (turn, r)")
+        .where("r IS NOT NULL")
+        .selectExpr("path", "content", "group_priority", "turn", "1 AS after_declaration", "r.w AS w", "'reference' AS match_type")
     )
     if kinds and "declaration" in kinds:
         rows = rows.unionByName(_declaration_group(files, target, reference_scope, scope, parsed))
-    top = rows.orderBy("turn", "group_priority", "after_declaration", "path").limit(limit)
-    is_declaration = F.col("match_type") == "declaration"
-    return top.select(
-        "path", "w.line", "w.start_line", "w.end_line",
-        F.col("w.kind").alias("reference_kind"),
-        F.col("w.evidence").alias("classification_evidence"),
-        F.col("w.enclosing").alias("enclosing_symbol"),
-        F.size("w.occurrences").alias("occurrences"),
-        F.array_join(
-            F.transform("w.occurrences", lambda o: F.concat_ws(":", o["line"].cast("string"), o["column"].cast("string"), o["start_byte"].cast("string"))), " "
-        ).alias("positions"),
-        text.join_lines(text.split_lines("content"), F.col("w.start_line"), F.col("w.end_line")).alias("preview"),
-        handles.range_handle(
-            workspace, F.col("path"), F.col("w.start_line"), F.col("w.end_line"), handles.content_hash("content")
-        ).alias("handle"),
+    return rows.orderBy("turn", "group_priority", "after_declaration", "path").limit(limit).selectExpr(
+        "path", "w.line", "w.start_line", "w.end_line", "w.kind AS reference_kind",
+        "w.evidence AS classification_evidence", "w.enclosing AS enclosing_symbol",
+        "size(w.occurrences) AS occurrences",
+        "array_join(transform(w.occurrences, o -> concat_ws(':', o.line, o.column, o.start_byte)), ' ') AS positions",
+        f"{text.preview('w.start_line', 'w.end_line')} AS preview",
+        f"{handles.range_handle_sql(workspace, 'w.start_line', 'w.end_line')} AS handle",
         "match_type",
-        F.expr(choose("w.kind", KIND_SCORE, 0.5)).alias("score"),
-        F.when(is_declaration, "declaration_match").otherwise(F.concat(F.col("w.kind"), F.lit("_reference"))).alias("reason"),
+        f"{choose('w.kind', KIND_SCORE, 0.5)} AS score",
+        "if(match_type = 'declaration', 'declaration_match', concat(w.kind, '_reference')) AS reason",
     )
 
 
 def _declaration_group(files: DataFrame, target: Target, reference_scope: str, scope, parsed: bool) -> DataFrame:
-    own = _in_scope(files, reference_scope, scope).filter(F.col("path") == target.path)
-    with_spots = with_occurrences(own, target.name, parsed)
-    picked = F.filter("spots", lambda o: o["start_byte"] == F.lit(target.start_byte))
-    window = F.struct(
-        F.coalesce(F.get(picked, F.lit(0))["line"], F.lit(target.start_line)).alias("line"),
-        F.lit(target.start_line).alias("start_line"), F.lit(target.end_line).alias("end_line"),
-        F.lit("declaration").alias("kind"), F.lit("syntactic").alias("evidence"),
-        F.get(picked, F.lit(0))["enclosing"].alias("enclosing"), picked.alias("occurrences"),
-    ).cast(WINDOW)
-    return with_spots.select(
-        "path", "content", F.lit(0).alias("group_priority"), F.lit(0).alias("turn"),
-        F.lit(0).alias("after_declaration"), window.alias("w"), F.lit("declaration").alias("match_type"),
+    own = _in_scope(files, reference_scope, scope).where(f"path = {lit(target.path)}")
+    picked = "get(picked, 0)"
+    wanted = "false" if target.start_byte is None else f"o.start_byte = {target.start_byte}"
+    return _with_marks(own, target.name, parsed).selectExpr(
+        "path", "content", f"filter({_spots(target.name)}, o -> {wanted}) AS picked"
+    ).selectExpr(
+        "path", "content", "0 AS group_priority", "0 AS turn", "0 AS after_declaration",
+        f"cast(named_struct('line', coalesce({picked}.line, {target.start_line}), 'start_line', {target.start_line}, "
+        f"'end_line', {target.end_line}, 'kind', 'declaration', 'evidence', 'syntactic', "
+        f"'enclosing', {picked}.enclosing, 'occurrences', picked) AS {WINDOW}) AS w",
+        "'declaration' AS match_type",
     )
 
 

@@ -68,21 +68,18 @@ def qualified_parts(name: str) -> tuple[str, str] | None:
     return (owner, leaf) if owner and leaf else None
 
 
-def qualified_match(symbols: Column, symbol: Column, requested: str) -> Column:
-    """Equal name, or the leaf of a qualified name inside a larger owner."""
-    exact = symbol["name"] == requested
+def qualified_match(symbols: str, symbol: str, requested: str) -> str:
+    """SQL: equal name, or the leaf of a qualified name inside a larger owner."""
+    exact = f"{symbol}.name = {lit(requested)}"
     parts = qualified_parts(requested)
     if parts is None:
         return exact
     owner = (qualified_parts(parts[0]) or ("", parts[0]))[1]
-    contained = F.exists(
-        symbols,
-        lambda o: (o["name"] == owner)
-        & (o["start_line"] <= symbol["start_line"])
-        & (o["end_line"] >= symbol["end_line"])
-        & ((o["start_line"] < symbol["start_line"]) | (o["end_line"] > symbol["end_line"])),
+    contained = (
+        f"exists({symbols}, o -> o.name = {lit(owner)} AND o.start_line <= {symbol}.start_line "
+        f"AND o.end_line >= {symbol}.end_line AND (o.start_line < {symbol}.start_line OR o.end_line > {symbol}.end_line))"
     )
-    return exact | ((symbol["name"] == parts[1]) & contained)
+    return f"{exact} OR ({symbol}.name = {lit(parts[1])} AND {contained})"
 
 
 def find_symbol(
