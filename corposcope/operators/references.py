@@ -357,18 +357,19 @@ def files_with_identifier(files: DataFrame, identifier_rows: DataFrame, name: st
 def reference_counts(files: DataFrame) -> DataFrame:
     """For every declared name, its declarations and its exact occurrences.
 
-    Tokens are counted before the join, so a token that fills a third of the
-    corpus reaches the exchange as one row per task.
+    One scan and one exchange: declared names travel with the tokens, marked by a
+    leading NUL that no identifier holds.  Both are counted per task first, so a
+    token that fills a third of the corpus is shuffled as one row per task.
     """
-    run = f"[{IDENTIFIER_CLASS}]+"
-    tokens = unnest(files, F.regexp_extract_all(F.col("content"), F.lit(run), F.lit(0)), "name")
-    uses = tokens.groupBy("name").agg(F.count("*").alias("occurrences"))
-    names = unnest(files, "symbols", "s").groupBy(F.col("s.name").alias("name")).agg(
-        F.count("*").alias("declarations")
+    run = lit(f"[{IDENTIFIER_CLASS}]+")
+    both = f"concat(regexp_extract_all(content, {run}, 0), transform(symbols, s -> concat('\\0', s.name)))"
+    marked = unnest(files, F.expr(both), "t").selectExpr(
+        "if(startswith(t, '\\0'), substr(t, 2), t) AS name", "startswith(t, '\\0') AS declared"
     )
-    return names.join(uses, "name", "left").select(
-        "name", "declarations", F.coalesce("occurrences", F.lit(0)).alias("occurrences")
+    counts = marked.groupBy("name").agg(
+        F.count_if("declared").alias("declarations"), F.count_if(~F.col("declared")).alias("occurrences")
     )
+    return counts.filter(F.col("declarations") > 0)
 
 
 def semantic_references(

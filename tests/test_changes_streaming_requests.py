@@ -52,6 +52,15 @@ def test_median_and_p95(spark):
     assert changelog.rounded_p95(rows.filter("t < 12"), "key", "v", [F.desc("t")]).first().p95 == 10.0
 
 
+@pytest.mark.parametrize("limit", [3, 1500, 100_000])
+def test_tail_of_a_long_key(spark, limit):
+    texts = [f"{i}-" * (i % 3) for i in range(3000)]
+    rows = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)] + [("q", 0, "")], "key STRING, turn INT, text STRING")
+    got = {r.key: (r.tail, r.dropped_chars) for r in changelog.retain_tail(rows, "key", "turn", "text", limit).collect()}
+    whole = "".join(texts)
+    assert got == {"k": (whole[-limit:], max(0, len(whole) - limit)), "q": ("", 0)}
+
+
 def drain(query):
     query.processAllAvailable()
     query.stop()
