@@ -9,7 +9,7 @@ from ..functions import linediff, text
 from ..functions.sqltext import lit
 from ..operators import hunks, symbols
 from ..sources import corpus
-from .base import BASE, CORPUS, SYMBOLS, query, with_ctes
+from .base import BASE, SYMBOLS, query, with_ctes
 
 
 def _diffs(spark, sf):

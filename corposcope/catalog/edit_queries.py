@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import handles
-from ..functions.terms import IDENTIFIER_CLASS
 from ..operators import edits, symbols
 from ..sources import corpus
-from .base import BASE, CORPUS, RUN, SYMBOLS, language_sql, query, with_ctes
+from .base import BASE, CORPUS, RUN, SYMBOLS, query, with_ctes
 
 FIRST_WORD = r"^(\p{L}+)"
 

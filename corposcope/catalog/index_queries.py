@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import handles, paths, terms, text
 from ..functions.rows import unnest
 from ..operators import index, symbols
-from ..sources import corpus
+from ..sources import corpus, repository
 from .base import BASE, CORPUS, SYMBOLS, document_type_sql, handle_sql, language_sql, query, sql_list, terms_sql, with_ctes
 
 
@@ -56,6 +56,26 @@ def path_exclusions(spark, sf):
     return df.select("doc_id", "path", paths.is_excluded("path").alias("excluded"))
 
 
+RELATIVE = ["src/{}.rs", "/abs/{}.rs", "../up/{}.rs", "a/../{}.rs", "a..b/{}.rs", "dir\\..\\{}.rs", "..{}/x.rs"]
+
+
+@query("relative_paths", f"""SELECT doc_id, path, NOT prefix(path, '/') AND NOT list_contains(string_split(replace(path, chr(92), '/'), '/'), '..') AS relative
+FROM (SELECT doc_id, {shaped_sql(RELATIVE)} AS path FROM documents)""")
+def relative_paths(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", shaped(RELATIVE).alias("path"))
+    return df.select("doc_id", "path", paths.is_relative("path").alias("relative"))
+
+
+PATTERNS = ["docs/src1/", "*.log", "/src/**/doc_?2.py", "en"]
+
+
+@query("configured_exclusions", with_ctes(CORPUS) + """SELECT path FROM corpus WHERE NOT (prefix(path, 'docs/src1/') OR suffix(path, '.log')
+  OR regexp_matches(path, '^src/(.*/)?doc_.2\\.py$') OR list_contains(string_split(path, '/'), 'en'))""")
+def configured_exclusions(spark, sf):
+    df = corpus.document_paths(spark, sf)
+    return df.filter(repository.not_excluded("path", PATTERNS)).select("path")
+
+
 # Each document with one of four line-end treatments, by id.
 ENDINGS_SQL = """CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10))
  WHEN 2 THEN replace(text, chr(10), chr(13)) ELSE replace(text, chr(10), ' ') END"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..functions import text
 from ..operators import references, symbols
 from ..sources import corpus
 from .base import BASE, CORPUS, SYMBOLS, TOKENS, document_type_sql, handle_sql, preview_sql, query, with_ctes

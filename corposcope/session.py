@@ -1,4 +1,4 @@
-"""Session defaults and two size checks used by the operators."""
+"""Session defaults and the input-size check."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Below this much input per core a scan is spread out before per-row work.
 SPREAD_BYTES_PER_CORE = 8 << 20
-# A side is broadcast by hint only when its row count is bounded by a limit.
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,10 +52,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only when unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="corposcope-checkpoint-")
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a scratch one only when none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corposcope-checkpoint-")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import handles, paths
 from ..functions.rows import unnest
+from ..session import checkpoint_dir
 
 BUCKETS = 256
 EVENT_SCHEMA = "path STRING, content STRING, origin STRING, ts TIMESTAMP"
@@ -133,8 +134,9 @@ def compact(spark: SparkSession, state: str, upto: int) -> None:
     _point(spark, state, version, upto)
 
 
-def start(events: DataFrame, state: str, checkpoint: str, interval: str = "2 seconds") -> StreamingQuery:
+def start(events: DataFrame, state: str, checkpoint: str | None = None, interval: str = "2 seconds") -> StreamingQuery:
     """Run the feed; the trigger interval is the debounce between reconciles."""
+    checkpoint = checkpoint or f"{checkpoint_dir(events.sparkSession)}/reconcile"
     return (
         events.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, state))
         .option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

@@ -243,3 +243,35 @@ def test_diff_stat_of_created_and_deleted_text(spark):
     df = spark.createDataFrame([("p", None, "a\nb\n"), ("q", "a\n", None)], "path STRING, before STRING, after STRING")
     rows = df.select("path", linediff.diff_stat("before", "after").alias("s")).collect()
     assert {r.path: (r.s.added, r.s.removed) for r in rows} == {"p": (2, 0), "q": (0, 1)}
+
+
+def test_diff_views(spark):
+    df = spark.createDataFrame([("p", "ab\ncdef\n")], "path STRING, diff STRING")
+    view = lambda detail, cap=0: tuple(edits.shape_diff(df, detail, cap).select("diff", "truncated", "omitted").first())
+    assert view("compact") == (None, False, True) and view("debug", 1) == ("ab\ncdef\n", False, False)
+    assert view("standard", 5) == ("ab\n", True, False) and view("standard", 99) == ("ab\ncdef\n", False, False)
+
+
+def test_diagnostics_name_broken_files_only(corpus):
+    df = corpus({"a.py": "def f(:\n", "b.py": "x = 1\n", "c.md": "(("})
+    assert [(r.path, r.severity) for r in edits.diagnostics(df).collect()] == [("a.py", "error")]
+
+
+def test_diff_cursor(spark):
+    from corposcope import EngineError
+    from corposcope.plans import diff_pages
+
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([10, 10, 50, 5, 5])], "hunk_no INT, text STRING")
+    seen, token = [], None
+    while True:
+        shown, token = diff_pages.page(df, "snap", max_chars=20, scope={"paths": ["a"]}, continuation=token)
+        seen.append([r.hunk_no for r in shown.collect()])
+        if token is None:
+            break
+        last = token
+    assert seen == [[0, 1], [2], [3, 4]]
+    for options, code in (({"snapshot_id": "other"}, "STALE_CONTINUATION"), ({"scope": {}}, "CONTINUATION_SCOPE_MISMATCH"), ({"continuation": "x"}, "INVALID_CONTINUATION")):
+        arguments = {"snapshot_id": "snap", "scope": None, "continuation": last, **options}
+        with pytest.raises(EngineError) as error:
+            diff_pages.page(df, arguments.pop("snapshot_id"), max_chars=20, **arguments)
+        assert error.value.code == code
