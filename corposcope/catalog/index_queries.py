@@ -227,7 +227,7 @@ EVENTS_SQL = [
 ]
 
 
-def _events(spark, sf):
+def path_events(spark, sf):
     files = corpus.documents(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic")
     edited = F.concat("content", F.lit("\nedited"))
@@ -243,11 +243,11 @@ def _events(spark, sf):
 FROM (SELECT * FROM corpus ANTI JOIN removed USING (path)) k
 FULL JOIN (SELECT * FROM changed WHERE content IS NOT NULL) c ON k.path = c.path""")
 def refresh_upsert_delete(spark, sf):
-    files, changed = _events(spark, sf)
+    files, changed = path_events(spark, sf)
     return index.refresh(files, changed).select("path", handles.content_hash("content").alias("hash"), "status")
 
 
 @query("refresh_removed", with_ctes(*EVENTS_SQL) + "SELECT path FROM removed")
 def refresh_removed(spark, sf):
-    files, changed = _events(spark, sf)
+    files, changed = path_events(spark, sf)
     return index.removed_paths(files, changed)

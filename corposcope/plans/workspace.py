@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..functions import handles, text
+from ..functions import handles, paths, text
 from ..operators import changelog, index, reads, references, search, symbols
 from ..sources.corpus import describe
 from . import requests
@@ -154,8 +154,9 @@ class Workspace:
 
     def summary(self) -> DataFrame:
         """File count and languages in one row."""
-        names = F.array_join(F.sort_array(F.collect_set("language")), ",")
-        return self.files.agg(F.count("*").alias("file_count")).join(index.languages(self.files).agg(names.alias("languages")))
+        lang = paths.language("path")
+        names = F.sort_array(F.collect_set(F.when(lang != "text", lang)))
+        return self.files.agg(F.count("*").alias("file_count"), F.array_join(names, ",").alias("languages"))
 
     def instructions(self) -> DataFrame:
         """Instruction files, each cut at a line end within the cap."""

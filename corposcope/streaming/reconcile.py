@@ -22,9 +22,9 @@ EVENT_SCHEMA = "path STRING, content STRING, origin STRING, ts TIMESTAMP"
 ROW = "bucket INT, path STRING, content STRING, hash STRING, batch_id BIGINT"
 
 
-def bucket(path: Column | str) -> Column:
+def bucket(path: Column | str, buckets: int) -> Column:
     p = F.col(path) if isinstance(path, str) else path
-    return F.pmod(F.xxhash64(p), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(p), F.lit(buckets)).cast("int")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -38,29 +38,38 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def initialise(corpus: DataFrame, state: str) -> None:
-    """Write the base table from a corpus."""
+def initialise(corpus: DataFrame, state: str, buckets: int = BUCKETS) -> None:
+    """Write the base table from a corpus.
+
+    ``buckets`` should leave a bucket's path and hash columns small enough to read
+    in every batch; a few thousand suit a corpus of many billions of files.
+    """
     rows = corpus.select(
-        bucket("path").alias("bucket"), "path", "content", handles.content_hash("content").alias("hash"),
+        bucket("path", buckets).alias("bucket"), "path", "content", handles.content_hash("content").alias("hash"),
         F.lit(-1).cast("bigint").alias("batch_id"),
     )
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/base-0")
-    _point(corpus.sparkSession, state, 0, -1)
+    _write_base(rows, f"{state}/base-0")
+    _point(corpus.sparkSession, state, 0, -1, buckets)
+
 
+def _write_base(rows: DataFrame, target: str) -> None:
+    # Ranges of (bucket, path): a large bucket is written by many tasks.
+    rows.repartitionByRange("bucket", "path").write.mode("overwrite").partitionBy("bucket").parquet(target)
 
-def _point(spark: SparkSession, state: str, version: int, upto: int) -> None:
-    row = spark.createDataFrame([(version, upto)], "version INT, upto BIGINT")
+
+def _point(spark: SparkSession, state: str, version: int, upto: int, buckets: int) -> None:
+    row = spark.createDataFrame([(version, upto, buckets)], "version INT, upto BIGINT, buckets INT")
     row.coalesce(1).write.mode("append").parquet(f"{state}/versions")
 
 
-def _base(spark: SparkSession, state: str) -> tuple[str, int]:
+def _base(spark: SparkSession, state: str) -> tuple[str, int, int]:
     row = spark.read.parquet(f"{state}/versions").orderBy(F.desc("version")).first()
-    return f"{state}/base-{row['version']}", row["upto"]
+    return f"{state}/base-{row['version']}", row["upto"], row["buckets"]
 
 
 def current(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
     """The snapshot: the newest delta row of a path wins over its base row."""
-    location, upto = _base(spark, state)
+    location, upto, _ = _base(spark, state)
     base = _read(spark, location, ROW)
     deltas = _read(spark, f"{state}/deltas", ROW).filter(F.col("batch_id") > upto)
     if before is not None:
@@ -89,10 +98,11 @@ def apply_batch(events: DataFrame, batch_id: int, state: str) -> None:
     below it along.  The generation moves only when some hash changed.
     """
     spark = events.sparkSession
+    buckets = _base(spark, state)[2]
     usable = events.filter(~paths.is_excluded("path") & (F.col("path") != ""))
     last = usable.groupBy("path").agg(
         F.max_by(F.struct("content", "origin", "ts"), "ts").alias("e")
-    ).select("path", "e.*", bucket("path").alias("bucket"))
+    ).select("path", "e.*", bucket("path", buckets).alias("bucket"))
     now = current(spark, state, before=batch_id)
     touched = last.join(now.select("bucket", "path", F.col("hash").alias("old")), ["bucket", "path"], "left").select(
         "bucket", "path", "content", handles.content_hash("content").alias("hash"), "old", "origin", "ts"
@@ -127,17 +137,23 @@ def apply_batch(events: DataFrame, batch_id: int, state: str) -> None:
 def compact(spark: SparkSession, state: str, upto: int) -> None:
     """Write a new base that includes all deltas up to a batch; readers switch to
     it when its version row appears."""
-    location, _ = _base(spark, state)
+    location, _, buckets = _base(spark, state)
     version = int(location.rsplit("-", 1)[1]) + 1
     rows = current(spark, state, before=upto + 1)
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/base-{version}")
-    _point(spark, state, version, upto)
+    _write_base(rows, f"{state}/base-{version}")
+    _point(spark, state, version, upto, buckets)
+
 
+def start(
+    events: DataFrame, state: str, checkpoint: str | None = None, interval: str = "2 seconds", available_now: bool = False
+) -> StreamingQuery:
+    """Run the feed; the trigger interval is the debounce between reconciles.
 
-def start(events: DataFrame, state: str, checkpoint: str | None = None, interval: str = "2 seconds") -> StreamingQuery:
-    """Run the feed; the trigger interval is the debounce between reconciles."""
+    ``available_now`` works off what has arrived and stops.
+    """
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     checkpoint = checkpoint or f"{checkpoint_dir(events.sparkSession)}/reconcile"
     return (
         events.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, state))
-        .option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )

@@ -275,3 +275,34 @@ def test_diff_cursor(spark):
         with pytest.raises(EngineError) as error:
             diff_pages.page(df, arguments.pop("snapshot_id"), max_chars=20, **arguments)
         assert error.value.code == code
+
+
+EDIT_TEXTS = st.lists(st.sampled_from(["a", "b", "\n", "\r\n", "ab"]), max_size=12).map("".join)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(EDIT_TEXTS, st.sampled_from(["a", "ab", "a\n", "\n"]), st.integers(1, 3)), min_size=1, max_size=40))
+def test_exact_replacement_equals_a_sequential_model(spark, cases):
+    def label(t):
+        crlf = t.count("\r\n")
+        lf, cr = t.count("\n") - crlf, t.count("\r") - crlf
+        return "none" if not (crlf or lf or cr) else "crlf" if not (lf or cr) else "lf" if not (crlf or cr) else "mixed"
+
+    def adapt(t, kind):
+        plain = t.replace("\r\n", "\n").replace("\r", "\n")
+        return plain.replace("\n", "\r\n") if kind == "crlf" else plain if kind == "lf" else t
+
+    def model(content, old, expected):
+        needle, new = adapt(old, label(content)), adapt("X\nY", label(content))
+        if needle == old or content.count(needle) != expected:
+            needle = old
+        if content.count(needle) != expected:
+            return None
+        if needle.endswith("\n"):
+            new += "\r\n" if needle.endswith("\r\n") else "\n"
+        return content.replace(needle, new, expected)
+
+    rows = [(f"p{i}", c, o, e) for i, (c, o, e) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "path STRING, content STRING, old STRING, expected INT")
+    plan = edits.replace_exact(df, F.col("old"), F.lit("X\nY"), F.col("expected"))
+    assert {r.path: r.after for r in plan.collect()} == {p: model(c, o, e) for p, c, o, e in rows}

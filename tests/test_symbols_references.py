@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from corposcope import EngineError
 from corposcope.operators import references, symbols
@@ -126,3 +128,30 @@ def test_scope_of_references(corpus):
     by = lambda scope: [r.path for r in find(df, "f", context=0, reference_scope=scope)]
     assert by("tests") == ["tests/t.py"] and by("production") == ["src/u.py"]
     assert by("all") == ["docs/d.py", "src/u.py", "tests/t.py"]
+
+
+def sequential_windows(content, name, context):
+    lines = content.split("\n")
+    count = max(1, len(lines) - (1 if lines[-1] == "" else 0))
+    out = []
+    for number, line in enumerate(lines, 1):
+        for word in line.split(" "):
+            if word != name:
+                continue
+            start, end = max(number - context, 1), min(number + context, count)
+            if out and start <= out[-1][2] + 1 and out[-1][3] < 3:
+                out[-1][2], out[-1][3] = max(out[-1][2], end), out[-1][3] + 1
+            else:
+                out.append([number, start, end, 1])
+    return [tuple(w) for w in out]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(["f", "ff", " ", "\n", "\n\n\n", " f "]), max_size=30).map("".join), min_size=1, max_size=20), st.integers(0, 2))
+def test_reference_windows_equal_a_sequential_model(spark, texts, context):
+    df = symbols.with_symbols(spark.createDataFrame([(f"p{i}.txt", t) for i, t in enumerate(texts)], "path STRING, content STRING"), "code")
+    target = references.Target("f", "heading", "elsewhere", 1, 1)
+    rows = references.reference_windows(df, target, context=context).collect()
+    got = {r.path: [(w.line, w.start_line, w.end_line, len(w.occurrences)) for w in r.windows] for r in rows}
+    expected = {f"p{i}.txt": sequential_windows(t, "f", context) for i, t in enumerate(texts)}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in expected.items() if v}
