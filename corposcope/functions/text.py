@@ -23,6 +23,7 @@ _ANSI = (
     r"|[^\[\]]|\z)"
 )
 
+# Fixed value: text that ends a truncated output.
 TRUNCATION_MARKER = "\n… output truncated …"
 
 

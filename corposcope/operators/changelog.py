@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import paths
 from ..functions.rows import unnest
 
+# Capacities of the log, of runs, of roll-ups and of samples.
 LOG_CAPACITY = 2000
 RUN_CAPACITY = 128
 MAX_PATHS = 30

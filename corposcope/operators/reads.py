@@ -13,6 +13,7 @@ from ..functions import handles, paths, text
 from ..functions.rows import unnest
 from ..functions.sqltext import bind, lit
 
+# Read budgets in bytes and surrounding lines.
 DEFAULT_BUDGET = 30_000
 MAX_BUDGET = 200_000
 MAX_SURROUNDING = 200

@@ -15,6 +15,7 @@ from ..functions.terms import IDENTIFIER_CLASS
 from .search import clamp_limit
 from .symbols import enclosing_symbol, qualified_match, qualified_parts
 
+# Limits of a reference request.
 MAX_PER_WINDOW = 3
 MAX_PER_FILE = 3
 MAX_CANDIDATES = 20

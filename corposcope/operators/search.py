@@ -13,6 +13,7 @@ from ..functions import handles, paths, terms, text
 from ..functions.rows import unnest
 from .windows import merge_lines
 
+# Limits of a search request.
 DEFAULT_RESULTS = 20
 PROTOCOL_MAX_RESULTS = 200
 DEFAULT_CONTEXT = 2

@@ -18,8 +18,9 @@ from ..operators import changelog, index, reads, references, search, symbols
 from ..sources.corpus import describe
 from . import requests
 
+# Instruction files shown with a summary, and their inline limit.
 INSTRUCTION_FILES = ["AGENTS.md", "CLAUDE.md"]
-INSTRUCTION_CAP = 8000
+INSTRUCTION_CAP = 4096
 
 
 @dataclass

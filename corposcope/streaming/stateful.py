@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Fixed value: how long an own write explains a watcher event.
 INTERNAL_TTL_SECONDS = 30
 
 ORIGIN_SCHEMA = "path STRING, ts TIMESTAMP, origin STRING"
