@@ -27,10 +27,12 @@ import functools
 import hashlib
 import json
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_batch, texts_of
@@ -81,8 +83,8 @@ def _basic() -> re.Pattern:
 
 # A worker forgets its stored words and cells beyond these numbers and fills them
 # anew; results do not depend on it.
-STORED_WORDS = 600_000
-STORED_CELLS = 2_000_000
+STORED_WORDS = 300_000
+STORED_CELLS = 400_000
 # Longer words are encoded but not stored.
 STORED_LENGTH = 64
 
@@ -126,7 +128,8 @@ class Automaton:
             for n in range(1, len(label)):
                 self.arcs.setdefault(label[:n], -1)
             self.arcs[label] = token
-        self.table: dict[tuple[int, int], bool] = {}
+        # Key: the two tokens in one number.
+        self.table: dict[int, bool] = {}
         for text, token in self.specials.items():
             self.labels[token] = text.encode()
 
@@ -148,11 +151,11 @@ class Automaton:
                 now, v = b + 1, self.left[v]
 
     def allows(self, u: int, v: int) -> bool:
-        found = self.table.get((u, v))
+        found = self.table.get(u << 32 | v)
         if found is None:
             if len(self.table) >= STORED_CELLS:
                 self.table.clear()
-            found = self.table[u, v] = self._cell(u, v, len(self.cut) + 1 + len(self.born))
+            found = self.table[u << 32 | v] = self._cell(u, v, len(self.cut))
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -177,7 +180,7 @@ class Automaton:
                 if end in dead:
                     continue
                 if last is not None:
-                    fits = table.get((last, token))
+                    fits = table.get(last << 32 | token)
                     if not (self.allows(last, token) if fits is None else fits):
                         continue
                 back.append((pos, last, open_arcs))
@@ -243,47 +246,50 @@ def compile_file(path: str) -> Automaton:
     return Automaton(labels, merges, {t["content"]: t["id"] for t in spec.get("added_tokens") or []})
 
 
-# One per Python worker and tokenizer, kept between tasks.
-_kept: dict[int, Words] = {}
+# One per Python worker: tokenizer and its words, kept between tasks.
+_kept: dict[str, Words] = {}
 
 
-def _words(shared) -> Words:
-    if shared.id not in _kept:
+def _words(shared: tuple[str, Broadcast]) -> Words:
+    name, automaton = shared
+    if name not in _kept:
         _kept.clear()
-        _kept[shared.id] = Words(shared.value)
-    return _kept[shared.id]
+        _kept[name] = Words(automaton.value)
+    return _kept[name]
 
 
-class _Shared:
-    """The compiled automaton on every executor; its size is that of the vocabulary."""
+def _share(spark: SparkSession, automaton: Automaton) -> tuple[str, Broadcast]:
+    """The compiled automaton for every executor; its size is that of the vocabulary."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(automaton)
 
-    def __init__(self, spark: SparkSession, automaton: Automaton):
-        self.broadcast = spark.sparkContext.broadcast(automaton)
-        self.id = id(automaton) ^ hash(str(self.broadcast.id if hasattr(self.broadcast, "id") else self.broadcast))
 
-    @property
-    def value(self) -> Automaton:
-        return self.broadcast.value
+def spell(automaton: Automaton, ids) -> str:
+    """The labels of the arcs in order, as text."""
+    return b"".join(map(automaton.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, automaton: Automaton, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the key, ``token_ids``, ``n_tokens`` and
-    ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers).
+def encode(docs: DataFrame, automaton: Automaton, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: the key, ``token_ids``, ``n_tokens``, ``ids_sha256``
+    (of the ids as little-endian unsigned 32-bit integers) and, if ``decoded`` names a
+    column, the text that the ids spell (as ``decode`` gives it, in the same pass).
 
     Texts are encoded whole.  A null text counts as empty: no ids.  Repeated rows
     and null keys stay; other columns of ``docs`` are not read.
     """
-    shared = _Shared(docs.sparkSession, automaton)
+    shared = _share(docs.sparkSession, automaton)
 
     def work(batch: pa.RecordBatch) -> dict:
-        words, pieces = _words(shared), shared.value.pieces
-        get = words.__getitem__
+        words = _words(shared)
+        get, pieces = words.__getitem__, words.automaton.pieces
         rows = [b"".join(map(get, pieces(t))) for t in texts_of(batch, "text")]
         sizes = np.array([len(r) // 4 for r in rows], np.int64)
         offsets = np.zeros(len(rows) + 1, np.int32)
         np.cumsum(sizes, out=offsets[1:])
         values = pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32())
-        return {
+        spelled = {}
+        if decoded:
+            spelled[decoded] = pa.array([spell(words.automaton, np.frombuffer(r, "<u4").tolist()) for r in rows], pa.string())
+        return spelled | {
             "key": batch.column("key"),
             "n_tokens": pa.array(sizes),
             "ids_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in rows]),
@@ -292,7 +298,8 @@ def encode(docs: DataFrame, automaton: Automaton, key: str = "doc_id", text: str
 
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    out = by_batch(source, work, f"key {kind}, n_tokens bigint, ids_sha256 string, token_ids array<int>")
+    more = f", `{decoded}` string" if decoded else ""
+    out = by_batch(source, work, f"key {kind}, n_tokens bigint, ids_sha256 string, token_ids array<int>{more}")
     return out.withColumnRenamed("key", key)
 
 
@@ -301,11 +308,10 @@ def decode(encoded: DataFrame, automaton: Automaton, ids: str = "token_ids", out
 
     Bytes that are no UTF-8 become U+FFFD; null ids spell ''; an unknown id raises.
     """
-    shared = _Shared(encoded.sparkSession, automaton)
+    shared = _share(encoded.sparkSession, automaton)
 
     def work(batch: pa.RecordBatch) -> dict:
-        label = shared.value.labels.__getitem__
-        texts = [b"".join(map(label, row or ())).decode("utf-8", "replace") for row in batch.column(ids).to_pylist()]
+        texts = [spell(shared[1].value, row or ()) for row in batch.column(ids).to_pylist()]
         return dict(zip(batch.schema.names, batch.columns)) | {out: pa.array(texts, pa.string())}
 
     kept = [f for f in encoded.schema.fields if f.name != out]

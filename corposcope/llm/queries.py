@@ -6,18 +6,53 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import read
+from . import bpe, cascade, langid, simhash, toxicity
+from .common import read, remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    automaton = bpe.compile_file(TOKENIZER)
-    encoded = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), automaton)
-    decoded = bpe.decode(encoded, automaton)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    encoded = bpe.encode(docs, bpe.compile_file(TOKENIZER), decoded="decoded")
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(read(spark, sf_dir, "documents", "doc_id", "text"), words=3, bits=2, seed=42)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model, extra={"held_out": held_out})
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.predict(docs, model, extra={"held_out": held_out})
+
+
+CASCADE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def op10_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    judged = cascade.judge(docs, measures=CASCADE_COUNTS)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select("doc_id", *CASCADE_COUNTS, failed.alias("base_failed"), "kept")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_simhash": op2_simhash,
+    "op6_langid": op6_langid,
+    "op7_toxicity": op7_toxicity,
+    "op10_cascade": op10_cascade,
+}
 ORACLE_SQL: dict[str, str] = {}
