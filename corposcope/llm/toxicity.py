@@ -21,6 +21,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ UNLABELLED = 12000
 # Words with the clearest excess among toxic texts, in either direction.
 WORDS = 1024
 # Standard errors that the excess of a word must have.
-LEAST_EXCESS = 5.0
+LEAST_EXCESS = 3.5
 EPOCHS, BATCHES, RATE, DECAY = 300, 8, 0.05, 1e-4
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -176,3 +177,14 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     source = docs.select(docs[key].alias(key), *(c.alias(n) for n, c in extra.items()), docs[text].alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__text")
     return by_batch(source, work, f"{fields}, score double, predicted int")
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """The score as a column, for filtering ``docs`` in place."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(shared.value.score).astype("float64")
+
+    return score(docs[text])
