@@ -2,7 +2,7 @@
 
 Only confirmed toxic texts are taken as labelled; every other text is unlabelled,
 a mixture in which toxic texts have the class prior ``pi``.  With ``l`` the logistic
-loss, a linear classifier ``g`` over word presence minimises
+loss, a linear classifier ``g`` over the presence of words and word stems minimises
 
     pi * E_P[l(g)]  +  max(0, E_U[l(-g)] - pi * E_P[l(-g)])
 
@@ -30,17 +30,24 @@ from .common import by_batch, texts_of, written
 
 POSITIVES = 4000
 UNLABELLED = 12000
-# Words with the clearest excess among toxic texts, in either direction.
+# Words with the clearest excess among toxic texts.
 WORDS = 1024
 # Standard errors that the excess of a word must have.
-LEAST_EXCESS = 3.5
+LEAST_EXCESS = 3.0
+# Share of a word's unlabelled texts that must be toxic by the prior: pi * P(word | toxic) / P(word).
+LEAST_PRECISION = 0.7
+# Letters of a stem.
+STEM = 4
 EPOCHS, BATCHES, RATE, DECAY = 300, 8, 0.05, 1e-4
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """Words in lower case, and the stems of the longer ones: compounds of an insult
+    share its first letters."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {w[:STEM] + "-" for w in words if len(w) > STEM}
 
 
 @dataclass(frozen=True)
@@ -58,11 +65,11 @@ class Model:
 
 
 def _drawn(rows: DataFrame, key: str, most: int, total: int) -> DataFrame:
-    """About ``most`` rows by hash of the key, never more than twice as many."""
+    """All rows, or those of about ``most`` by hash of the key (each in place, no shuffle)."""
     if total <= most:
         return rows
     share = int(most / total * (1 << 40)) + 1
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 40)) < share).limit(2 * most)
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 40)) < share)
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[DataFrame, float]:
@@ -75,14 +82,14 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[Dat
     total = docs.count()
     toxic = _drawn(known.where("toxic = 1").select(key), key, POSITIVES, n_toxic)
     source = docs.select(docs[key].alias(key), docs[text].alias("text"))
-    # At most 2 * POSITIVES keys.
+    # About POSITIVES keys, whatever the number of labels.
     positive = source.join(F.broadcast(toxic), key).select(F.lit(True).alias("positive"), "text")
     unlabelled = _drawn(source, key, UNLABELLED, total).select(F.lit(False).alias("positive"), "text")
-    return written(positive.limit(4 * POSITIVES).union(unlabelled), "sample"), n_toxic / n_known if n_known else 0.0
+    return written(positive.union(unlabelled), "sample"), n_toxic / n_known if n_known else 0.0
 
 
-def _vocabulary(rows: DataFrame, n_p: int, n_u: int) -> list[str]:
-    """Words whose share among the toxic texts differs most clearly from that among the others."""
+def _vocabulary(rows: DataFrame, n_p: int, n_u: int, prior: float) -> list[str]:
+    """Words that are clearly more frequent in toxic texts, and mostly toxic where they stand."""
 
     def run(batches):
         for batch in batches:
@@ -98,8 +105,8 @@ def _vocabulary(rows: DataFrame, n_p: int, n_u: int) -> list[str]:
     counts = rows.mapInArrow(run, "word string, p bigint, u bigint").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b = F.col("p") / n_p, F.col("u") / n_u
     spread = F.sqrt((a * (1 - a) + 1.0 / n_p) / n_p + (b * (1 - b) + 1.0 / n_u) / n_u)
-    excess = F.abs(a - b) / spread
-    top = counts.where("p + u >= 5").select("word", excess.alias("excess")).where(F.col("excess") >= LEAST_EXCESS)
+    top = counts.where("p >= 5").select("word", ((a - b) / spread).alias("excess"), (prior * a / (b + 1.0 / n_u)).alias("precision"))
+    top = top.where((F.col("excess") >= LEAST_EXCESS) & (F.col("precision") >= LEAST_PRECISION))
     return [r["word"] for r in top.orderBy(F.desc("excess"), "word").limit(WORDS).collect()]
 
 
@@ -156,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not n.get(True) or not n.get(False):
         return Model({}, -500.0, prior)
     prior = min(max(prior, 1e-4), 0.5)
-    vocabulary = _vocabulary(rows, n[True], n[False])
+    vocabulary = _vocabulary(rows, n[True], n[False], prior)
     weights, bias = train(*_presence(rows, vocabulary), prior)
     return Model(dict(zip(vocabulary, map(float, weights), strict=True)), bias, prior)
 
