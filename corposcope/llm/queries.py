@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, cascade, decontam, langid, license, linetemplates, revisit, simhash, surrogate, toxicity
 from .common import read, remainder
+from .oracles import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -113,4 +114,4 @@ QUERIES = {
     "op9_line_templates": op9_line_templates,
     "op10_cascade": op10_cascade,
 }
-ORACLE_SQL: dict[str, str] = {}
+
