@@ -45,16 +45,22 @@ def words_of(text: str) -> list[str]:
 
 def split_item(words: list[str]) -> tuple[list[str], list[str]]:
     """Question and answer of an item without a separate answer: the answer is its
-    last third, with the words that its first shingles need before it."""
+    last third, with the words that its first shingles need before it.  If that leaves
+    the question less than a shingle, the whole item is the question."""
     cut = len(words) - len(words) // 3
-    return words[:cut], words[max(0, cut - SHINGLE + 1) :]
+    return (words[:cut], words[cut - SHINGLE + 1 :]) if cut >= SHINGLE else (words, [])
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
+def shingles(words: list[str], width: int = SHINGLE) -> set[tuple[str, ...]]:
     """Distinct shingles; fewer words than a shingle are one."""
     if not words:
         return set()
-    return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else {tuple(words)}
+    return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
+
+
+def overlap(part: set[tuple[str, ...]], words: list[str]) -> float:
+    """Share of the shingles of a part (all of one width) that stand in ``words``; 1 if it has none."""
+    return len(part & shingles(words, len(next(iter(part))))) / len(part) if part else 1.0
 
 
 class Index:
@@ -162,11 +168,9 @@ class Index:
         words = words_of(text)
         best: dict[int, tuple[float, float, float, int]] = {}
         for start, terms in self.passages(words):
-            held = None
+            passage = words[start : start + 2 * self.span]
             for at, score in self.search(terms):
-                if held is None:
-                    held = shingles(words[start : start + 2 * self.span])
-                question, answer = (len(p & held) / len(p) if p else 1.0 for p in self.parts[at])
+                question, answer = (overlap(p, passage) for p in self.parts[at])
                 if min(question, answer) >= OVERLAP:
                     row = (score * RATIO, question, answer, -start)
                     if at not in best or (row[1] + row[2], *row) > (best[at][1] + best[at][2], *best[at]):

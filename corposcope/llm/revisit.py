@@ -41,8 +41,8 @@ def canonical(url: Column) -> Column:
 
 
 def _lower_names(headers: Column) -> Column:
-    """Header names in lower case; of names that differ by case only the first counts."""
-    pairs = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    """Header names in lower case; of names that differ by case only the first in code order counts."""
+    pairs = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     first = F.aggregate(
         F.coalesce(pairs, F.array()),
         F.array().cast("array<struct<key:string,value:string>>"),

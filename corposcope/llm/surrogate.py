@@ -154,8 +154,9 @@ def surrogate(secret: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         return pool[permute(secret, f"given\0{attempt}\0{_GENDER[entity]}", pool.index(entity), len(pool))]
     elif kind == "surname":
         ending = re.search("(?:ов|ев|ин|ск)(?:а|ая|ий)?$", entity)
-        if ending:
-            classes = [g if i < ending.start() else None for i, g in enumerate(classes)]
+        if ending:  # the stem alone decides, so both genders of a family name go together
+            stem = entity[: ending.start()]
+            return _exchange(secret, kind, attempt, stem, classes[: len(stem)]) + ending.group()
     # Walking on until the form fits keeps the mapping a permutation of the fitting ones.
     out = step(entity)
     while not fits(out):

@@ -10,8 +10,6 @@ from tokenizers import Tokenizer
 from corposcope.llm import bpe
 from corposcope.llm.queries import TOKENIZER
 
-from .conftest import ODD
-
 
 @pytest.fixture(scope="module")
 def library():
@@ -75,7 +73,7 @@ def test_rows(spark, odd, none, words):
     automaton = words.automaton
     found = bpe.encode(odd, automaton, decoded="decoded")
     rows = [(r["doc_id"], r["n_tokens"], r["token_ids"], r["decoded"], r["ids_sha256"]) for r in found.collect()]
-    assert sorted(r[3] for r in rows) == sorted(t or "" for _, t in ODD)
+    assert sorted(r[3] for r in rows) == sorted(t or "" for t in (r["text"] for r in odd.collect()))
     assert all(n == len(i) and h == hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for _, n, i, _, h in rows)
     again = bpe.decode(found.drop("decoded"), automaton)
     assert sorted(r["decoded"] for r in again.collect()) == sorted(r[3] for r in rows)

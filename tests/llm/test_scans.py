@@ -43,8 +43,8 @@ def brute(rows, given):
         if i is not None and (words := decontam.words_of(t or "")):
             q, a = map(decontam.shingles, decontam.split_item(words))
             for d, x in rows:
-                s = decontam.shingles(decontam.words_of(x or ""))
-                if len(q & s) >= 0.8 * len(q) and len(a & s) >= 0.8 * len(a):
+                w = decontam.words_of(x or "")
+                if min(decontam.overlap(q, w), decontam.overlap(a, w)) >= 0.8:
                     want.add((d, i))
     return want
 
