@@ -217,6 +217,47 @@ def edit_transactions(spark, sf):
     )
 
 
+def _planned(changes, files):
+    plan = edits.plan_transactions(changes, files)
+    return plan.select("txn", "path", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(handles.content_hash("after"), F.lit("")).alias("after_hash"))
+
+
+@query("edit_transactions_crlf", with_ctes(CORPUS, "crlf AS (SELECT doc_id, path, replace(content, chr(10), chr(13) || chr(10)) AS content FROM corpus)") + """
+SELECT doc_id::VARCHAR AS txn, path, '' AS error, sha256(replace(content, '.' || chr(13) || chr(10), '!' || chr(13) || chr(10))) AS after_hash FROM crlf""")
+def edit_transactions_crlf(spark, sf):
+    """A needle with LF line ends in files with CR LF line ends."""
+    files = corpus.documents(spark, sf)
+    n = ((F.octet_length("content") - F.octet_length(F.replace("content", F.lit(".\n"), F.lit("")))) / 2).cast("int")
+    changes = files.select(
+        F.col("doc_id").cast("string").alias("txn"), F.lit(1).alias("seq"), F.lit("replace").alias("kind"), "path", F.lit(None).cast("string").alias("to"),
+        F.lit(".\n").alias("old_text"), F.lit("!\n").alias("new_text"), n.alias("expected"),
+    )
+    return _planned(changes, files.select("path", F.replace("content", F.lit("\n"), F.lit("\r\n")).alias("content")))
+
+
+@query("edit_transactions_conflicts", with_ctes(CORPUS) + """
+SELECT doc_id::VARCHAR AS txn, CASE WHEN doc_id % 3 = 2 THEN 'new/' || path ELSE path END AS path,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'PATH_EXISTS' END AS error, CASE WHEN doc_id % 3 = 0 THEN sha256('fresh') ELSE '' END AS after_hash FROM corpus""")
+def edit_transactions_conflicts(spark, sf):
+    """Create with and without overwrite; rename to a path that the same transaction freed."""
+    files = corpus.documents(spark, sf)
+    none = F.lit(None).cast("string")
+    fresh = F.concat(F.lit("new/"), "path")
+
+    def step(seq, kind, path, to, new, overwrite):
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), path.alias("path"), to.alias("to"), none.alias("old_text"),
+                        new.alias("new_text"), F.lit(0).alias("expected"), F.lit(overwrite).alias("overwrite"))
+
+    rows = F.when(F.col("doc_id") % 3 == 0, F.array(step(1, "create", F.col("path"), none, F.lit("fresh"), True)))
+    rows = rows.when(F.col("doc_id") % 3 == 1, F.array(step(1, "create", F.col("path"), none, F.lit("fresh"), False)))
+    rows = rows.otherwise(F.array(
+        step(1, "delete", F.col("path"), none, none, False), step(2, "create", fresh, none, F.lit("fresh"), False),
+        step(3, "rename", fresh, F.col("path"), none, False),
+    ))
+    changes = files.select(F.col("doc_id").cast("string").alias("txn"), F.explode(rows).alias("c")).select("txn", "c.*")
+    return _planned(changes, files.select("path", "content"))
+
+
 @query("syntax_gate")
 def syntax_gate(spark, sf):
     """Documents as planned texts: prose under a code extension does not parse."""

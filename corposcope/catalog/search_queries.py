@@ -88,6 +88,14 @@ def search_regex_cs(spark, sf):
     return search.search_text(corpus.documents(spark, sf), REGEX_CS, syntax="regex", context=0, case_sensitive=True, max_results=50)
 
 
+REGEX_POSIX = "[[:space:]][[:upper:]][[:lower:]]+[[:punct:]]"
+
+
+@query("search_regex_posix", search_sql(REGEX_POSIX, f"regexp_matches(text, '{REGEX_POSIX}')", context=0, limit=50, cap=8, kind="regex"))
+def search_regex_posix(spark, sf):
+    return search.search_text(corpus.documents(spark, sf), REGEX_POSIX, syntax="regex", context=0, case_sensitive=True, max_results=50)
+
+
 MANY = ["le", "der", "que", "the", "zzqq"]
 
 

@@ -38,18 +38,32 @@ def stream_tail(spark, sf):
     return rows.groupBy("run_id").agg(F.max_by(F.struct("tail", "dropped_chars"), "batch").alias("r")).select("run_id", "r.*")
 
 
-@query("stream_reconcile", with_ctes(*EVENTS_SQL) + """SELECT coalesce(c.path, k.path) AS path, sha256(coalesce(c.content, k.content)) AS hash
-FROM (SELECT * FROM corpus ANTI JOIN removed USING (path)) k
-FULL JOIN (SELECT * FROM changed WHERE content IS NOT NULL) c ON k.path = c.path""")
-def stream_reconcile(spark, sf):
-    """Documents as the base, label-derived path events as the feed."""
+def _feed(spark, sf, removed_at: str, written_at: str):
+    """Documents as the base, label-derived path events as the feed, run to its end."""
     out = _scratch(spark, "feed")
     files, changed = path_events(spark, sf)
     reconcile.initialise(files, f"{out}/state", buckets=8)
-    # Directories vanish before files are written again, as the batch form assumes.
-    when = F.when(F.col("content").isNull(), F.lit("2024-01-01")).otherwise(F.lit("2024-01-02")).cast("timestamp")
+    when = F.when(F.col("content").isNull(), F.lit(removed_at)).otherwise(F.lit(written_at)).cast("timestamp")
     events = changed.select("path", "content", F.lit("external").alias("origin"), when.alias("ts"))
     events.write.parquet(f"{out}/events")
     feed = spark.readStream.schema(reconcile.EVENT_SCHEMA).parquet(f"{out}/events")
     reconcile.start(feed, f"{out}/state", f"{out}/checkpoint", "0 seconds", available_now=True).awaitTermination()
     return reconcile.current(spark, f"{out}/state").select("path", "hash")
+
+
+_SNAPSHOT_SQL = """SELECT coalesce(c.path, k.path) AS path, sha256(coalesce(c.content, k.content)) AS hash
+FROM (SELECT * FROM corpus ANTI JOIN removed USING (path)) k
+FULL JOIN (SELECT * FROM changed WHERE content IS NOT NULL{late}) c ON k.path = c.path"""
+
+
+@query("stream_reconcile", with_ctes(*EVENTS_SQL) + _SNAPSHOT_SQL.format(late=""))
+def stream_reconcile(spark, sf):
+    """Directories vanish before files are written again."""
+    return _feed(spark, sf, "2024-01-01", "2024-01-02")
+
+
+@query("stream_reconcile_late_delete", with_ctes(*EVENTS_SQL) + _SNAPSHOT_SQL.format(
+    late=" AND NOT EXISTS (SELECT 1 FROM gone WHERE prefix(changed.path, gone.path || '/'))"))
+def stream_reconcile_late_delete(spark, sf):
+    """Directories vanish after files below them were written, in one batch."""
+    return _feed(spark, sf, "2024-01-02", "2024-01-01")

@@ -23,12 +23,29 @@ def _text(value) -> str:
 
 
 def _render(path: str, before, after) -> str:
-    rows = difflib.unified_diff(
-        _lf_lines(_text(before)), _lf_lines(_text(after)), f"a/{path}", f"b/{path}", n=3
-    )
+    a, b = _lf_lines(_text(before)), _lf_lines(_text(after))
     out = []
-    for row in rows:
-        out.append(row if row.endswith("\n") else row + "\n\\ No newline at end of file\n")
+
+    def put(sign: str, line: str) -> None:
+        out.append(sign + line if line.endswith("\n") else f"{sign}{line}\n\\ No newline at end of file\n")
+
+    def span(start: int, end: int) -> str:
+        """Lines start..end of a side as a hunk header counts them."""
+        return f"{start + 1}" if end - start == 1 else f"{start + (end > start)},{end - start}"
+
+    for group in difflib.SequenceMatcher(None, a, b, autojunk=False).get_grouped_opcodes(3):
+        if not out:
+            out.append(f"--- a/{path}\n+++ b/{path}\n")
+        out.append(f"@@ -{span(group[0][1], group[-1][2])} +{span(group[0][3], group[-1][4])} @@\n")
+        for tag, i1, i2, j1, j2 in group:
+            if tag == "equal":
+                for line in a[i1:i2]:
+                    put(" ", line)
+                continue
+            for line in a[i1:i2]:
+                put("-", line)
+            for line in b[j1:j2]:
+                put("+", line)
     return "".join(out)
 
 

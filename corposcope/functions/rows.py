@@ -19,3 +19,33 @@ def unnest(df: DataFrame, array: Column | str, name: str, *keep, position: str |
     else:
         generated = F.posexplode_outer(array).alias(position, name)
     return df.select(*keep, generated).filter(F.col(name).isNotNull())
+
+
+# A request within both bounds is sent to every executor.
+MOST_REQUESTED, MOST_REQUESTED_BYTES = 10_000, 32 << 20
+
+
+def is_small(requested: DataFrame) -> bool:
+    """Whether the rows and the text of a request are within the bounds."""
+    texts = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in requested.schema.fields if f.dataType.typeName() == "string"]
+    rows, *sizes = requested.limit(MOST_REQUESTED + 1).select(F.count("*"), *texts).first() if texts else [requested.limit(MOST_REQUESTED + 1).count()]
+    return rows <= MOST_REQUESTED and sum(sizes) <= MOST_REQUESTED_BYTES
+
+
+def attach(requested: DataFrame, files: DataFrame, *columns: str | Column, on: str = "path") -> DataFrame:
+    """Rows of ``requested`` with ``columns`` of the file of their path, as a left join gives them.
+
+    A left join cannot broadcast its left side, so it would shuffle every text to
+    serve a few paths.  A request of measured size is broadcast to the files
+    instead, and its rows without a file are added; a larger one is joined.
+    """
+    served = files.select(on, *columns)
+    if not is_small(requested):
+        return requested.join(served, on, "left")
+    own = [c for c in requested.columns if c != on]
+    found = served.join(F.broadcast(requested), on)
+    found = found.select(on, *own, *[c for c in served.columns if c != on])
+    known = files.select(on).join(F.broadcast(requested.select(on).distinct()), on, "left_semi")
+    # No more paths than the request has.
+    missing = requested.join(F.broadcast(known), on, "left_anti")
+    return found.unionByName(missing, allowMissingColumns=True)

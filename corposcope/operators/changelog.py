@@ -16,7 +16,6 @@ MAX_PATHS = 30
 MAX_GROUPS = 20
 SAMPLES = 64
 # Largest rank that Spark turns into a group limit by default.
-GROUP_LIMIT = 1000
 
 
 def changes_since(log: DataFrame, since: int = 0, source: str | None = None, limit: int = 200) -> DataFrame:
@@ -35,15 +34,13 @@ def retain(log: DataFrame, capacity: int = LOG_CAPACITY) -> DataFrame:
 def retain_per_key(rows: DataFrame, key: str, order: list[Column], capacity: int, salts: int = 64) -> DataFrame:
     """The first ``capacity`` rows per key.
 
-    ``row_number() <= n`` becomes a group limit, so each task sends at most n
-    rows per key to the exchange even when one key holds most of the data.  Spark
-    does that for n up to a thousand; above, a key is first cut in ``salts``
-    slices, each of which keeps its own first n rows.
+    A key is first cut into ``salts`` slices, each of which keeps its own first n
+    rows, so no task sorts all rows of a key that holds most of the data.  Where
+    Spark plans ``row_number() <= n`` as a group limit, a task also sends at most n
+    rows per slice.
     """
-    if capacity > GROUP_LIMIT:
-        sliced = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-        rows = _first(sliced, [key, "_salt"], order, capacity).drop("_salt")
-    return _first(rows, [key], order, capacity)
+    sliced = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    return _first(_first(sliced, [key, "_salt"], order, capacity).drop("_salt"), [key], order, capacity)
 
 
 def _first(rows: DataFrame, keys: list[str], order: list[Column], capacity: int) -> DataFrame:

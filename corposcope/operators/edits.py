@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import handles, linediff, paths, syntax, text
-from ..functions.rows import unnest
+from ..functions.rows import attach, is_small, unnest
 from ..functions.sqltext import bind
 
 PLAN_SCHEMA = T.StructType(
@@ -108,8 +108,7 @@ def insert_at_symbol(files: DataFrame, anchor: Column, position: str, content: C
 def create(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (path, content, overwrite): new files, or overwritten ones that
     keep the line ends of what they replace."""
-    current = files.select("path", F.col("content").alias("before"))
-    df = wanted.join(current, "path", "left")
+    df = attach(wanted, files, F.col("content").alias("before"))
     exists = F.col("before").isNotNull()
     refused = exists & ~F.col("overwrite")
     body = F.when(exists, text.to_line_ending(F.col("content"), text.line_ending("before"))).otherwise(F.col("content"))
@@ -119,7 +118,7 @@ def create(files: DataFrame, wanted: DataFrame) -> DataFrame:
 def rename(files: DataFrame, moves: DataFrame) -> DataFrame:
     """``moves`` (path, to): two plan rows each, or PATH_NOT_FOUND / PATH_EXISTS."""
     known = files.select(F.col("path").alias("to"), F.lit(True).alias("taken"))
-    df = moves.join(files.select("path", "content"), "path", "left").join(known, "to", "left")
+    df = attach(attach(moves, files, "content"), known, "taken", on="to") if is_small(moves) else attach(moves, files, "content").join(known, "to", "left")
     error = F.when(F.col("content").isNull(), "PATH_NOT_FOUND").when(F.col("taken"), "PATH_EXISTS")
     none = F.lit(None).cast("string")
     rows = F.array(
@@ -165,7 +164,7 @@ def check_preconditions(changes: DataFrame, files: DataFrame) -> DataFrame:
 
     ``changes``: path, kind, overwrite, has_snapshot, expected_hash.
     """
-    df = changes.join(files.select("path", handles.content_hash("content").alias("actual_hash")), "path", "left")
+    df = attach(changes, files, handles.content_hash("content").alias("actual_hash"))
     exists = F.col("actual_hash").isNotNull()
     edits_existing = (F.col("kind") != "create") | exists
     error = (
@@ -261,7 +260,8 @@ def diagnostics(files: DataFrame) -> DataFrame:
 def plan_transactions(changes: DataFrame, files: DataFrame) -> DataFrame:
     """Fold each transaction's changes in order of ``seq`` into plan rows.
 
-    ``changes``: txn, seq, kind, path, to, old_text, new_text, expected.  A later
+    ``changes``: txn, seq, kind, path, to, old_text, new_text, expected and, if
+    created files may replace existing ones, overwrite.  A later
     change sees the text an earlier one left, also across a rename, so a
     transaction is one group; it is one request, which its sender bounds.  The
     first error voids the transaction.
@@ -288,6 +288,30 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=PLAN_SCHEMA.names)
 
 
+def _with_line_ends(value: str, like: str) -> str:
+    """``value`` with the line ends of ``like``, if those are of one kind."""
+    pairs = like.count("\r\n")
+    lf, cr = like.count("\n") - pairs, like.count("\r") - pairs
+    plain = value.replace("\r\n", "\n").replace("\r", "\n")
+    if pairs and not lf and not cr:
+        return plain.replace("\n", "\r\n")
+    return plain if lf and not pairs and not cr else value
+
+
+def _replaced(before: str, old: str, new: str, expected: int) -> str | None:
+    """All occurrences replaced if there are ``expected`` of them, else None.  A needle
+    rewritten to the file's line ends goes before the needle as given."""
+    needle = _with_line_ends(old, before)
+    if needle == old or before.count(needle) != expected:
+        needle = old
+    if before.count(needle) != expected:
+        return None
+    new = _with_line_ends(new, before)
+    if new and not new.endswith("\n") and needle.endswith("\n"):
+        new += "\r\n" if needle.endswith("\r\n") else "\n"
+    return before.replace(needle, new)
+
+
 def _fold_transaction(txn: str, rows) -> list[list]:
     plan: dict[str, list] = {}
     for row in rows:
@@ -298,18 +322,19 @@ def _fold_transaction(txn: str, rows) -> list[list]:
         if row["kind"] != "create" and before is None:
             error = "PATH_NOT_FOUND"
         elif row["kind"] == "replace":
-            if before.count(row["old_text"]) != row["expected"]:
-                error = "EXACT_MATCH_COUNT"
-            else:
-                updates[path] = (before, before.replace(row["old_text"], row["new_text"]))
+            after = _replaced(before, row["old_text"], row["new_text"], row["expected"])
+            error = "EXACT_MATCH_COUNT" if after is None else None
+            updates[path] = (before, after)
         elif row["kind"] == "create":
-            error = "PATH_EXISTS" if before is not None else None
-            updates[path] = (None, row["new_text"])
+            allowed = before is None or row.get("overwrite") is True
+            error = None if allowed else "PATH_EXISTS"
+            updates[path] = (before, row["new_text"] if before is None else _with_line_ends(row["new_text"], before))
         elif row["kind"] == "delete":
             updates[path] = (before, None)
         elif row["kind"] == "rename":
             to = row["to"]
-            taken = plan[to][1] is not None if to in plan else row["to_exists"] is True
+            # A path that a change before has freed still counts as taken.
+            taken = row["to_exists"] is True or (to in plan and plan[to][1] is not None)
             error = "PATH_EXISTS" if taken else None
             updates[path], updates[to] = (before, None), (None, before)
         else:

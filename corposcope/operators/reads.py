@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import handles, paths, text
-from ..functions.rows import unnest
+from ..functions.rows import attach, unnest
 from ..functions.sqltext import bind, lit
 
 # Read budgets in bytes and surrounding lines.
@@ -72,7 +72,7 @@ def _column(value: Column | int) -> Column:
 
 def read_paths(files: DataFrame, requested: DataFrame, **options) -> DataFrame:
     """Requested paths; those not indexed give an error row."""
-    joined = requested.select("path").join(files.select("path", "content"), "path", "left")
+    joined = attach(requested.select("path"), files, "content")
     ok = read_range(joined.filter(F.col("content").isNotNull()), **options).withColumn("error", F.lit(None).cast("string"))
     bad = joined.filter(F.col("content").isNull()).select("path", F.lit("PATH_NOT_INDEXED").alias("error"))
     return ok.unionByName(bad, allowMissingColumns=True)
@@ -84,7 +84,7 @@ def read_handles(files: DataFrame, tokens: DataFrame, *, workspace: str = "main"
         "handle", F.col("r.w").alias("workspace"), F.col("r.p").alias("path"), F.col("r.a").alias("a"),
         F.col("r.b").alias("b"), F.col("r.h").alias("expected"),
     )
-    joined = asked.join(files.select("path", "content"), "path", "left")
+    joined = attach(asked, files, "content")
     error = (
         F.when(F.coalesce(F.col("workspace"), F.lit("")) != workspace, "INVALID_HANDLE")
         .when(F.col("content").isNull(), "STALE_HANDLE")
@@ -101,7 +101,7 @@ def read_continuations(files: DataFrame, tokens: DataFrame, *, workspace: str =
         F.when(F.col("r.scope.kind") == "lines", F.col("r.scope.end_line")).alias("b"),
         F.col("r.content_hash").alias("expected"), F.col("r.offset").alias("from_offset"),
     )
-    joined = asked.join(files.select("path", "content"), "path", "left")
+    joined = attach(asked, files, "content")
     error = (
         F.when(F.coalesce(F.col("workspace"), F.lit("")) != workspace, "INVALID_CONTINUATION")
         .when(F.col("content").isNull(), "STALE_CONTINUATION")

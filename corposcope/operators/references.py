@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import handles, paths, syntax, text
-from ..functions.rows import unnest
+from ..functions.rows import attach, unnest
 from ..functions.sqltext import bind, choose, in_list, lit
 from ..functions.terms import IDENTIFIER_CLASS
 from .search import clamp_limit
@@ -254,15 +254,18 @@ def find_references(
         f"'l', w.line, 'i', i, 'w', w))), 1, {cap})"
     )
     rows = (
-        per_file.selectExpr("path", "content", f"{ranked} AS ranked")
-        .selectExpr("path", "content", "get(ranked, 0).p AS group_priority", "posexplode_outer(ranked) AS (turn, r)")
+        per_file.selectExpr("path", f"{ranked} AS ranked")
+        .selectExpr("path", "get(ranked, 0).p AS group_priority", "posexplode_outer(ranked) AS (turn, r)")
         .where("r IS NOT NULL")
-        .selectExpr("path", "content", "group_priority", "turn", "1 AS after_declaration", "r.w AS w", "'reference' AS match_type")
+        .selectExpr("path", "group_priority", "turn", "1 AS after_declaration", "r.w AS w", "'reference' AS match_type")
     )
     if kinds and "declaration" in kinds:
         rows = rows.unionByName(_declaration_group(files, target, reference_scope, scope, parsed))
-    return rows.orderBy("turn", "group_priority", "after_declaration", "path").limit(limit).selectExpr(
-        "path", "w.line", "w.start_line", "w.end_line", "w.kind AS reference_kind",
+    # No text takes part in the top-k; those of the winners are fetched.
+    order = ["turn", "group_priority", "after_declaration", "path"]
+    found = files.select("path", "content").join(F.broadcast(rows.orderBy(*order).limit(limit)), "path")
+    return found.selectExpr(
+        "turn", "group_priority", "after_declaration", "path", "w.line", "w.start_line", "w.end_line", "w.kind AS reference_kind",
         "w.evidence AS classification_evidence", "w.enclosing AS enclosing_symbol",
         "size(w.occurrences) AS occurrences",
         "array_join(transform(w.occurrences, o -> concat_ws(':', o.line, o.column, o.start_byte)), ' ') AS positions",
@@ -271,7 +274,7 @@ def find_references(
         "match_type",
         f"{choose('w.kind', KIND_SCORE, 0.5)} AS score",
         "if(match_type = 'declaration', 'declaration_match', concat(w.kind, '_reference')) AS reason",
-    )
+    ).orderBy(*order).drop("turn", "group_priority", "after_declaration")
 
 
 def _declaration_group(files: DataFrame, target: Target, reference_scope: str, scope, parsed: bool) -> DataFrame:
@@ -281,7 +284,7 @@ def _declaration_group(files: DataFrame, target: Target, reference_scope: str, s
     return _with_marks(own, target.name, parsed).selectExpr(
         "path", "content", f"filter({_spots(target.name)}, o -> {wanted}) AS picked"
     ).selectExpr(
-        "path", "content", "0 AS group_priority", "0 AS turn", "0 AS after_declaration",
+        "path", "0 AS group_priority", "0 AS turn", "0 AS after_declaration",
         f"cast(named_struct('line', coalesce({picked}.line, {target.start_line}), 'start_line', {target.start_line}, "
         f"'end_line', {target.end_line}, 'kind', 'declaration', 'evidence', 'syntactic', "
         f"'enclosing', {picked}.enclosing, 'occurrences', picked) AS {WINDOW}) AS w",
@@ -379,8 +382,8 @@ def semantic_references(
 ) -> DataFrame:
     """Locations from an outside resolver: dedup, drop the target, top-k, attach text.
 
-    ``locations`` has path, start_line, start_column, end_line, end_column.  Only
-    the limited rows (at most 200) meet the corpus, as the broadcast side.
+    ``locations`` has path, start_line, start_column, end_line, end_column.  The
+    limited rows (at most 200) are broadcast to the corpus.
     """
     limit = clamp_limit(max_results)
     keys = ["path", "start_line", "start_column", "end_line", "end_column"]
@@ -393,7 +396,7 @@ def semantic_references(
             )
         )
     top = rows.orderBy(*keys).limit(limit)
-    found = corpus.join(F.broadcast(top), "path", "right")
+    found = attach(top, corpus, "content")
     return found.select(
         *keys,
         F.when(

@@ -21,6 +21,19 @@ MAX_CONTEXT = 20
 PER_FILE_CAP = 8
 
 
+# The ASCII classes of the dialect, as Java class members.
+POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
+    "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z",
+    "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+
+
+def _unnamed(pattern: str) -> str:
+    """Named groups as plain ones: no result depends on a group."""
+    return re.sub(r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z_]\w*>", r"\1(", pattern)
+
+
 def check_regex(pattern: str) -> str:
     """Reject what a linear-time regex dialect has no meaning for."""
     for construct, what in (
@@ -31,8 +44,13 @@ def check_regex(pattern: str) -> str:
     ):
         if re.search(construct, re.sub(r"\\\\", "", pattern)):
             raise EngineError("INVALID_REGEX", f"{what} is not supported", query_length=len(pattern))
+    if re.search(r"\((?:[^()\\]|\\.)*(?:[*+]|\{\d+,\})\)(?:[*+]|\{\d+,\})", pattern):
+        raise EngineError("INVALID_REGEX", "an unbounded repeat of an unbounded repeat is not supported", query_length=len(pattern))
+    unknown = set(re.findall(r"\[:\^?(\w+):\]", pattern)) - POSIX.keys()
+    if unknown:
+        raise EngineError("INVALID_REGEX", f"unknown class {sorted(unknown)[0]}", query_length=len(pattern))
     try:
-        re.compile(re.sub(r"\\[pP](\{\w+\}|\w)|\\z|\\x\{[0-9A-Fa-f]+\}|\[:\^?\w+:\]", "x", pattern))
+        re.compile(re.sub(r"\\[pP](\{\w+\}|\w)|\\z|\\x\{[0-9A-Fa-f]+\}|\[:\^?\w+:\]", "x", _unnamed(pattern)))
     except re.error as error:
         raise EngineError("INVALID_REGEX", str(error), query_length=len(pattern)) from error
     return pattern
@@ -40,7 +58,8 @@ def check_regex(pattern: str) -> str:
 
 def java_regex(pattern: str, case_sensitive: bool) -> str:
     """Unicode classes, LF as the only line end, optional Unicode folding."""
-    return ("(?dU)" if case_sensitive else "(?diuU)") + pattern
+    classes = re.sub(r"\[:(\^?)(\w+):\]", lambda m: f"[{m[1]}{POSIX[m[2]]}]", _unnamed(pattern))
+    return ("(?dU)" if case_sensitive else "(?diuU)") + classes
 
 
 def line_matcher(pattern: str, syntax: str, case_sensitive: bool):
@@ -137,20 +156,21 @@ def search_text(
 ) -> DataFrame:
     """Matching windows, one per file and turn, files in path order.
 
-    The only exchange is the top-k: each task keeps its first ``max_results``
-    rows by (turn, path), so the text travels with at most that many rows, and
-    preview, hash and handle are computed for the final rows alone.
+    The top-k is over (turn, path) and the window's lines; no text takes part in it.
+    The texts of the final rows (at most 200) are fetched by a broadcast join, and
+    preview, hash and handle are computed for them alone.
     """
     limit = clamp_limit(max_results)
     windows = _windows(corpus, pattern, syntax, scope, case_sensitive, prune, context)
     top = (
-        _capped(windows.select("path", "content", "_windows"), scope, limit)
-        .select("path", "content", "_turn", "_window")
+        _capped(windows.select("path", "_windows"), scope, limit)
+        .select("path", "_turn", "_window")
         .orderBy("_turn", "path")
         .limit(limit)
     )
-    return top.select(
-        "path",
+    found = corpus.select("path", "content").join(F.broadcast(top), "path")
+    return found.select(
+        "_turn", "path",
         F.col("_window.line").alias("line"),
         F.col("_window.start_line").alias("start_line"),
         F.col("_window.end_line").alias("end_line"),
@@ -164,7 +184,7 @@ def search_text(
         F.lit(syntax).alias("match_type"),
         F.lit(1.0).alias("score"),
         F.lit(f"{syntax}_match").alias("reason"),
-    )
+    ).orderBy("_turn", "path").drop("_turn")
 
 
 def search_stats(

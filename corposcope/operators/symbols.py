@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import handles, paths, syntax, text
-from ..functions.rows import unnest
+from ..functions.rows import attach, unnest
 from ..functions.sqltext import bind, lit
 from .search import DEFAULT_RESULTS, clamp_limit
 
@@ -90,7 +90,7 @@ def find_symbol(
 
     Always folds ASCII case.  Every name occurs in the text or the path of its
     file, so files without the query are dropped before their symbols are built.
-    One top-k, no other exchange.
+    The top-k holds no texts; those of the winners are fetched by a broadcast join.
     """
     limit = clamp_limit(max_results)
     needle = text.ascii_lower_py(query)
@@ -99,13 +99,14 @@ def find_symbol(
     holds = text.contains_literal("content", needle, False) | text.contains_literal("path", needle, False)
     named = files.filter(paths.in_scope("path", scope)).filter(holds)
     rows = (
-        unnest(named, "symbols", "s", "path", "content", position="ordinal")
+        unnest(named, "symbols", "s", "path", position="ordinal")
         .filter(F.contains(name, F.lit(needle)))
-        .select("path", "content", "ordinal", "s", rank.alias("rank"))
+        .select("path", "ordinal", "s", rank.alias("rank"))
         .orderBy("rank", "path", "s.start_line", "ordinal")
         .limit(limit)
     )
-    return rows.select(
+    order = ["rank", "path", "start_line", "ordinal"]
+    return files.select("path", "content").join(F.broadcast(rows), "path").select(
         "rank", "path", "s.name", "s.kind", "s.start_line", "s.end_line", "s.signature",
         F.when(F.col("rank") == 0, "exact_symbol").when(F.col("rank") == 1, "prefix_symbol")
         .otherwise("contains_symbol").alias("match_type"),
@@ -113,13 +114,13 @@ def find_symbol(
         handles.range_handle(
             workspace, F.col("path"), F.col("s.start_line"), F.col("s.end_line"),
             handles.content_hash("content"),
-        ).alias("handle"),
-    )
+        ).alias("handle"), "ordinal",
+    ).orderBy(*order).drop("ordinal")
 
 
 def outline(files: DataFrame, requested: DataFrame) -> DataFrame:
     """Symbols of each requested path; an unknown path yields one error row."""
-    found = requested.join(files.select("path", "symbols", F.lit(True).alias("indexed")), "path", "left")
+    found = attach(requested, files, "symbols", F.lit(True).alias("indexed"))
     return found.select(
         "path",
         F.when(F.col("indexed").isNull(), "PATH_NOT_INDEXED").alias("error"),

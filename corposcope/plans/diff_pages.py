@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import handles
-from ..operators import hunks
 
 PREFIX = "diff:"
+# Bytes of the shortest hunk: its header line.
+LEAST_HUNK = 8
 
 
 def page(
@@ -17,22 +18,33 @@ def page(
 ) -> tuple[DataFrame, str | None]:
     """One page of hunks and the token of the next page.
 
-    ``parsed`` holds the hunks of one diff after its filters; ``scope`` names those
-    filters.  A token is good for its own snapshot and scope only.  The driver
-    learns one number, the position of the first hunk left over.
+    ``parsed`` holds the hunks of one diff after its filters, in the order of ``file``
+    (else ``path``, for hunks of several files) and ``hunk_no``.
+    ``scope`` names the filters.  A token is good for its own snapshot and scope only.
+    The driver learns the sizes of the hunks that can stand on one page.
     """
-    offset = 0
+    after = None
     if continuation is not None:
         token = handles.decode_token(PREFIX, continuation, "INVALID_CONTINUATION")
         if token["snapshot_id"] != snapshot_id:
             raise EngineError("STALE_CONTINUATION", "the diff changed", expected_snapshot=token["snapshot_id"])
         if scope is not None and scope != token["scope"]:
             raise EngineError("CONTINUATION_SCOPE_MISMATCH", "the token belongs to other filters", scope=token["scope"])
-        offset, scope = token["offset"], token["scope"]
-    rest = parsed.filter(F.col("hunk_no") >= offset)
-    pages = hunks.paginate(rest.withColumn("_diff", F.lit(1)), ["_diff"], max_chars).select("hunk_no", "page")
-    following = pages.filter("page = 1").agg(F.min("hunk_no")).first()[0]
-    shown = rest.join(pages.filter("page = 0").select("hunk_no"), "hunk_no", "left_semi").orderBy("hunk_no")
+        after, scope = token["offset"], token["scope"]
+    order = [next((c for c in ("file", "path") if c in parsed.columns), None), "hunk_no"]
+    order = [c for c in order if c]
+    place = F.struct(*order)
+    at = lambda p: F.struct(*(F.lit(v).alias(c) for c, v in zip(order, p)))
+    rest = parsed if after is None else parsed.filter(place >= at(after))
+    # Every hunk has at least LEAST_HUNK bytes, so a page and the hunk after it are among these.
+    sizes = rest.select(*order, F.octet_length("text").alias("size")).orderBy(*order)
+    used, following, last = 0, None, None
+    for row in sizes.limit(max_chars // LEAST_HUNK + 2).collect():
+        if last is not None and used + row["size"] > max_chars:
+            following = [row[c] for c in order]
+            break
+        used, last = used + row["size"], [row[c] for c in order]
+    shown = rest.filter(F.lit(False) if last is None else place <= at(last)).orderBy(*order)
     if following is None:
         return shown, None
     payload = {"snapshot_id": snapshot_id, "offset": following, "scope": scope}

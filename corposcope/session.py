@@ -1,4 +1,4 @@
-"""Session defaults and the input-size check."""
+"""Session defaults, table reading, the shared folder."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this much input per core a scan is spread out before per-row work.
-SPREAD_BYTES_PER_CORE = 8 << 20
+from .errors import EngineError
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,31 +26,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files at ``path``, asked of its file system."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getContentSummary(target).getLength()
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read one table; a small single-row-group file is spread over the cores.
-
-    The extra exchange happens only when the whole input is below a few MB per
-    core, where one row group would leave all but one core idle.  Real inputs
-    have more splits than cores and are read as they lie.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    if (1 << 20) <= input_bytes(spark, path) < SPREAD_BYTES_PER_CORE * cores:
-        df = df.repartition(cores)
-    return df
+    """One of the given tables, read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch one only when none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corposcope-checkpoint-")
+    """The shared folder the cluster names.  Only a local session, whose executors
+    are on this machine, gets a folder of its own where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise EngineError("NO_SHARED_FOLDER", "set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corposcope-checkpoint-")

@@ -65,7 +65,7 @@ def blame(spark: SparkSession, root: str, path: str, start: int | None = None, e
 
 def diff(spark: SparkSession, root: str, *, staged: bool = False, paths: list[str] | None = None) -> DataFrame:
     """Hunks of all changed files (a new-file patch has a header but no hunk)."""
-    return hunks.parse(patches(spark, root, staged=staged, paths=paths), ["file"]).drop("file")
+    return hunks.parse(patches(spark, root, staged=staged, paths=paths), ["file"])
 
 
 def patches(spark: SparkSession, root: str, *, staged: bool = False, paths: list[str] | None = None) -> DataFrame:

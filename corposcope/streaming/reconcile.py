@@ -1,14 +1,15 @@
 """Change feed to snapshot: deduplicated batches, deltas, generations.
 
 State is a base table plus one delta folder per micro-batch, both partitioned by
-a hash bucket of the path.  A batch touches only the buckets of its own paths
-(the join on bucket prunes partitions), and nothing is rewritten until
-``compact``.  Folders are named by batch id and overwritten on a retry, so a
+a hash bucket of the path.  A batch joins its paths with the snapshot by bucket
+and path; nothing is rewritten until ``compact``.  Folders are named by batch id and overwritten on a retry, so a
 batch that runs twice leaves one result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -100,9 +101,19 @@ def apply_batch(events: DataFrame, batch_id: int, state: str) -> None:
     spark = events.sparkSession
     buckets = _base(spark, state)[2]
     usable = events.filter(~paths.is_excluded("path") & (F.col("path") != ""))
-    last = usable.groupBy("path").agg(
-        F.max_by(F.struct("content", "origin", "ts"), "ts").alias("e")
-    ).select("path", "e.*", bucket("path", buckets).alias("bucket"))
+    # Of events at one time the removal counts last, then the larger text.
+    newest = F.struct("ts", F.col("content").isNull(), "content", "origin")
+    last = usable.groupBy("path").agg(F.max_by(F.struct("content", "origin", "ts"), newest).alias("e")).select("path", "e.*")
+    # A file written before its directory vanished in the same batch vanishes with it.
+    removed = last.filter(F.col("content").isNull()).select(F.col("path").alias("dir"), F.col("origin").alias("dir_origin"), F.col("ts").alias("dir_ts"))
+    parents = unnest(last, F.slice(paths.ancestors("path"), F.lit(1), F.size(F.split("path", "/")) - 1), "dir", "path")
+    swept = parents.join(removed, "dir").groupBy("path").agg(F.max(F.struct("dir_ts", "dir_origin")).alias("d"))
+    late = F.col("d.dir_ts") > F.col("ts")
+    last = last.join(swept, "path", "left").select(
+        "path", F.when(late, F.lit(None).cast("string")).otherwise(F.col("content")).alias("content"),
+        F.when(late, F.col("d.dir_origin")).otherwise(F.col("origin")).alias("origin"),
+        F.when(late, F.col("d.dir_ts")).otherwise(F.col("ts")).alias("ts"), bucket("path", buckets).alias("bucket"),
+    )
     now = current(spark, state, before=batch_id)
     touched = last.join(now.select("bucket", "path", F.col("hash").alias("old")), ["bucket", "path"], "left").select(
         "bucket", "path", "content", handles.content_hash("content").alias("hash"), "old", "origin", "ts"
@@ -152,7 +163,8 @@ def start(
     ``available_now`` works off what has arrived and stops.
     """
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    checkpoint = checkpoint or f"{checkpoint_dir(events.sparkSession)}/reconcile"
+    # The state's name keeps the offsets of several feeds apart.
+    checkpoint = checkpoint or f"{checkpoint_dir(events.sparkSession)}/reconcile-{uuid.uuid5(uuid.NAMESPACE_URL, state).hex}"
     return (
         events.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, state))
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()

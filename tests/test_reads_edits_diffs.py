@@ -277,6 +277,61 @@ def test_diff_cursor(spark):
         assert error.value.code == code
 
 
+def test_diff_cursor_over_several_files(spark):
+    from corposcope.plans import diff_pages
+
+    df = spark.createDataFrame([(f, i, "@@ -1 +1 @@\n") for f in "abc" for i in range(2)], "file STRING, hunk_no INT, text STRING")
+    seen, token = [], None
+    while True:
+        shown, token = diff_pages.page(df, "snap", max_chars=15, continuation=token)
+        seen += [(r.file, r.hunk_no) for r in shown.collect()]
+        if token is None:
+            break
+    assert seen == [(f, i) for f in "abc" for i in range(2)]
+
+
+def test_transaction_conflicts(spark, corpus):
+    files = corpus({"a": "one\r\ntwo\r\n", "b": "b"})
+    changes = spark.createDataFrame([
+        ("t1", 1, "replace", "a", None, "one\ntwo", "1", 1, False), ("t2", 1, "delete", "b", None, None, None, 0, False), ("t2", 2, "rename", "a", "b", None, None, 0, False),
+        ("t3", 1, "create", "a", None, None, "x\ny", 0, True), ("t4", 1, "create", "a", None, None, "x", 0, None)],
+        "txn STRING, seq INT, kind STRING, path STRING, to STRING, old_text STRING, new_text STRING, expected INT, overwrite BOOLEAN")
+    rows = {(r.txn, r.path): (r.after, r.error) for r in edits.plan_transactions(changes, files).collect()}
+    assert rows == {("t1", "a"): ("1\r\n", None), ("t2", "a"): (None, "PATH_EXISTS"), ("t3", "a"): ("x\r\ny", None), ("t4", "a"): (None, "PATH_EXISTS")}
+
+
+def test_diff_and_stat_agree_on_repeated_lines(spark):
+    from corposcope.functions import linediff
+
+    before = "".join(f"{'same' if i % 2 else i % 9}\n" for i in range(300))
+    after = "".join(line for i, line in enumerate(before.splitlines(keepends=True)) if not 100 <= i < 114)
+    row = spark.createDataFrame([("p", before, after)], "path STRING, b STRING, a STRING").select(
+        linediff.unified_diff("path", "b", "a").alias("d"), linediff.diff_stat("b", "a").alias("s")).first()
+    lines = row.d.split("\n")[2:]
+    assert (row.s.added, row.s.removed) == (sum(x.startswith("+") for x in lines), sum(x.startswith("-") for x in lines))
+
+
+def _exchanges_with(df, column):
+    """Physical nodes that move or sort rows and output ``column``."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("\n") if any(n in x for n in ("Exchange ", "Sort ", "TakeOrdered")) and "Broadcast" not in x and f"{column}#" in x]
+
+
+def test_point_reads_and_top_k_move_no_texts(spark, corpus):
+    from corposcope.operators import reads, search
+
+    files = corpus({f"d/f{i}.txt": "needle text\n" * 3 for i in range(50)})
+    asked = spark.createDataFrame([("d/f1.txt",), ("gone",)], "path STRING")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (reads.read_paths(files, asked), edits.rename(files, asked.selectExpr("path", "'x' AS to")), search.search_text(files, "needle")):
+            df.collect()
+            assert "Join" in df._jdf.queryExecution().executedPlan().toString()
+            assert _exchanges_with(df, "content") == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 EDIT_TEXTS = st.lists(st.sampled_from(["a", "b", "\n", "\r\n", "ab"]), max_size=12).map("".join)
 
 

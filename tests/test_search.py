@@ -37,7 +37,14 @@ def test_regex_case(corpus):
     assert rows(search.search_text(df, "^alpha$", case_sensitive=True, **options), "line") == [(3,)]
 
 
-@pytest.mark.parametrize("pattern", ["(?=a)", r"(a)\1", "a++", "(", "a{2}+"])
+def test_posix_classes_and_named_groups(corpus):
+    df = corpus({"a": "zzz\n:::\n12\nÄ\n"})
+    options = dict(syntax="regex", context=0, case_sensitive=True)
+    for pattern, lines in (("^[[:alpha:]]+$", [1]), ("^[[:punct:]]+$", [2]), ("^[^[:alpha:]]+$", [2, 3, 4]), ("^[[:^digit:]]+$", [1, 2, 4]), ("^(?<n_1>z)+(?P<m>z)$", [1])):
+        assert [r[0] for r in rows(search.search_text(df, pattern, **options), "line")] == lines
+
+
+@pytest.mark.parametrize("pattern", ["(a+)+$", "[[:what:]]", "(?=a)", r"(a)\1", "a++", "(", "a{2}+"])
 def test_unsupported_regex_is_refused(pattern):
     with pytest.raises(EngineError) as error:
         search.check_regex(pattern)
