@@ -3,10 +3,14 @@
 The test items are indexed, and every passage of every training text is a query.
 A passage is a run of twice as many words as the longest item, every next one
 starts half a passage later, so a copy of any item lies whole in some passage.
-Impacts are BM25 weights divided by the item's threshold (``RATIO`` of the score
-that the item gives itself), so "above threshold" is 1 for all items.  Passages whose
-words together cannot reach 1 are passed over at once; for the others block-max WAND
-returns every item at 1 or more.  A hit counts if the passage holds at least
+The threshold of an item is the least score that the check below leaves possible: the
+score that the item gives itself, less the heaviest of as many terms as may be missing
+when ``OVERLAP`` of its shingles are there.  Impacts are BM25 weights divided by it,
+so "above threshold" is 1 for all items, and retrieval loses no item.  All posting
+lists are cut at the same item numbers into blocks; the block maxima of all passages
+of a text are summed at once with numpy, and only where a block's sum reaches 1 does
+WAND run over the postings of that block, with the block maxima as its bounds.  So
+every item at 1 or more is returned.  A hit counts if the passage holds at least
 ``OVERLAP`` of the five-word shingles of the item's question and of its answer.
 
 The index goes to every executor: items are taken in shards of bounded size, each of
@@ -29,12 +33,16 @@ from pyspark.sql import functions as F
 from .common import by_batch, texts_of
 
 K1, B = 1.2, 0.75
-RATIO = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 32
-# Bounds of a shard of the index.
-SHARD_ITEMS, SHARD_BYTES = 20_000, 16 << 20
+# Items of a block, or more where a shard would have more than MOST_BLOCKS.
+BLOCK, MOST_BLOCKS = 8, 64
+# Bounds of a shard of the index: the table of block maxima has one row for each term.
+SHARD_ITEMS, SHARD_BYTES = 20_000, 4 << 20
+# Passages whose block maxima are summed at a time.
+CHUNK = 2048
+# For sums of single-precision maxima.
+SLACK = 1 - 1e-4
 
 _WORD = re.compile(r"\w+")
 
@@ -74,37 +82,47 @@ class Index:
         whole = [w for _, _, _, w in items]
         self.span = max(map(len, whole), default=0)
         postings: dict[str, list[tuple[int, float]]] = {}
+        # The score of each item with itself, in thresholds.
+        self.own: list[float] = []
         for at, words in enumerate(whole):
             weights = {}
             for term in dict.fromkeys(words):
                 n, tf = frequency.get(term, 1), words.count(term)
                 idf = math.log(1 + (total - n + 0.5) / (n + 0.5))
                 weights[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
-            limit = RATIO * sum(weights.values())
+            # A missing term is missed by one shingle at least.
+            spare = sum(int((1 - OVERLAP) * len(p) + 1e-9) for p in self.parts[at])
+            total_weight = sum(weights.values())
+            limit = max(total_weight - sum(sorted(weights.values())[len(weights) - spare :] if spare else []), 0.05 * total_weight)
+            self.own.append(total_weight / limit)
             for term, weight in weights.items():
                 postings.setdefault(term, []).append((at, weight / limit))
         self.terms = {t: k for k, t in enumerate(postings)}
-        self.items = [[at for at, _ in p] for p in postings.values()]
-        self.impacts = [[w for _, w in p] for p in postings.values()]
-        self.upper = np.array([max(w) for w in self.impacts] or [0.0])
-        self.blocks = []
-        for own, impacts in zip(self.items, self.impacts, strict=True):
-            most: dict[int, float] = {}
-            for at, w in zip(own, impacts, strict=True):
-                most[at // BLOCK] = max(w, most.get(at // BLOCK, 0.0))
-            self.blocks.append(most)
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(item, score) of every item whose impacts over the distinct ``terms`` sum to 1 or more."""
-        upper, found = self.upper, []
-        slack = 1 - 1e-9
-        lists = [[self.items[t][0], 0, t] for t in terms]
+        self.block = max(BLOCK, -(-len(items) // MOST_BLOCKS))
+        # Per term and block: the items, and their impacts.
+        self.lists: list[dict[int, tuple[list[int], list[float]]]] = []
+        self.most = np.zeros((len(postings), -(-len(items) // self.block)), np.float32)
+        for t, own in enumerate(postings.values()):
+            cut: dict[int, tuple[list[int], list[float]]] = {}
+            for at, w in own:
+                inside, impacts = cut.setdefault(at // self.block, ([], []))
+                inside.append(at)
+                impacts.append(w)
+                self.most[t, at // self.block] = max(self.most[t, at // self.block], w)
+            self.lists.append(cut)
+
+    def search(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+        """(item, score) of every item of the block whose impacts over the distinct
+        ``terms`` sum to 1 or more: WAND, each list bounded by its maximum in the block."""
+        found = []
+        # (next item, place in the list, items, impacts, bound)
+        lists = [[own[0][0], 0, *own, float(self.most[t, block])] for t in terms if (own := self.lists[t].get(block))]
         while lists:
-            lists.sort()
+            lists.sort(key=lambda x: x[0])
             bound, pivot = 0.0, -1
-            for k, (_, _, t) in enumerate(lists):
-                bound += upper[t]
-                if bound >= slack:
+            for k, x in enumerate(lists):
+                bound += x[4]
+                if bound >= SLACK:
                     pivot = k
                     break
             if pivot < 0:
@@ -112,67 +130,57 @@ class Index:
             at = lists[pivot][0]
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == at:
                 pivot += 1
-            block = at // BLOCK
-            if sum(self.blocks[t].get(block, 0.0) for _, _, t in lists[: pivot + 1]) < slack:
-                # No item of this block can reach the threshold before the next list begins.
-                target = (block + 1) * BLOCK
-                if pivot + 1 < len(lists):
-                    target = min(target, lists[pivot + 1][0])
-                self._forward(lists, pivot, max(target, at + 1))
-            elif lists[0][0] == at:
-                score = sum(self.impacts[t][k] for _, k, t in lists[: pivot + 1])
-                if score >= slack:
+            if lists[0][0] == at:
+                score = sum(x[3][x[1]] for x in lists[: pivot + 1])
+                if score >= 1 - 1e-9:
                     found.append((at, score))
-                self._forward(lists, pivot, at + 1)
-            else:
-                self._forward(lists, next(k for k in range(pivot, -1, -1) if lists[k][0] < at), at)
+                at += 1
+            for k in range(pivot, -1, -1):
+                x = lists[k]
+                if x[0] < at:
+                    x[1] = bisect_left(x[2], at, x[1])
+                    if x[1] < len(x[2]):
+                        x[0] = x[2][x[1]]
+                    else:
+                        del lists[k]
         return found
 
-    def _forward(self, lists: list[list[int]], last: int, target: int) -> None:
-        """Move the lists up to ``last`` to the first item from ``target`` on; ended lists go."""
-        for k in range(last, -1, -1):
-            if lists[k][0] < target:
-                t = lists[k][2]
-                own = self.items[t]
-                at = bisect_left(own, target, lists[k][1])
-                if at < len(own):
-                    lists[k][0], lists[k][1] = own[at], at
-                else:
-                    del lists[k]
-
     def passages(self, words: list[str]):
-        """(start, distinct known terms) of the passages that can reach the threshold."""
+        """(start, distinct known terms, block) wherever a block can reach the threshold in a passage."""
         get = self.terms.get
-        known = np.array([get(w, -1) for w in words], np.int64)
+        known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         at = np.flatnonzero(known >= 0)
         if not len(at):
             return
         terms, half, n = known[at], max(self.span, 1), len(self.terms)
         last = max(0, -(-len(words) // half) - 2)  # passages 0..last cover all words
         own = at // half
-        windows = np.concatenate((own, own - 1))
-        cells = np.unique(windows * n + np.concatenate((terms, terms)))
+        cells = np.unique(np.concatenate((own * n + terms, (own - 1) * n + terms)))
         windows, terms = cells // n, cells % n
         live = (windows >= 0) & (windows <= last)
         windows, terms = windows[live], terms[live]
         if not len(windows):
             return
-        bounds = np.bincount(windows, self.upper[terms], last + 1)
-        for w in np.flatnonzero(bounds >= 1 - 1e-9):
-            a, b = np.searchsorted(windows, (w, w + 1))
-            yield int(w) * half, terms[a:b].tolist()
+        starts = np.flatnonzero(np.concatenate(([True], windows[1:] != windows[:-1])))
+        for k in range(0, len(starts), CHUNK):  # so that memory does not grow with a text
+            first, end = starts[k], starts[k + CHUNK] if k + CHUNK < len(starts) else len(windows)
+            bounds = np.add.reduceat(self.most[terms[first:end]], starts[k : k + CHUNK] - first, axis=0)
+            for row, block in np.argwhere(bounds >= SLACK).tolist():
+                a = starts[k + row]
+                b = starts[k + row + 1] if k + row + 1 < len(starts) else len(windows)
+                yield int(windows[a]) * half, terms[a:b].tolist(), block
 
     def hits(self, text: str) -> list[tuple[int, float, float, float, int]]:
         """(item id, score, question overlap, answer overlap, first word of the passage):
         the best passage of each item that passes the check."""
         words = words_of(text)
         best: dict[int, tuple[float, float, float, int]] = {}
-        for start, terms in self.passages(words):
+        for start, terms, block in self.passages(words):
             passage = words[start : start + 2 * self.span]
-            for at, score in self.search(terms):
+            for at, score in self.search(terms, block):
                 question, answer = (overlap(p, passage) for p in self.parts[at])
                 if min(question, answer) >= OVERLAP:
-                    row = (score * RATIO, question, answer, -start)
+                    row = (score / self.own[at], question, answer, -start)
                     if at not in best or (row[1] + row[2], *row) > (best[at][1] + best[at][2], *best[at]):
                         best[at] = row
         return [(self.ids[at], s, q, a, -start) for at, (s, q, a, start) in sorted(best.items())]

@@ -89,12 +89,11 @@ def test_block_max_search_is_exact(monkeypatch):
             frequency[w] = frequency.get(w, 0) + 1
     index = decontam.Index([(i, w, [], w) for i, w in enumerate(given)], frequency, len(given), sum(map(len, given)) / len(given))
     for _ in range(200):
-        terms = [index.terms[w] for w in {f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 40))} if w in index.terms]
-        sums: dict[int, float] = {}
-        for t in terms:
-            for at, w in zip(index.items[t], index.impacts[t], strict=True):
-                sums[at] = sums.get(at, 0.0) + w
-        assert sorted(at for at, _ in index.search(terms)) == sorted(at for at, s in sums.items() if s >= 1 - 1e-9)
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 40))]
+        terms = [index.terms[w] for w in dict.fromkeys(words) if w in index.terms]
+        sums = {i: sum(dict(zip(*own, strict=True)).get(i, 0.0) for t in terms if (own := index.lists[t].get(i // index.block))) for i in range(50)}
+        got = [at for block in range(index.most.shape[1]) for at, _ in index.search(terms, block)]
+        assert sorted(got) == sorted(i for i, s in sums.items() if s >= 1 - 1e-9)
 
 
 def test_decontamination_on_odd_rows(spark, odd, none):
