@@ -10,14 +10,26 @@ from ..sources import corpus
 from .base import BASE, CORPUS, RUN, SYMBOLS, query, with_ctes
 
 FIRST_WORD = r"^(\p{L}+)"
+TWO_WORDS = r"^(\p{L}+ \p{L}+)"
+# Stands for the needle where a text has none: it occurs nowhere.
+NO_NEEDLE = "zzqq"
 
 
-@query("edit_exact_count", with_ctes(CORPUS, r"""asked AS (SELECT path, content, regexp_extract(content, '^(\p{L}+)', 1) AS old, 1 + doc_id % 3 AS expected FROM corpus)""") + """
+def _needle(pattern: str):
+    found = F.regexp_extract("content", pattern, 1)
+    return F.when(found == "", NO_NEEDLE).otherwise(found)
+
+
+def needle_sql(pattern: str) -> str:
+    return f"coalesce(nullif(regexp_extract(content, '{pattern}', 1), ''), '{NO_NEEDLE}')"
+
+
+@query("edit_exact_count", with_ctes(CORPUS, f"asked AS (SELECT path, content, {needle_sql(FIRST_WORD)} AS old, 1 + doc_id % 3 AS expected FROM corpus)") + """
 SELECT path, actual, CASE WHEN actual <> expected THEN 'EXACT_MATCH_COUNT' ELSE '' END AS error,
   CASE WHEN actual = expected THEN sha256(replace(content, old, 'REPLACED')) ELSE '' END AS after_hash
-FROM (SELECT *, (strlen(content) - strlen(replace(content, old, ''))) // strlen(old) AS actual FROM asked WHERE old <> '')""")
+FROM (SELECT *, (strlen(content) - strlen(replace(content, old, ''))) // strlen(old) AS actual FROM asked)""")
 def edit_exact_count(spark, sf):
-    files = corpus.documents(spark, sf).withColumn("old", F.regexp_extract("content", FIRST_WORD, 1)).filter(F.col("old") != "")
+    files = corpus.documents(spark, sf).withColumn("old", _needle(FIRST_WORD))
     plan = edits.replace_exact(files, F.col("old"), F.lit("REPLACED"), (F.col("doc_id") % 3 + 1).cast("int"))
     return plan.select(
         "path", "actual", F.coalesce("error", F.lit("")).alias("error"),
@@ -25,16 +37,17 @@ def edit_exact_count(spark, sf):
     )
 
 
-@query("edit_replace_crlf", with_ctes(CORPUS) + """SELECT path, sha256(replace(replace(content, chr(10), chr(13) || chr(10)), two, 'A' || chr(13) || chr(10) || 'B' || chr(13) || chr(10))) AS after_hash
+@query("edit_replace_crlf", with_ctes(CORPUS) + """SELECT path, CASE WHEN n = 1 THEN '' ELSE 'EXACT_MATCH_COUNT' END AS error,
+  CASE WHEN n = 1 THEN sha256(replace(replace(content, chr(10), chr(13) || chr(10)), two, 'A' || chr(13) || chr(10) || 'B' || chr(13) || chr(10))) ELSE '' END AS after_hash
 FROM (SELECT path, content, string_split(content, chr(10))[1] || chr(13) || chr(10) AS two,
         (strlen(c) - strlen(replace(c, string_split(content, chr(10))[1] || chr(13) || chr(10), ''))) // (strlen(string_split(content, chr(10))[1]) + 2) AS n
-      FROM (SELECT path, content, replace(content, chr(10), chr(13) || chr(10)) AS c FROM corpus)) WHERE n = 1""")
+      FROM (SELECT path, content, replace(content, chr(10), chr(13) || chr(10)) AS c FROM corpus))""")
 def edit_replace_crlf(spark, sf):
     """LF needles against CR LF files: the needle and the new text take CR LF."""
     files = corpus.documents(spark, sf).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\r\n")))
     first = F.concat(F.regexp_extract("content", r"^([^\r\n]*)", 1), F.lit("\n"))
     plan = edits.replace_exact(files, first, F.lit("A\nB"))
-    return plan.filter(F.col("error").isNull()).select("path", handles.content_hash("after").alias("after_hash"))
+    return plan.select("path", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(handles.content_hash("after"), F.lit("")).alias("after_hash"))
 
 
 @query("edit_replace_lines", with_ctes(*BASE) + """SELECT path, sha256(array_to_string(ls2[1:1], chr(10)) || CASE WHEN len(ls2) > 1 THEN chr(10) ELSE '' END || mid || rest) AS after_hash
@@ -62,13 +75,13 @@ def edit_insert_before(spark, sf):
 
 
 @query("edit_insert_after", with_ctes(*BASE, SYMBOLS, "anchors AS (SELECT path, arg_min(end_line, start_line) AS b FROM symbols WHERE name = 'Le' GROUP BY path)") + """
-SELECT path, CASE WHEN b >= len(x) THEN sha256(content || 'INSERTED' || chr(10))
+SELECT path, CASE WHEN b IS NULL THEN 'SYMBOL_NOT_FOUND' ELSE '' END AS error, CASE WHEN b IS NULL THEN '' WHEN b >= len(x) THEN sha256(content || 'INSERTED' || chr(10))
   ELSE sha256(array_to_string(list_concat(x[1:b], ['INSERTED'], x[b + 1:]), chr(10))) END AS after_hash
-FROM (SELECT path, content, string_split(content, chr(10)) AS x FROM parts) JOIN anchors USING (path)""")
+FROM (SELECT path, content, string_split(content, chr(10)) AS x FROM parts) LEFT JOIN anchors USING (path)""")
 def edit_insert_after(spark, sf):
     files = symbols.with_symbols(corpus.documents(spark, sf))
     plan = edits.insert_at_symbol(files, F.lit("Le"), "after", F.lit("INSERTED\n"))
-    return plan.filter(F.col("error").isNull()).select("path", handles.content_hash("after").alias("after_hash"))
+    return plan.select("path", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(handles.content_hash("after"), F.lit("")).alias("after_hash"))
 
 
 @query("edit_plan_create", with_ctes(CORPUS, """wanted AS (SELECT path, 'new text' AS content, quality = 1 AS overwrite FROM corpus JOIN labels USING (doc_id)
@@ -110,19 +123,18 @@ def edit_plan_rename(spark, sf):
     )
 
 
-@query("edit_overlap", with_ctes(CORPUS, r"""needles AS (SELECT path, content, unnest([w, w2]) AS n, unnest([1, 2]) AS i FROM (
-  SELECT path, content, regexp_extract(content, '^(\p{L}+)', 1) AS w, regexp_extract(content, '^(\p{L}+ \p{L}+)', 1) AS w2 FROM corpus) WHERE w2 <> ''),
+@query("edit_overlap", with_ctes(CORPUS, f"""needles AS (SELECT path, content, unnest([w, w2]) AS n, unnest([1, 2]) AS i FROM (
+  SELECT path, content, {needle_sql(FIRST_WORD)} AS w, {needle_sql(TWO_WORDS)} AS w2 FROM corpus)),
 pieces AS (SELECT path, n, i, string_split(content, n) AS p FROM needles),
 ranges AS (SELECT path, i, k, n, sum(length(piece)) OVER (PARTITION BY path, i ORDER BY k) + (k - 1) * length(n) AS a FROM (
   SELECT path, n, i, unnest(p[1:len(p) - 1]) AS piece, generate_subscripts(p[1:len(p) - 1], 1) AS k FROM pieces)),
-spans AS (SELECT path, a, a + length(n) AS b, i, k FROM ranges)""") + """SELECT path, count(*) AS edits,
-  CASE WHEN bool_or(clash) THEN 'OVERLAPPING_EDITS' ELSE '' END AS error FROM (
+spans AS (SELECT path, a, a + length(n) AS b, i, k FROM ranges)""") + """SELECT path, coalesce(edits, 0) AS edits, CASE WHEN clashes THEN 'OVERLAPPING_EDITS' ELSE '' END AS error FROM corpus LEFT JOIN (
+  SELECT path, count(*) AS edits, bool_or(clash) AS clashes FROM (
   SELECT s.path, s.i, s.k, bool_or(o.path IS NOT NULL) AS clash FROM spans s LEFT JOIN spans o ON o.path = s.path AND s.a < o.b AND o.a < s.b AND (o.i, o.k) <> (s.i, s.k)
-  GROUP BY s.path, s.i, s.k) GROUP BY path""")
+  GROUP BY s.path, s.i, s.k) GROUP BY path) USING (path)""")
 def edit_overlap(spark, sf):
     files = corpus.documents(spark, sf)
-    one, two = F.regexp_extract("content", FIRST_WORD, 1), F.regexp_extract("content", r"^(\p{L}+ \p{L}+)", 1)
-    return edits.overlapping(files.filter(two != ""), F.array(one, two))
+    return edits.overlapping(files, F.array(_needle(FIRST_WORD), _needle(TWO_WORDS)))
 
 
 @query("edit_preconditions", with_ctes(CORPUS, """changes AS (

@@ -274,7 +274,7 @@ def find_references(
         "match_type",
         f"{choose('w.kind', KIND_SCORE, 0.5)} AS score",
         "if(match_type = 'declaration', 'declaration_match', concat(w.kind, '_reference')) AS reason",
-    ).orderBy(*order).drop("turn", "group_priority", "after_declaration")
+    ).orderBy(*order).limit(limit).drop("turn", "group_priority", "after_declaration")
 
 
 def _declaration_group(files: DataFrame, target: Target, reference_scope: str, scope, parsed: bool) -> DataFrame:

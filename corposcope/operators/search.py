@@ -184,7 +184,7 @@ def search_text(
         F.lit(syntax).alias("match_type"),
         F.lit(1.0).alias("score"),
         F.lit(f"{syntax}_match").alias("reason"),
-    ).orderBy("_turn", "path").drop("_turn")
+    ).orderBy("_turn", "path").limit(limit).drop("_turn")
 
 
 def search_stats(

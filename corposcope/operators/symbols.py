@@ -115,7 +115,7 @@ def find_symbol(
             workspace, F.col("path"), F.col("s.start_line"), F.col("s.end_line"),
             handles.content_hash("content"),
         ).alias("handle"), "ordinal",
-    ).orderBy(*order).drop("ordinal")
+    ).orderBy(*order).limit(limit).drop("ordinal")
 
 
 def outline(files: DataFrame, requested: DataFrame) -> DataFrame:
