@@ -21,14 +21,22 @@ MAX_CONTEXT = 20
 PER_FILE_CAP = 8
 
 
-# The ASCII classes of the dialect, as Java class members.
+# The ASCII classes of the dialect, as first and last characters of their ranges.
 POSIX = {
-    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
-    "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z",
-    "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+    "alnum": "09AZaz", "alpha": "AZaz", "ascii": "\0\x7f", "blank": "\t\t  ", "cntrl": "\0\x1f\x7f\x7f", "digit": "09",
+    "graph": "!~", "lower": "az", "print": " ~", "punct": "!/:@[`{~", "space": "\t\r  ", "upper": "AZ", "word": "09AZ__az", "xdigit": "09AFaf",
 }
 
 
+def posix_members(name: str, negated: bool) -> str:
+    """The ranges of a class (or of all other characters) for use inside a Java class."""
+    pairs = [(ord(a), ord(b)) for a, b in zip(POSIX[name][::2], POSIX[name][1::2])]
+    if negated:
+        edges = [-1, *(x for pair in pairs for x in pair), 0x110000]
+        pairs = [(a + 1, b - 1) for a, b in zip(edges[::2], edges[1::2]) if a + 1 < b]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in pairs)
+
+
 def _unnamed(pattern: str) -> str:
     """Named groups as plain ones: no result depends on a group."""
     return re.sub(r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z_]\w*>", r"\1(", pattern)
@@ -58,7 +66,7 @@ def check_regex(pattern: str) -> str:
 
 def java_regex(pattern: str, case_sensitive: bool) -> str:
     """Unicode classes, LF as the only line end, optional Unicode folding."""
-    classes = re.sub(r"\[:(\^?)(\w+):\]", lambda m: f"[{m[1]}{POSIX[m[2]]}]", _unnamed(pattern))
+    classes = re.sub(r"\[:(\^?)(\w+):\]", lambda m: posix_members(m[2], bool(m[1])), _unnamed(pattern))
     return ("(?dU)" if case_sensitive else "(?diuU)") + classes
 
 
