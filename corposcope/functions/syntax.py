@@ -183,7 +183,9 @@ class _Roles(ast.NodeVisitor):
 
     def declare(self, node):
         if node.name == self.name:
-            at = self.lines[node.lineno - 1].find(self.name.encode(), node.col_offset)
+            line = self.lines[node.lineno - 1]
+            keyword = re.compile(rb"(?:async\s+)?(?:def|class)\s+").match(line, node.col_offset)
+            at = line.find(self.name.encode(), keyword.end() if keyword else node.col_offset)
             self.mark(node.lineno, at, "declaration")
         self.under(self.role, node.decorator_list)
         self.owners.append(node.name)

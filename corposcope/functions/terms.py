@@ -21,7 +21,7 @@ STOP_WORDS = [
 # underscore and is two long at least once trailing dots and dashes are gone.
 TERM_PATTERN = r"[A-Za-z_][A-Za-z0-9_.-]*[A-Za-z0-9_]"
 
-# Characters that continue an identifier (class body of a Java regex).
+# Characters that continue an identifier (class body of a Java regex).
 IDENTIFIER_CLASS = (
     r"_$a-zA-Z0-9\p{IsAlphabetic}\p{N}\x{200C}\x{200D}\x{0300}-\x{036F}\x{1AB0}-\x{1AFF}"
     r"\x{1DC0}-\x{1DFF}\x{20D0}-\x{20FF}\x{FE20}-\x{FE2F}"

@@ -61,11 +61,14 @@ def filename_test(name: str, case_sensitive: bool):
 
 
 def find_file_stats(corpus: DataFrame, name: str, *, scope=None, case_sensitive: bool = False, max_results: int = 20) -> DataFrame:
+    from .search import clamp_limit
+
+    limit = clamp_limit(max_results)
     hit = corpus.filter(paths.in_scope("path", scope)).filter(filename_test(name, case_sensitive))
     n = hit.agg(F.count("*").alias("total"))
     return n.select(
-        "total", F.least("total", F.lit(max_results)).alias("result_count"),
-        (F.col("total") > max_results).alias("truncated"),
+        "total", F.least("total", F.lit(limit)).alias("result_count"),
+        (F.col("total") > limit).alias("truncated"),
     )
 
 

@@ -45,7 +45,10 @@ class Target:
 
 
 def _is_identifier_char(ch: str) -> bool:
-    return ch == "_" or ch == "$" or ch.isalnum() or "\u0300" <= ch <= "\u036f" or ch in "\u200c\u200d"
+    """The characters of ``terms.IDENTIFIER_CLASS``."""
+    if ch in "_$\u200c\u200d" or ch.isalnum():
+        return True
+    return any(a <= ch <= b for a, b in ("\u0300\u036f", "\u1ab0\u1aff", "\u1dc0\u1dff", "\u20d0\u20ff", "\ufe20\ufe2f"))
 
 
 def _line_occurrences(line: str, name: str) -> str:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from ..errors import EngineError
 
+# Limits and choices of a request.
 MAX_OPERATIONS = 12
 
 # Required and optional fields of each operation and change kind.
@@ -70,11 +71,20 @@ def _text(request: dict, field: str, codes: _Codes) -> None:
         raise EngineError(codes.invalid, f"{field} must be a non-empty string", field=field)
 
 
+NUMBERS = ("max_results", "context_lines", "max_chars", "start_line", "end_line", "surrounding_lines")
+
+
 def check_operation(request: dict) -> dict:
     kind = request.get("operation")
     _check(request, kind, OPERATIONS, _OPERATION)
     for field in OPERATIONS[kind][0][1:]:
         _text(request, field, _OPERATION)
+    for field in NUMBERS:
+        if not isinstance(request.get(field, 0), int) or isinstance(request.get(field), bool):
+            raise EngineError(_OPERATION.invalid, f"{field} must be a whole number", field=field)
+    for field in ("case_sensitive", "include_imports"):
+        if not isinstance(request.get(field, False), bool):
+            raise EngineError(_OPERATION.invalid, f"{field} must be true or false", field=field)
     paths = request.get("paths", [])
     if not isinstance(paths, list) or not all(isinstance(p, str) for p in paths):
         raise EngineError(_OPERATION.invalid, "paths must be a list of strings", field="paths")

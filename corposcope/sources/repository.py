@@ -177,12 +177,14 @@ class TreeFiles(DataSource):
 
 def scan(
     spark: SparkSession, root: str, *, max_bytes: int = DEFAULT_MAX_BYTES, exclude: list[str] | None = None,
-    artifacts: list[str] | None = None, partitions: int = 64,
+    artifacts: list[str] | None = None, partitions: int | None = None,
 ) -> DataFrame:
     """The tree below ``root`` plus artifact directories read without ignore files.
 
-    A path found both ways is kept once, as the artifact scan read it.
+    A path found both ways is kept once, as the artifact scan read it.  ``partitions``
+    is the least number of subtrees the scan is cut into, eight per core unless given.
     """
+    partitions = partitions or 8 * spark.sparkContext.defaultParallelism
     spark.dataSource.register(TreeFiles)
     patterns = check_exclusions(exclude or [])
     reader = spark.read.format("tree_files").option("root", root).option("max_bytes", max_bytes)

@@ -172,3 +172,20 @@ def test_batch_isolates_errors(spark, corpus):
         ws.retrieve([{"operation": "repo_map"}], snapshot_id="snap_old")
     assert error.value.code == "STALE_SNAPSHOT"
     assert list(ws.retrieve([{"operation": "x"}, {"operation": "repo_map"}], fail_fast=True).errors) == ["op_1"]
+
+
+def test_wrong_types_are_errors_of_their_operation(spark, corpus):
+    ws = Workspace(spark, corpus({"a.txt": "needle\n"}))
+    reply = ws.retrieve([
+        {"operation": "search_text", "pattern": "needle", "max_results": "5"}, {"operation": "search_text", "pattern": "needle", "case_sensitive": 1},
+        {"operation": "search_text", "pattern": "needle"},
+    ])
+    assert {k: e.code for k, e in reply.errors.items()} == {"op_1": "INVALID_OPERATION_FIELD", "op_2": "INVALID_OPERATION_FIELD"}
+    assert reply.results["op_3"].count() == 1
+
+
+def test_one_letter_declarations_are_marked():
+    from corposcope.functions import syntax
+
+    marks = syntax._marks("f", "python", "def f():\n    f()\nasync def f(): pass\n")
+    assert [m["start_byte"] for m in marks if m["role"] == "declaration"] == [4, 27]
