@@ -244,9 +244,9 @@ def links(codes: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, bits: int = 2, seed: int = 42, more: DataFrame | None = None) -> DataFrame:
     """(key, fp, component_id) for every row: component_id is the smallest key that
-    is reached over links.
+    is reached over links.  ``more`` are further links (a, b) between fingerprints.
 
     Texts are read whole.  Texts without words (null, empty) have fingerprint 0 and
     are linked like any other.  Repeated rows stay, each with its component.  Null
@@ -255,7 +255,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """
     own = written(fingerprints(docs, key, text, words, seed).withColumnRenamed(key, "key"), "fingerprints")
     codes = written(own.groupBy("fp").agg(F.min("key").alias("least")), "codes")
-    roots = connected(links(codes, bits)).withColumnRenamed("node", "fp")
+    near = links(codes, bits)
+    roots = connected(near if more is None else near.union(more)).withColumnRenamed("node", "fp")
     named = codes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import bpe, decontam, linetemplates, simhash, toxicity
+from corposcope.llm import bpe, decontam, linetemplates, nearcopies, simhash, toxicity
 from corposcope.llm.common import read, remainder, written
 from corposcope.llm.queries import TOKENIZER
 
@@ -31,9 +31,10 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.  Rows
-    with one id are one document; rows without an id are never named by a group, and stay."""
-    kept = simhash.groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near-duplicates the document with the smallest id stays.  Texts
+    are linked by their fingerprints (three words, 2 bits) and by a Jaccard similarity
+    of 0.8 or more of their five-word shingles.  Rows with one id are one document; rows without an id are never named by a group, and stay."""
+    kept = simhash.groups(docs, more=nearcopies.links(docs)).where("doc_id = component_id").select("doc_id").distinct()
     one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return one_each.union(docs.where("doc_id is null"))
 
