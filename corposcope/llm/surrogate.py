@@ -57,9 +57,9 @@ _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ
 _TITLE = "|".join(sorted((t for own in TITLES.values() for t in own), key=len, reverse=True))
 PATTERNS = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")),
+    ("token", re.compile(r"\b(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{32,64}\b")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("key", re.compile(r"\bAKIA[0-9A-Z]{16}\b")),
-    ("token", re.compile(r"\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}\b")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)|(?<![\w+])\+\d{8,14}(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -68,6 +68,7 @@ PATTERNS = (
 )
 _PERSON = re.compile(rf"\b(?P<title>{_TITLE})(?P<dot>\.?) (?P<name>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<given>{'|'.join(map(re.escape, _GENDER))}) (?P<rest>{_NAME})")
 _DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"\w")
 
 
 def luhn(digits: str) -> bool:
@@ -116,7 +117,7 @@ def _exchange(secret: bytes, kind: str, attempt: int, text: str, classes: list[s
 
 def canonical(kind: str, text: str) -> str:
     """What the spellings of one entity have in common."""
-    if kind == "email":
+    if kind in ("email", "token"):
         return text.lower()
     if kind in ("phone", "card", "iban", "ssn", "account"):
         return re.sub(r"[^0-9A-Za-z+]", "", text)
@@ -182,7 +183,8 @@ def _address(secret: bytes, attempt: int, entity: str) -> str:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical entity) of the entities, in order, not overlapping.
-    Of overlapping matches the kind that is listed first counts."""
+    Of overlapping matches the kind that is listed first counts.  A surname found once
+    is found wherever it stands alone in the text."""
     spans: list[tuple[int, int, str, str]] = []
     if _DIGIT.search(text) or "@" in text:
         for kind, pattern in PATTERNS:
@@ -204,11 +206,22 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if not any(ends[s[0] : s[1]]):
             ends[s[0] : s[1]] = b"\1" * (s[1] - s[0])
             taken.append(s)
+    # Bare mentions of the surnames found, longer names first.
+    for name in sorted({s[3] for s in taken if s[2] == "surname"}, key=lambda n: (-len(n), n)):
+        start = text.find(name)
+        while start >= 0:
+            end = start + len(name)
+            if not (_WORD.match(text[max(start - 1, 0) : start]) or _WORD.match(text[end : end + 1]) or any(ends[start:end])):
+                ends[start:end] = b"\1" * len(name)
+                taken.append((start, end, "surname", name))
+            start = text.find(name, end)
     return sorted(taken)
 
 
-def _dress(shown: str, canon: str, new: str) -> str:
+def _dress(kind: str, shown: str, new: str) -> str:
     """The new canonical form in the layout and case of the shown spelling."""
+    if kind == "token" and shown.isupper():
+        return new.upper()
     if len(shown) == len(new):
         return "".join(n.upper() if s.isupper() and n.islower() else n for s, n in zip(shown, new, strict=True))
     kept = iter(new)
@@ -220,7 +233,7 @@ def replace(secret: bytes, text: str, attempts: dict[tuple[str, str], int] | Non
     out, at, counts = [], 0, {}
     for start, end, kind, canon in find(text):
         new = surrogate(secret, kind, canon, (attempts or {}).get((kind, canon), 0))
-        out += (text[at:start], new if kind in ("given", "ip") else _dress(text[start:end], canon, new))
+        out += (text[at:start], new if kind in ("given", "ip") else _dress(kind, text[start:end], new))
         at = end
         counts[kind] = counts.get(kind, 0) + 1
     return "".join((*out, text[at:])), counts

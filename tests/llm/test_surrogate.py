@@ -75,3 +75,19 @@ def test_surrogates_on_odd_rows(odd, none):
     rows = S.pseudonymise(odd, KEY).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "", r["n_entities"]) for r in rows) == sorted((r["doc_id"] or 0, r["text"] or "", 0) for r in odd.collect())
     assert S.pseudonymise(none, KEY).collect() == []
+
+
+@pytest.mark.parametrize("shown", ["9233A8EC4E1B0D77A1C2F3D4E5B6A798", "AB12" + "CDEF0123" * 4, "9233a8EC4e1B0d77A1c2F3D4e5B6A798"])
+def test_hex_secrets_in_either_case(shown):
+    new, counts = S.replace(KEY, f'TOKEN = "{shown}"')
+    assert counts == {"token": 1} and shown not in new
+    assert new[9:-1].isupper() == shown.isupper() and len(new) == len(shown) + 10
+    assert S.replace(KEY, shown)[0].lower() == S.replace(KEY, shown.lower())[0]
+
+
+def test_bare_mentions_of_a_surname():
+    new, counts = S.replace(KEY, "Smith called. Mr John Smith; Smith's dog and Smithson stayed. Smith_1")
+    assert counts == {"given": 1, "surname": 3}
+    words = new.split(" ")
+    assert words[0] == words[4].rstrip(";") == words[5].removesuffix("'s") != "Smith"
+    assert words[8:] == ["Smithson", "stayed.", "Smith_1"]
