@@ -10,7 +10,10 @@ has the same canonical form, hence the same surrogate, in every text.
 
 A check over all distinct entities of the input then looks for surrogates that meet
 (equal surrogates, or a surrogate that is itself an entity of the input) and gives
-those entities the permutation of the next attempt, until none meet.
+those entities the permutation of the next attempt, until none meet.  Where that does
+not settle, so many spellings of a format are in use that no free ones are left: all its
+entities then take one permutation without fixed points.  Their surrogates stay distinct
+and differ from the entity, but may be another entity of the input.
 
 Given names are permuted within lists by gender and script; a title (Mr, Frau, ...)
 stays, and so does the gender ending of a Cyrillic surname.
@@ -42,6 +45,7 @@ GIVEN = {
 CLASSES = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
     "àáâäèéêëìíîïòóôöùúûü", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
+    "ãåæçðñõøýþßÿ", "ÃÅÆÇÐÑÕØÝÞ", "ёйъь", "ЁЙЪЬ",
 )
 HEX = "0123456789abcdef"
 
@@ -50,6 +54,8 @@ _GENDER = {name: key for key, names in GIVEN.items() for name in names}
 ROUNDS = 8
 # Attempts of the check; each halves the meeting surrogates many times over.
 ATTEMPTS = 20
+# The attempt of formats that do not settle.
+DENSE = -1
 # Up to this many entities with a later attempt are broadcast, more are joined.
 BROADCAST_ENTITIES = 50_000
 
@@ -68,6 +74,7 @@ PATTERNS = (
 )
 _PERSON = re.compile(rf"\b(?P<title>{_TITLE})(?P<dot>\.?) (?P<name>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<given>{'|'.join(map(re.escape, _GENDER))}) (?P<rest>{_NAME})")
 _DIGIT = re.compile(r"\d")
+_ENDING = re.compile("(?:ов|ев|ин|ск)(?:а|ая|ий)?$")
 _WORD = re.compile(r"\w")
 
 
@@ -79,8 +86,8 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def permute(secret: bytes, tweak: str, value: int, size: int) -> int:
-    """Keyed permutation of 0..size-1, another for each tweak."""
+def permute(secret: bytes, tweak: str, value: int, size: int, back: bool = False) -> int:
+    """Keyed permutation of 0..size-1, another for each tweak; ``back`` inverts it."""
     if size < 2:
         return value
     half = max(1, ((size - 1).bit_length() + 1) // 2)
@@ -88,24 +95,34 @@ def permute(secret: bytes, tweak: str, value: int, size: int) -> int:
     label = tweak.encode() + b"\0"
     while True:
         a, b = value >> half, value & mask
-        for k in range(ROUNDS):
+        if back:
+            a, b = b, a
+        for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
             block, out = label + bytes([k]) + b.to_bytes(width, "big"), b""
             while len(out) < width:
                 out += hmac.digest(secret, block + bytes([len(out) // 32]), hashlib.sha256)
             a, b = b, a ^ (int.from_bytes(out[:width], "big") & mask)
+        if back:
+            a, b = b, a
         value = a << half | b
         if value < size:
             return value
 
 
+def _mapped(secret: bytes, kind: str, attempt: int, form: str, value: int, size: int) -> int:
+    """The permutation of an attempt; that of ``DENSE`` is one cycle over all values."""
+    tweak = f"{kind}\0{attempt}\0{form}"
+    value = permute(secret, tweak, value, size)
+    return permute(secret, tweak, (value + 1) % size, size, back=True) if attempt == DENSE else value
+
+
 def _exchange(secret: bytes, kind: str, attempt: int, text: str, classes: list[str | None]) -> str:
     """``text`` with the characters that have a class exchanged within it."""
     size, value = 1, 0
     for c, group in zip(text, classes, strict=True):
         if group:
             value, size = value * len(group) + group.index(c), size * len(group)
-    form = "".join(f"[{group}]" if group else c for c, group in zip(text, classes, strict=True))
-    value = permute(secret, f"{kind}\0{attempt}\0{form}", value, size)
+    value = _mapped(secret, kind, attempt, _form(text, classes), value, size)
     out = []
     for c, group in zip(reversed(text), reversed(classes), strict=True):
         if group:
@@ -115,6 +132,10 @@ def _exchange(secret: bytes, kind: str, attempt: int, text: str, classes: list[s
     return "".join(reversed(out))
 
 
+def _form(text: str, classes: list[str | None]) -> str:
+    return "".join(f"[{group}]" if group else c for c, group in zip(text, classes, strict=True))
+
+
 def canonical(kind: str, text: str) -> str:
     """What the spellings of one entity have in common."""
     if kind in ("email", "token"):
@@ -124,11 +145,9 @@ def canonical(kind: str, text: str) -> str:
     return text
 
 
-def surrogate(secret: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """Surrogate of a canonical entity, in canonical form."""
+def _classes(kind: str, entity: str) -> list[str | None]:
+    """For each character of an entity the class within which it is exchanged."""
     classes: list[str | None] = [_CLASS.get(c) for c in entity]
-    step = lambda t: _exchange(secret, kind, attempt, t, classes)
-    fits = lambda t: True
     if kind == "email":  # the top-level domain stays
         end = entity.rindex(".")
         classes = [g if i < end else None for i, g in enumerate(classes)]
@@ -138,26 +157,51 @@ def surrogate(secret: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         if skip < len(entity) and entity[skip] in "123456789":
             classes[skip] = "123456789"
     elif kind == "card":
-        valid = luhn(entity)
         classes[0] = None  # the network stays
-        fits = lambda t: luhn(t) == valid
     elif kind == "iban":
         classes = [None if i < 2 else "0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for i, c in enumerate(entity)]
     elif kind == "key":
         classes = [None if i < 4 else "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" for i in range(len(entity))]
     elif kind == "token":
         classes = [HEX] * len(entity)
-        fits = lambda t: bool(re.search("[a-f]", t) and _DIGIT.search(t))
-    elif kind == "ip":
+    return classes
+
+
+def _stem(kind: str, entity: str) -> str:
+    """Of a Cyrillic surname the part before its ending, which alone decides, so both
+    genders of a family name go together."""
+    ending = _ENDING.search(entity) if kind == "surname" else None
+    return entity[: ending.start()] if ending else entity
+
+
+def format_of(kind: str, entity: str) -> str:
+    """Entities of one kind and format share a permutation."""
+    if kind == "ip":
+        return _block(_number(entity))[0]
+    stem = _stem(kind, entity)
+    return _form(stem, _classes(kind, stem)) + ("-" if stem != entity else "")
+
+
+def surrogate(secret: bytes, kind: str, entity: str, attempt: int = 0) -> str:
+    """Surrogate of a canonical entity, in canonical form."""
+    if kind == "ip":
         return _address(secret, attempt, entity)
-    elif kind == "given":
+    if kind == "given":
         pool = GIVEN[_GENDER[entity]]
         return pool[permute(secret, f"given\0{attempt}\0{_GENDER[entity]}", pool.index(entity), len(pool))]
-    elif kind == "surname":
-        ending = re.search("(?:ов|ев|ин|ск)(?:а|ая|ий)?$", entity)
-        if ending:  # the stem alone decides, so both genders of a family name go together
-            stem = entity[: ending.start()]
-            return _exchange(secret, kind, attempt, stem, classes[: len(stem)]) + ending.group()
+    stem = _stem(kind, entity)
+    if stem != entity:
+        return _exchange(secret, kind, attempt, stem, _classes(kind, stem)) + entity[len(stem) :]
+    classes = _classes(kind, entity)
+    step = lambda t: _exchange(secret, kind, attempt, t, classes)
+    fits = lambda t: True
+    if kind == "card":
+        valid = luhn(entity)
+        fits = lambda t: luhn(t) == valid
+    elif kind == "token":
+        fits = lambda t: bool(re.search("[a-f]", t) and _DIGIT.search(t))
+    elif kind == "surname":  # no surrogate of a name without an ending gets one
+        fits = lambda t: not _ENDING.search(t)
     # Walking on until the form fits keeps the mapping a permutation of the fitting ones.
     out = step(entity)
     while not fits(out):
@@ -165,19 +209,26 @@ def surrogate(secret: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     return out
 
 
+def _number(address: str) -> int:
+    return int.from_bytes(bytes(map(int, address.split("."))), "big")
+
+
+def _block(value: int) -> tuple[str, int]:
+    """The private block of an address and its bits, or ("", 32)."""
+    for start, bits in (("10.0.0.0", 24), ("172.16.0.0", 20), ("192.168.0.0", 16), ("127.0.0.0", 24)):
+        if _number(start) <= value < _number(start) + (1 << bits):
+            return start, bits
+    return "", 32
+
+
 def _address(secret: bytes, attempt: int, entity: str) -> str:
     """Addresses by their number; private ones stay private, public ones public."""
-    number = lambda t: int.from_bytes(bytes(map(int, t.split("."))), "big")
-    value = number(entity)
-    for start, bits in (("10.0.0.0", 24), ("172.16.0.0", 20), ("192.168.0.0", 16), ("127.0.0.0", 24)):
-        low = number(start)
-        if low <= value < low + (1 << bits):
-            value = low + permute(secret, f"ip\0{attempt}\0{start}", value - low, 1 << bits)
-            return ".".join(map(str, value.to_bytes(4, "big")))
-    public = lambda v: not (v >> 24 in (10, 127) or v >> 20 == 0xAC1 or v >> 16 == 0xC0A8)
+    value = _number(entity)
+    start, bits = _block(value)
+    low = _number(start) if start else 0
     while True:
-        value = permute(secret, f"ip\0{attempt}", value, 1 << 32)
-        if public(value):
+        value = low + _mapped(secret, "ip", attempt, start, value - low, 1 << bits)
+        if _block(value)[0] == start:
             return ".".join(map(str, value.to_bytes(4, "big")))
 
 
@@ -263,20 +314,33 @@ def assign(known: DataFrame, secret: bytes) -> DataFrame:
 
     known = written(known.where("kind <> 'given'"), "entities")
     current = written(at(known.withColumn("attempt", F.lit(0))), "attempt-0")
-    for k in range(1, ATTEMPTS + 1):
-        real = known.select("kind", F.col("entity").alias("surrogate"))
+    real = known.select("kind", F.col("entity").alias("surrogate"))
+    for k in range(1, ATTEMPTS + 2):
         first = current.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).where("n > 1")
         twice = current.join(first, ["kind", "surrogate"]).where("struct(attempt, entity) <> first").select("kind", "entity")
         met = written(current.join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity").union(twice).distinct(), f"met-{k}")
         if met.isEmpty():
             break
-        again = at(met.withColumn("attempt", F.lit(k)))
-        current = written(current.join(met, ["kind", "entity"], "left_anti").unionByName(again), f"attempt-{k}")
+        if k <= ATTEMPTS:
+            again = at(met.withColumn("attempt", F.lit(k)))
+            current = written(current.join(met, ["kind", "entity"], "left_anti").unionByName(again), f"attempt-{k}")
     else:
-        raise RuntimeError(f"surrogates still meet after {ATTEMPTS} attempts")
+        # No surrogate leaves its format, so the other formats are not touched.
+        dense = _formats(met).select("kind", "form").distinct()
+        settled = _formats(known).join(dense, ["kind", "form"], "left_semi").select("kind", "entity", F.lit(DENSE).alias("attempt"))
+        later = current.select("kind", "entity", "attempt").join(settled.select("kind", "entity"), ["kind", "entity"], "left_anti")
+        return later.where("attempt > 0").unionByName(settled)
     return current.where("attempt > 0").select("kind", "entity", "attempt")
 
 
+def _formats(rows: DataFrame) -> DataFrame:
+    def work(batch: pa.RecordBatch) -> dict:
+        kinds, names = batch.column("kind").to_pylist(), batch.column("entity").to_pylist()
+        return {"kind": batch.column("kind"), "entity": batch.column("entity"), "form": pa.array([format_of(k, e) for k, e in zip(kinds, names, strict=True)], pa.string())}
+
+    return by_batch(rows.select("kind", "entity"), work, "kind string, entity string, form string")
+
+
 def pseudonymise(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, n_entities, kinds) for every row: the text with surrogates, how many
     entities it had, and their number by kind as ``kind=n`` in order.

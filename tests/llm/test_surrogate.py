@@ -91,3 +91,29 @@ def test_bare_mentions_of_a_surname():
     words = new.split(" ")
     assert words[0] == words[4].rstrip(";") == words[5].removesuffix("'s") != "Smith"
     assert words[8:] == ["Smithson", "stayed.", "Smith_1"]
+
+
+def test_dense_formats_settle(spark, monkeypatch):
+    """All 105 two-letter surnames, Cyrillic stems of one letter, and one name with room."""
+    monkeypatch.setattr(S, "ATTEMPTS", 2)
+    short = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    stems = [a + e for a in "БВГДЖЗКЛМНПРСТФХЦЧШЩЙЁ" for e in ("ин", "ина")]
+    known = [("surname", e) for e in (*short, *stems, "Лен", "Featherstonehaugh")]
+    assert len(short) == 105
+    attempts = {(r["kind"], r["entity"]): r["attempt"] for r in S.assign(spark.createDataFrame(known, "kind STRING, entity STRING"), KEY).collect()}
+    new = {e: S.surrogate(KEY, k, e, attempts.get((k, e), 0)) for k, e in known}
+    assert len(set(new.values())) == len(new) and all(e != n for e, n in new.items())
+    assert set(map(new.get, short)) == set(short) and new["Лина"] == new["Лин"] + "а"
+    assert attempts.get(("surname", "Featherstonehaugh"), 0) >= 0
+
+
+@pytest.mark.parametrize("kind,entities", [("ip", ["192.168.0.1", "10.0.0.9", "8.8.8.8"]), ("email", ["a@b.io"]), ("card", ["4111111111111111"]), ("surname", ["Иванова", "Йов"])])
+def test_dense_permutation_keeps_the_format(kind, entities):
+    for e in entities:
+        new = S.surrogate(KEY, kind, e, S.DENSE)
+        assert new != e and S.format_of(kind, new) == S.format_of(kind, e)
+
+
+@pytest.mark.parametrize("size", [1, 2, 97, 5003])
+def test_permutation_inverts(size):
+    assert all(S.permute(KEY, "t", S.permute(KEY, "t", v, size), size, back=True) == v for v in range(size))
