@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from every document but the first; no document goes."""
-    out = linetemplates.drop_recurring(docs)
+    """Recurring lines go from every document but the first, short ones with the passage
+    they stand in; no document goes."""
+    out = linetemplates.drop_recurring(docs, passages=True)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 

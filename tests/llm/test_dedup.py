@@ -124,3 +124,18 @@ def test_line_dedup_on_odd_rows(odd, none):
     assert sorted((r["doc_id"] or 0, r["text"] or "", r["n_dropped"]) for r in out.collect()) == sorted((r["doc_id"] or 0, r["text"] or "", 0) for r in odd.collect())
     assert linetemplates.drop_recurring(none).collect() == []
     assert [r["text"] for r in linetemplates.drop_recurring(odd.where("doc_id = 1")).collect()] == [None]
+
+
+def test_passages_go_whole(docs):
+    """Two documents share a passage with short lines; short lines alone stay."""
+    passage = f"Chapter one\n\nby the sea\n{LONG}\nThe end"
+    rows = [(1, f"mine\n{passage}"), (2, f"{passage}\n\nyours"), (3, "by the sea\nown words\nThe end")]
+    got = kept(linetemplates.drop_recurring(docs(rows), passages=True))
+    assert got == {1: rows[0][1], 2: "\n\nyours", 3: rows[2][1]}
+
+
+def test_very_short_and_unsegmented_lines(docs):
+    rows = [(i, f"own{i}\nLes.") for i in range(10)] + [(20, "新しい線路は山を越えて海まで続いています。"), (21, "新しい線路は山を越えて海まで続いています。"), (22, "短い線")]
+    got = kept(linetemplates.drop_recurring(docs(rows), passages=True))
+    assert [got[i] for i in range(10)] == ["own0\nLes.", *(f"own{i}" for i in range(1, 10))]
+    assert got[20] == rows[10][1] and got[21] == "" and got[22] == "短い線"
