@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cascade, decontam, langid, license, linetemplates, revisit, simhash, surrogate, toxicity
-from .common import read, remainder
+from ..functions.rows import unnest
+from . import bpe, cascade, decontam, langid, license, linetemplates, revisit, simhash, spelling, surrogate, toxicity, turntrie, urlfilter
+from .common import read, remainder, written
 from .oracles import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,6 +103,51 @@ def op10_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *CASCADE_COUNTS, failed.alias("base_failed"), "kept")
 
 
+# Letters of a run, and the letters that are lower-cased.
+RUN, UPPER, LOWER = r"[a-z\u00C0-\u00FF]{7,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def spelled_words(docs: DataFrame) -> DataFrame:
+    """(word): the letter runs of whole texts, some of them with a code point left out.
+
+    Shorter runs than 7 cannot give a word of 7 code points, so they are not taken out.
+    A null key counts as '' in the hash.
+    """
+    found = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(RUN), F.lit(0))
+    runs = unnest(docs, found, "run", "doc_id")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(h % 31 == 0, less).otherwise(F.col("run")).alias("word"))
+    return words.where(F.length("word") >= 7)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelled_words(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return spelling.variants(spelling.vocabulary(words, least=2), ratio=10)
+
+
+def op12_turntrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(turntrie.sequences(read(spark, sf_dir, "conversations")), "turns")
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return turntrie.trie(turntrie.rebuilt(own, shared, F.col("conv_id") - F.col("conv_id") % 100, most=5))
+
+
+URL_RULES = urlfilter.Filter(
+    [
+        urlfilter.Rule("allow", "org", "/"),
+        urlfilter.Rule("block", "example.org", "/es/"),
+        urlfilter.Rule("block", "example.org", "/en/1"),
+        urlfilter.Rule("allow", "com", "/fr/"),
+        urlfilter.Rule("block", "com", "/de/"),
+    ]
+)
+
+
+def op13_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -113,5 +159,8 @@ QUERIES = {
     "op8_surrogate": op8_surrogate,
     "op9_line_templates": op9_line_templates,
     "op10_cascade": op10_cascade,
+    "op11_spelling": op11_spelling,
+    "op12_turntrie": op12_turntrie,
+    "op13_urlfilter": op13_urlfilter,
 }
 
