@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license, linetemplates, revisit
+from . import license, linetemplates, revisit, urlfilter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -138,4 +138,78 @@ kept AS (
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
 FROM documents LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL = {"op3_license": OP3, "op5_revisit": OP5, "op9_line_templates": OP9, "op10_cascade": OP10}
+# CRC-32 of a list of bytes, by its table of 256 remainders (column ``t`` of ``tab``).
+_TAB = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"
+
+
+def _crc32(octets: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+# Letters of a run are below U+0100, so they have one or two bytes.
+_octets = "flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END))"
+
+OP11 = rf"""
+WITH RECURSIVE {_TAB},
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{7,}}')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT *, {_crc32(_octets)} AS h FROM runs, tab),
+spelled AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+holes AS (SELECT word, n, left(word, i - 1) || chr(1) || substr(word, i + 1) AS hole, left(word, i - 1) || substr(word, i + 1) AS shorter FROM cut),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b USING (hole) WHERE a.word <> b.word
+  UNION SELECT h.word, v.word, v.n FROM holes h JOIN v ON v.word = h.shorter
+  UNION SELECT v.word, h.word, h.n FROM holes h JOIN v ON v.word = h.shorter),
+best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+told AS (
+  SELECT v.word, CASE WHEN near_n >= 10 * v.n THEN near END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, 0 AS step FROM told UNION ALL SELECT walk.word, told.form, step + 1 FROM walk JOIN told ON told.word = walk.root WHERE told.form IS NOT NULL)
+SELECT told.word, form, arg_max(root, step) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
+FROM told JOIN walk USING (word) GROUP BY told.word, form"""
+
+_digits = "list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)"
+
+OP12 = rf"""
+WITH {_TAB},
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({{'k': md5(r) || md5(x), 's': length(x)}} ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS ts FROM turns GROUP BY conv_id),
+asked AS (SELECT conv_id, ts, conv_id - conv_id % 100 AS base, {_crc32(_digits)} % 6 AS h FROM own, tab),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.ts[1:h], []), a.ts[h + 1:]) AS ts FROM asked a LEFT JOIN own b ON b.conv_id = a.base),
+paths AS (SELECT conv_id, ts, len(ts) AS size, unnest(range(0, len(ts) + 1)) AS depth FROM rebuilt),
+steps AS (
+  SELECT conv_id, size, depth, CASE WHEN depth > 0 THEN ts[depth].s ELSE 0 END AS tokens,
+    md5(array_to_string(list_transform(ts[1:depth], lambda e: e.k), '')) AS node,
+    CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(ts[1:depth - 1], lambda e: e.k), '')) END AS above
+  FROM paths),
+nodes AS (
+  SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(tokens) AS tokens,
+    coalesce(array_to_string(list(conv_id::VARCHAR ORDER BY conv_id) FILTER (size = depth), ','), '') AS ends
+  FROM steps GROUP BY depth, node),
+counted AS (SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.above = n.node) AS n_children FROM nodes n),
+sums AS (
+  SELECT s.depth, s.node, sum((n.n_convs - 1) * n.tokens)::BIGINT AS saved_tokens, count(*) FILTER (n.n_children = 0) AS n_leaves
+  FROM counted n JOIN steps s ON s.conv_id = n.conv_id AND s.depth <= n.depth GROUP BY s.depth, s.node)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN sums USING (depth, node) LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.node = c.above"""
+
+_rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")))
+_globs = " OR ".join(f"(host GLOB '{h}' AND path GLOB '{p}')" for h, p in urlfilter.BLOCKED)
+
+OP13 = f"""
+WITH rules(verdict, rule_host, rule_path) AS (VALUES {_rules}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+judged AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, {_globs} AS listed, rules.verdict
+  FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM judged"""
+
+ORACLE_SQL = {"op3_license": OP3, "op5_revisit": OP5, "op9_line_templates": OP9, "op10_cascade": OP10, "op11_spelling": OP11, "op12_turntrie": OP12, "op13_urlfilter": OP13}
