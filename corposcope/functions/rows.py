@@ -32,16 +32,46 @@ def is_small(requested: DataFrame) -> bool:
     return rows <= MOST_REQUESTED and sum(sizes) <= MOST_REQUESTED_BYTES
 
 
+# Up to so many values are a test that a scan can push down.
+MOST_PATHS = 200
+
+
+def at_paths(files: DataFrame, wanted: list, on: str = "path") -> DataFrame:
+    """The files with one of up to ``MOST_PATHS`` paths; the test reaches the scan."""
+    return files.filter(F.col(on).isin(wanted) if wanted else F.lit(False))
+
+
+def winners(top: DataFrame, files: DataFrame, *columns: str | Column, push: bool = False) -> DataFrame:
+    """The rows of a limited top-k (``MOST_PATHS`` at most) with columns of their files.
+
+    With ``push`` (a stored corpus sorted by path) the top-k is computed first and its
+    paths are pushed into the scan, so only their row groups are read.  Without it the
+    rows are broadcast to a scan of the whole corpus, which a computed path cannot prune.
+    """
+    if push:
+        rows = top.collect()
+        files = at_paths(files, sorted({r["path"] for r in rows}))
+        top = top.sparkSession.createDataFrame(rows, top.schema)
+    return files.select("path", *columns).join(F.broadcast(top), "path")
+
+
 def attach(requested: DataFrame, files: DataFrame, *columns: str | Column, on: str = "path") -> DataFrame:
     """Rows of ``requested`` with ``columns`` of the file of their path, as a left join gives them.
 
     A left join cannot broadcast its left side, so it would shuffle every text to
-    serve a few paths.  A request of measured size is broadcast to the files
-    instead, and its rows without a file are added; a larger one is joined.
+    serve a few paths.  A request of measured size is taken to the driver once instead
+    (``MOST_REQUESTED`` rows and ``MOST_REQUESTED_BYTES`` at most) and broadcast to the files, and
+    its rows without a file are added; few paths are also pushed into the scans.  A
+    larger request is joined.
     """
-    served = files.select(on, *columns)
     if not is_small(requested):
-        return requested.join(served, on, "left")
+        return requested.join(files.select(on, *columns), on, "left")
+    rows = requested.collect()
+    keys = sorted({r[on] for r in rows if r[on] is not None})
+    if len(keys) <= MOST_PATHS:
+        files = at_paths(files, keys, on)
+    requested = requested.sparkSession.createDataFrame(rows, requested.schema)
+    served = files.select(on, *columns)
     own = [c for c in requested.columns if c != on]
     found = served.join(F.broadcast(requested), on)
     found = found.select(on, *own, *[c for c in served.columns if c != on])

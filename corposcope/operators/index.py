@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import handles, paths, terms, text
 from ..functions.rows import unnest
-from ..sources.corpus import admissible, describe
+from ..sources.corpus import MOST_BYTES, admit, describe, refused
 from .references import identifiers
 from .symbols import symbol_rows, with_symbols
 
@@ -73,18 +73,20 @@ def find_file_stats(corpus: DataFrame, name: str, *, scope=None, case_sensitive:
 
 
 def repo_map(corpus: DataFrame, *, scope=None, max_results: int = 20) -> DataFrame:
-    """Directories with file counts and their languages, first by path.
+    """Directories (200 at most) with file counts and their languages, first by path.
 
     At most 17 languages exist, so the collected set stays small however many
     files one directory holds.
     """
+    from .search import clamp_limit
+
     grouped = (
         corpus.filter(paths.in_scope("path", scope))
         .groupBy(paths.dirname("path").alias("directory"))
         .agg(F.count("*").alias("files"), F.collect_set(paths.language("path")).alias("languages"))
     )
     return (
-        grouped.orderBy("directory").limit(max_results)
+        grouped.orderBy("directory").limit(clamp_limit(max_results))
         .select("directory", "files", F.array_join(F.sort_array("languages"), ",").alias("languages"))
     )
 
@@ -190,17 +192,20 @@ def removed_paths(files: DataFrame, changed: DataFrame) -> DataFrame:
     )
 
 
-def build(corpus: DataFrame, target: str, *, extractor: str = "prose", max_bytes: int = 2_000_000) -> dict[str, str]:
-    """Write ``files``, ``postings``, ``symbols`` and ``identifiers`` as parquet.
+def build(corpus: DataFrame, target: str, *, extractor: str = "prose", max_bytes: int = MOST_BYTES) -> dict[str, str]:
+    """Write ``files``, ``postings``, ``symbols`` and ``identifiers`` as parquet, and
+    ``refused``: the paths that were not admitted, each with the reason.
 
     Rows are range-partitioned on (key, path), so a key that fills a third of the
     table is spread over many files, each row group covers a narrow key range,
     and a lookup by path, term, name or token reads few of them.
     """
-    admitted = corpus.filter(admissible("content", max_bytes) & ~paths.is_excluded("path"))
+    # The range partitioner samples its child, so the rows are dealt before anything is computed on them.
+    admitted = admit(corpus, max_bytes).repartitionByRange("path").sortWithinPartitions("path")
     files = with_terms(with_symbols(describe(admitted), extractor)).drop("lines")
-    out = {name: f"{target}/{name}" for name in ("files", "postings", "symbols", "identifiers")}
-    files.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(out["files"])
+    out = {name: f"{target}/{name}" for name in ("files", "postings", "symbols", "identifiers", "refused")}
+    files.write.mode("overwrite").parquet(out["files"])
+    refused(corpus, max_bytes).write.mode("overwrite").parquet(out["refused"])
     # Later tables read the stored rows: the text is parsed once.
     spark = corpus.sparkSession
     stored = spark.read.parquet(out["files"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import handles, paths, syntax, text
-from ..functions.rows import attach, unnest
+from ..functions.rows import attach, unnest, winners
 from ..functions.sqltext import bind, choose, in_list, lit
 from ..functions.terms import IDENTIFIER_CLASS
 from .search import clamp_limit
@@ -51,6 +51,11 @@ def _is_identifier_char(ch: str) -> bool:
     return any(a <= ch <= b for a, b in ("\u0300\u036f", "\u1ab0\u1aff", "\u1dc0\u1dff", "\u20d0\u20ff", "\ufe20\ufe2f"))
 
 
+def is_identifier(name: str) -> bool:
+    """Whether the exact occurrences of a name are the identifier runs equal to it."""
+    return bool(name) and all(map(_is_identifier_char, name))
+
+
 def _line_occurrences(line: str, name: str) -> str:
     """SQL: array of (column, byte) of whole-identifier matches of ``name``.
 
@@ -240,7 +245,7 @@ def reference_windows(
 def find_references(
     files: DataFrame, target: Target, *, reference_scope: str = "all", scope: list[str] | None = None,
     kinds: list[str] | None = None, context: int = 2, max_results: int = 20, parsed: bool = False,
-    workspace: str = "main",
+    workspace: str = "main", push: bool = False,
 ) -> DataFrame:
     """Reference windows, best role first in a file, then in turn across files.
 
@@ -266,7 +271,7 @@ def find_references(
         rows = rows.unionByName(_declaration_group(files, target, reference_scope, scope, parsed))
     # No text takes part in the top-k; those of the winners are fetched.
     order = ["turn", "group_priority", "after_declaration", "path"]
-    found = files.select("path", "content").join(F.broadcast(rows.orderBy(*order).limit(limit)), "path")
+    found = winners(rows.orderBy(*order).limit(limit), files, "content", push=push)
     return found.selectExpr(
         "turn", "group_priority", "after_declaration", "path", "w.line", "w.start_line", "w.end_line", "w.kind AS reference_kind",
         "w.evidence AS classification_evidence", "w.enclosing AS enclosing_symbol",

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..errors import EngineError
 from ..functions import handles, paths, terms, text
-from ..functions.rows import unnest
+from ..functions.rows import unnest, winners
 from .windows import merge_lines
 
 # Limits of a search request.
@@ -161,12 +161,13 @@ def search_text(
     case_sensitive: bool = False,
     prune: str = "terms",
     workspace: str = "main",
+    push: bool = False,
 ) -> DataFrame:
     """Matching windows, one per file and turn, files in path order.
 
     The top-k is over (turn, path) and the window's lines; no text takes part in it.
-    The texts of the final rows (at most 200) are fetched by a broadcast join, and
-    preview, hash and handle are computed for them alone.
+    The texts of the final rows (at most 200) are fetched for them alone (``push``: see
+    ``rows.winners``), and so are preview, hash and handle.
     """
     limit = clamp_limit(max_results)
     windows = _windows(corpus, pattern, syntax, scope, case_sensitive, prune, context)
@@ -176,7 +177,7 @@ def search_text(
         .orderBy("_turn", "path")
         .limit(limit)
     )
-    found = corpus.select("path", "content").join(F.broadcast(top), "path")
+    found = winners(top, corpus, "content", push=push)
     return found.select(
         "_turn", "path",
         F.col("_window.line").alias("line"),
@@ -210,7 +211,8 @@ def search_stats(
     limit = clamp_limit(max_results)
     cap = limit if paths.scope_size(scope) == 1 else min(limit, PER_FILE_CAP)
     windows = _windows(corpus, pattern, syntax, scope, case_sensitive, prune, context)
-    per_file = windows.select(F.size("_windows").alias("n"))
+    # A file that the needle test rules out has no windows, which is null.
+    per_file = windows.select(F.coalesce(F.size("_windows"), F.lit(0)).alias("n"))
     totals = per_file.agg(
         F.count_if(F.col("n") > 0).alias("matched_files"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_windows"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import handles, paths, syntax, text
-from ..functions.rows import attach, unnest
+from ..functions.rows import attach, unnest, winners
 from ..functions.sqltext import bind, lit
 from .search import DEFAULT_RESULTS, clamp_limit
 
@@ -84,13 +84,13 @@ def qualified_match(symbols: str, symbol: str, requested: str) -> str:
 
 def find_symbol(
     files: DataFrame, query: str, *, scope: list[str] | None = None,
-    max_results: int = DEFAULT_RESULTS, workspace: str = "main",
+    max_results: int = DEFAULT_RESULTS, workspace: str = "main", push: bool = False,
 ) -> DataFrame:
     """Symbols whose name contains the query, exact before prefix before inner.
 
     Always folds ASCII case.  Every name occurs in the text or the path of its
     file, so files without the query are dropped before their symbols are built.
-    The top-k holds no texts; those of the winners are fetched by a broadcast join.
+    The top-k holds no texts; those of the winners are fetched (``push``: see ``rows.winners``).
     """
     limit = clamp_limit(max_results)
     needle = text.ascii_lower_py(query)
@@ -106,7 +106,7 @@ def find_symbol(
         .limit(limit)
     )
     order = ["rank", "path", "start_line", "ordinal"]
-    return files.select("path", "content").join(F.broadcast(rows), "path").select(
+    return winners(rows, files, "content", push=push).select(
         "rank", "path", "s.name", "s.kind", "s.start_line", "s.end_line", "s.signature",
         F.when(F.col("rank") == 0, "exact_symbol").when(F.col("rank") == 1, "prefix_symbol")
         .otherwise("contains_symbol").alias("match_type"),

@@ -71,23 +71,45 @@ def _text(request: dict, field: str, codes: _Codes) -> None:
         raise EngineError(codes.invalid, f"{field} must be a non-empty string", field=field)
 
 
-NUMBERS = ("max_results", "context_lines", "max_chars", "start_line", "end_line", "surrounding_lines")
+NUMBERS = ("max_results", "context_lines", "max_chars", "start_line", "end_line", "surrounding_lines", "definition_line", "expected_replacements")
+FLAGS = ("case_sensitive", "include_imports", "overwrite")
+LISTS = ("paths", "reference_kinds")
+
+
+def _types(request: dict, codes: _Codes) -> None:
+    """Every field that is given by its type: all that are not named above are strings."""
+    for field, value in request.items():
+        if value is None:
+            continue
+        if field in NUMBERS:
+            fits, what = isinstance(value, int) and not isinstance(value, bool), "a whole number"
+        elif field in FLAGS:
+            fits, what = isinstance(value, bool), "true or false"
+        elif field in LISTS:
+            fits, what = isinstance(value, list) and all(isinstance(v, str) for v in value), "a list of strings"
+        else:
+            fits, what = isinstance(value, str), "a string"
+        if not fits:
+            raise EngineError(codes.invalid, f"{field} must be {what}", field=str(field))
+
+
+def operation_id(request: object, number: int) -> str:
+    """The id that a request gives, or its place; a request of a wrong shape has its place."""
+    given = request.get("id") if isinstance(request, dict) else None
+    return given if isinstance(given, str) and given else f"op_{number}"
 
 
 def check_operation(request: dict) -> dict:
+    if not isinstance(request, dict):
+        raise EngineError(_OPERATION.invalid, "an operation is an object", field="operation")
+    _types(request, _OPERATION)
+    # A field without a value counts as not given.
+    request = {k: v for k, v in request.items() if v is not None}
     kind = request.get("operation")
     _check(request, kind, OPERATIONS, _OPERATION)
     for field in OPERATIONS[kind][0][1:]:
         _text(request, field, _OPERATION)
-    for field in NUMBERS:
-        if not isinstance(request.get(field, 0), int) or isinstance(request.get(field), bool):
-            raise EngineError(_OPERATION.invalid, f"{field} must be a whole number", field=field)
-    for field in ("case_sensitive", "include_imports"):
-        if not isinstance(request.get(field, False), bool):
-            raise EngineError(_OPERATION.invalid, f"{field} must be true or false", field=field)
     paths = request.get("paths", [])
-    if not isinstance(paths, list) or not all(isinstance(p, str) for p in paths):
-        raise EngineError(_OPERATION.invalid, "paths must be a list of strings", field="paths")
     if kind == "symbols_overview" and not paths and not request.get("path"):
         raise EngineError(_OPERATION.missing, "symbols_overview needs path or paths")
     if request.get("response_detail", "standard") not in DETAILS:
@@ -98,6 +120,9 @@ def check_operation(request: dict) -> dict:
 
 
 def check_change(request: dict) -> dict:
+    if not isinstance(request, dict):
+        raise EngineError(_CHANGE.invalid, "a change is an object", field="kind")
+    _types(request, _CHANGE)
     kind = request.get("kind")
     if not isinstance(kind, str) or not kind.strip():
         raise EngineError(_CHANGE.missing, "a change needs a kind", field="kind")

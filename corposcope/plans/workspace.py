@@ -1,8 +1,9 @@
 """One corpus behind the request API.
 
-A workspace turns requests into lazy DataFrames.  It holds no data: ``files``
-is any DataFrame with path and content, best a stored index whose path, terms
-and symbols are columns already.
+A workspace turns requests into DataFrames.  It holds no data: ``files`` is any DataFrame
+with path and content.  Over a stored index (``Workspace.open``) each request first asks
+the narrow tables for the paths it concerns and then reads the texts of these alone
+(``operators.lookup``); over any other corpus it scans all files.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions import handles, paths, text
 from ..operators import changelog, index, reads, references, search, symbols
-from ..sources.corpus import describe
+from ..operators.lookup import Stored
+from ..sources.corpus import admit, describe
 from . import requests
 
 # Instruction files shown with a summary, and their inline limit.
@@ -28,6 +30,8 @@ class Reply:
     """Results and errors of a batch, by operation id, in request order."""
 
     results: dict[str, DataFrame] = field(default_factory=dict)
+    # One row each: totals before any limit, whether results were cut, what was looked at.
+    headers: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, EngineError] = field(default_factory=dict)
     warnings: dict[str, str] = field(default_factory=dict)
 
@@ -38,14 +42,31 @@ class Reply:
 
 class Workspace:
     def __init__(self, spark: SparkSession, corpus: DataFrame, *, name: str = "main", extractor: str = "prose",
-                 max_results: int = search.PROTOCOL_MAX_RESULTS):
-        self.spark, self.name, self.max_results = spark, name, max_results
+                 max_results: int = search.PROTOCOL_MAX_RESULTS, stored: Stored | None = None):
+        self.spark, self.name, self.max_results, self.stored = spark, name, max_results, stored
         self.parsed = extractor == "code"
+        # The same files as a stored index has.
+        corpus = corpus if stored else admit(corpus)
         if "symbols" in corpus.columns:
             self.files = text.with_lines(corpus) if "lines" not in corpus.columns else corpus
         else:
             self.files = symbols.with_symbols(corpus, extractor)
 
+    @classmethod
+    def open(cls, spark: SparkSession, tables: dict[str, str], **options) -> Workspace:
+        """A workspace over the tables that ``index.build`` wrote."""
+        stored = Stored.open(spark, tables)
+        return cls(spark, stored.files, stored=stored, **options)
+
+    def _lines(self, files: DataFrame) -> DataFrame:
+        return files if "lines" in files.columns else text.with_lines(files)
+
+    def _at(self, *wanted: str) -> DataFrame:
+        """Files of given paths."""
+        if self.stored:
+            return self._lines(self.stored.at(*wanted))
+        return self.files.filter(F.col("path").isin(list(wanted)))
+
     def retrieve(self, operations: list[dict], *, fail_fast: bool = False, snapshot_id: str | None = None) -> Reply:
         """Up to twelve operations; one that fails does not stop the others."""
         if not operations:
@@ -56,13 +77,16 @@ class Workspace:
             self.require_snapshot(snapshot_id)
         reply = Reply()
         for number, request in enumerate(operations, 1):
-            key = request.get("id") or f"op_{number}"
+            key = requests.operation_id(request, number)
             try:
                 if key in reply.results or key in reply.errors:
                     key, taken = f"op_{number}", key
                     raise EngineError("DUPLICATE_RETRIEVAL_OPERATION_ID", f"id {taken!r} is used twice", id=taken)
-                requests.check_operation(request)
-                reply.results[key] = getattr(self, f"_{request['operation']}")(request)
+                request = requests.check_operation(request)
+                answer = getattr(self, f"_{request['operation']}")(request)
+                reply.results[key], header = answer if isinstance(answer, tuple) else (answer, None)
+                if header is not None:
+                    reply.headers[key] = header
                 if request.get("max_results", 0) > self._limit(request):
                     reply.warnings[key] = "MAX_RESULTS_CLAMPED"
             except EngineError as error:
@@ -74,34 +98,45 @@ class Workspace:
     def _limit(self, request: dict) -> int:
         return search.clamp_limit(request.get("max_results", search.DEFAULT_RESULTS), self.max_results)
 
-    def _search_text(self, request: dict) -> DataFrame:
-        return search.search_text(
-            self.files, request["pattern"], syntax=request.get("syntax", "literal"), scope=requests.request_paths(request),
-            max_results=self._limit(request), context=request.get("context_lines", search.DEFAULT_CONTEXT),
-            case_sensitive=request.get("case_sensitive", False), workspace=self.name,
-        )
+    def _search_text(self, request: dict) -> tuple[DataFrame, DataFrame]:
+        pattern, syntax, scope = request["pattern"], request.get("syntax", "literal"), requests.request_paths(request)
+        files = self._lines(self.stored.with_terms(pattern, syntax, scope)) if self.stored else self.files
+        options = {
+            "syntax": syntax, "scope": scope, "max_results": self._limit(request),
+            "context": request.get("context_lines", search.DEFAULT_CONTEXT), "case_sensitive": request.get("case_sensitive", False),
+        }
+        found = search.search_text(files, pattern, workspace=self.name, push=self.stored is not None, **options)
+        return found, search.search_stats(files, pattern, **options)
 
-    def _find_file(self, request: dict) -> DataFrame:
-        return index.find_file(
-            self.files, request["name"], scope=requests.request_paths(request),
-            case_sensitive=request.get("case_sensitive", False), max_results=self._limit(request),
-        )
+    def _find_file(self, request: dict) -> tuple[DataFrame, DataFrame]:
+        options = {"scope": requests.request_paths(request), "case_sensitive": request.get("case_sensitive", False), "max_results": self._limit(request)}
+        return index.find_file(self.files, request["name"], **options), index.find_file_stats(self.files, request["name"], **options)
 
     def _find_symbol(self, request: dict) -> DataFrame:
-        return symbols.find_symbol(
-            self.files, request["symbol"], scope=requests.request_paths(request), max_results=self._limit(request), workspace=self.name
-        )
-
-    def _find_references(self, request: dict) -> DataFrame:
-        target = references.resolve_symbol(
-            self.files, request["symbol"], request.get("definition_path"), request.get("definition_line"), self.parsed
-        )
-        return references.find_references(
-            self.files, target, reference_scope=request.get("reference_scope", "all"), scope=requests.request_paths(request),
+        scope, limit = requests.request_paths(request), self._limit(request)
+        files = self.stored.symbols_like(request["symbol"], scope, limit) if self.stored else self.files
+        return symbols.find_symbol(files, request["symbol"], scope=scope, max_results=limit, workspace=self.name, push=self.stored is not None)
+
+    def _resolve(self, selector: str, path: str | None = None, line: int | None = None) -> references.Target:
+        files = self.stored.declaring(selector, path) if self.stored else self.files
+        return references.resolve_symbol(files, selector, path, line, self.parsed)
+
+    def _find_references(self, request: dict) -> tuple[DataFrame, DataFrame]:
+        target = self._resolve(request["symbol"], request.get("definition_path"), request.get("definition_line"))
+        return self._references(
+            target, reference_scope=request.get("reference_scope", "all"), scope=requests.request_paths(request),
             kinds=request.get("reference_kinds"), context=min(request.get("context_lines", search.DEFAULT_CONTEXT), search.MAX_CONTEXT),
-            max_results=self._limit(request), parsed=self.parsed, workspace=self.name,
+            max_results=self._limit(request),
         )
 
+    def _references(self, target: references.Target, **options) -> tuple[DataFrame, DataFrame]:
+        """Windows, and their totals with the files and bytes in scope."""
+        files = self.stored.with_token(target.name, options.get("scope")) if self.stored else self.files
+        found = references.find_references(files, target, parsed=self.parsed, workspace=self.name, push=self.stored is not None, **options)
+        totals = references.reference_summary(files, target, parsed=self.parsed, **options)
+        scanned = references.scanned_scope(self.files, options.get("reference_scope", "all"), options.get("scope"))
+        return found, totals.crossJoin(scanned)  # one row each
+
     def _symbols_overview(self, request: dict) -> DataFrame:
         wanted = [(p,) for p in requests.request_paths(request)]
         return symbols.outline(self.files, self.spark.createDataFrame(wanted, "path STRING"))
@@ -126,24 +161,38 @@ class Workspace:
             handles.decode_token("fetch:", value, "INVALID_CONTINUATION")
             return reads.read_continuations(self.files, one.withColumnRenamed("value", "continuation"), workspace=self.name, max_chars=limit)
         if target == "metadata":
-            hit = self.files.filter(F.col("path") == value)
-            return reads.metadata(describe(hit.select("path", "content")))
-        found = references.resolve_symbol(self.files, value, request.get("path"), parsed=self.parsed)
-        around = request.get("surrounding_lines", 0)
-        mine = self.files.filter(F.col("path") == found.path)
-        return reads.read_symbols(mine, found.name, surrounding=around).filter(
-            F.col("content").isNotNull() & (F.col("start_line") == max(1, found.start_line - min(around, reads.MAX_SURROUNDING)))
-        )
+            return reads.metadata(describe(self._at(value).select("path", "content")))
+        return self._read_symbol(request)
+
+    def _read_symbol(self, request: dict) -> DataFrame:
+        """The lines of one declaration and those around it, as a range read gives them: cut at the
+        budget, with a handle and a continuation; with ``include_imports`` also the
+        import lines above.  ``path::name`` names the path where no path is given."""
+        name, path = request["value"], request.get("path")
+        head, sep, tail = name.partition("::")
+        if path is None and sep and tail and not self._at(paths.normalize_path(head)).isEmpty():
+            name, path = tail, head
+        found = self._resolve(name, path)
+        around = min(request.get("surrounding_lines", 0), reads.MAX_SURROUNDING)
+        mine = self._at(found.path)
+        start = max(1, found.start_line - around)
+        out = reads.read_range(mine, start, found.end_line + around, max_chars=request.get("max_chars"), workspace=self.name)
+        out = out.withColumns({"name": F.lit(found.name), "kind": F.lit(found.kind)})
+        if request.get("include_imports", False):
+            lines = reads.import_prelude(mine, F.lit(start)).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("imports"))
+            empty = F.array().cast("array<struct<line:int,text:string>>")
+            out = out.join(lines, "path", "left").withColumn("imports", F.coalesce(F.col("imports").cast("array<struct<line:int,text:string>>"), empty))
+        return out
 
     def references_at(self, path: str, line: int, max_results: int = 20) -> DataFrame:
         """References of the symbol at a position; same result as by name."""
-        row = symbols.resolve_positions(self.files.filter(F.col("path") == path), F.lit(line)).first()
+        row = symbols.resolve_positions(self._at(path), F.lit(line)).first()
         if row is None:
             raise EngineError("PATH_NOT_INDEXED", "path is not indexed", path=path)
         if row["error"]:
             raise EngineError(row["error"], "no declaration at this position", path=path, line=line)
-        target = references.resolve_symbol(self.files, row["name"], path, row["start_line"], self.parsed)
-        return references.find_references(self.files, target, context=0, max_results=max_results, parsed=self.parsed, workspace=self.name)
+        target = self._resolve(row["name"], path, row["start_line"])
+        return self._references(target, context=0, max_results=max_results)[0]
 
     def snapshot_id(self, head: str = "") -> str:
         return index.snapshot_id(self.files, head).first()["snapshot_id"]

@@ -68,14 +68,35 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def admissible(content: Column | str, max_bytes: int) -> Column:
     """Admission of raw bytes: size, no NUL in the first 8192 bytes, valid UTF-8."""
+    return refusal(content, max_bytes).isNull()
+
+
+# Fixed value: the size in bytes above which a file is refused.
+MOST_BYTES = 2_000_000
+
+
+def refusal(content: Column | str, max_bytes: int = MOST_BYTES) -> Column:
+    """Why a text is not admitted (``too_large``, ``binary``, ``not_utf8``, ``no_content``), or null."""
     c = text.col(content)
     return (
-        (F.octet_length(c) <= max_bytes)
-        & (F.position(F.lit(b"\0"), F.substring(c, 1, 8192)) == 0)
-        & F.is_valid_utf8(c.cast("string"))
+        F.when(c.isNull(), "no_content").when(F.octet_length(c) > max_bytes, "too_large")
+        .when(F.position(F.lit(b"\0"), F.substring(c.cast("binary"), 1, 8192)) != 0, "binary")
+        .when(~F.is_valid_utf8(c.cast("string")), "not_utf8")
     )
 
 
+def admit(corpus: DataFrame, max_bytes: int = MOST_BYTES) -> DataFrame:
+    """The files of a corpus that searches and the stored index both see."""
+    return corpus.filter(refusal("content", max_bytes).isNull() & ~paths.is_excluded("path"))
+
+
+def refused(corpus: DataFrame, max_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, reason, size) of every file that ``admit`` leaves out."""
+    why = F.when(paths.is_excluded("path"), "excluded").otherwise(refusal("content", max_bytes))
+    rows = corpus.select("path", why.alias("reason"), F.octet_length("content").cast("bigint").alias("size"))
+    return rows.filter(F.col("reason").isNotNull())
+
+
 def describe(corpus: DataFrame) -> DataFrame:
     """Add the derived columns of a file row."""
     path, content = F.col("path"), F.col("content")
