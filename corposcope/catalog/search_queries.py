@@ -114,9 +114,25 @@ def many_sql(patterns: list[str], context: int, limit: int, cap: int) -> str:
     return with_ctes(*BASE) + " UNION ALL ".join(arms)
 
 
+MANY_COLUMNS = ["query_index", "query", "path", "turn", "line", "start_line", "end_line", "rank"]
+
+
 @query("search_multi_query", many_sql(MANY, 1, 15, 8))
 def search_multi_query(spark, sf):
-    return search.search_many(corpus.documents(spark, sf), MANY, context=1, max_results=15)
+    return search.search_many(corpus.documents(spark, sf), MANY, context=1, max_results=15).select(MANY_COLUMNS)
+
+
+# Twelve literals in one pass, two of which are no patterns.
+TWELVE = ["le", "der", "que", "the", "zzqq", "ung", "tion", "ent", "La", "und"]
+
+
+@query("search_multi_replies", f"""SELECT r.*, {preview_sql()} AS preview, {handle_sql('path', 'start_line', 'end_line', 'sha256(content)')} AS handle,
+  'literal' AS match_type, 1.0::DOUBLE AS score, 'literal_match' AS reason, NULL::VARCHAR AS error
+FROM ({many_sql(TWELVE, 2, 10, 8)}) r JOIN ({with_ctes(*BASE)} SELECT path, content, ls FROM parts) USING (path)
+UNION ALL SELECT 10, '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'INVALID_REQUEST'
+UNION ALL SELECT 11, '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'INVALID_REQUEST'""")
+def search_multi_replies(spark, sf):
+    return search.search_many(corpus.documents(spark, sf), [*TWELVE, "", ""], max_results=10)
 
 
 @query("search_truncation_stats", with_ctes(

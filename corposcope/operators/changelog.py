@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import paths
-from ..functions.rows import unnest
+from ..session import written
 
 # Capacities of the log, of runs, of roll-ups and of samples.
 LOG_CAPACITY = 2000
@@ -139,29 +139,35 @@ def partition_by_owner(dirty: DataFrame, log: DataFrame, own_source: str) -> Dat
     return dirty.select("path").distinct().join(touched, "path").select("path", "own", "external")
 
 
-def attribute_runs(log: DataFrame, runs: DataFrame, bucket: int = 1024, salts: int = 8) -> DataFrame:
+def attribute_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     """Distinct paths changed by each run: start < generation <= end, not later
     than the run's end time.
 
-    A range join by buckets of generations: a run is repeated for each bucket it
-    spans, a log row falls into one, and the pair meets on equality.  One batch
-    may write most of the log under a single generation, so the key also holds a
-    hash of the path; runs, the small side, are repeated for each of its values.
+    An interval join by ranges of the data.  The log is dealt into ranges of
+    (generation, path), so a generation that wrote most of it fills many ranges.  A run is
+    repeated for the ranges that it touches, however many generations it spans.  Where
+    it covers a range whole, it meets the counts per path of that range; only in the
+    ranges of its ends it meets the rows.
     """
-    first = F.expr(f"(start_generation + 1) div {bucket}")
-    last = F.expr(f"end_generation div {bucket}")
-    spans = unnest(runs.filter("end_generation > start_generation"), F.sequence(first, last), "_bucket", "*")
-    spans = unnest(spans, F.sequence(F.lit(0), F.lit(salts - 1)), "_salt", "*")
-    rows = log.select(
-        "path", "generation", "timestamp", F.expr(f"generation div {bucket}").alias("_bucket"),
-        F.pmod(F.hash("path"), F.lit(salts)).alias("_salt"),
+    dealt = log.select("path", "generation", "timestamp").repartitionByRange("generation", "path")
+    rows = written(dealt.withColumn("_range", F.spark_partition_id()), "log-ranges")
+    # One row for each partition of the log.
+    ranges = rows.groupBy("_range").agg(F.min("generation").alias("low"), F.max("generation").alias("high"), F.max("timestamp").alias("latest"))
+    pieces = runs.filter("end_generation > start_generation").join(F.broadcast(ranges), (F.col("high") > F.col("start_generation")) & (F.col("low") <= F.col("end_generation")))
+    covers = (
+        (F.col("low") > F.col("start_generation")) & (F.col("high") <= F.col("end_generation"))
+        & (F.col("ended_at").isNull() | (F.col("latest") <= F.col("ended_at")))
     )
-    joined = spans.join(rows, ["_bucket", "_salt"]).filter(
+    pieces = pieces.withColumn("_covers", F.coalesce(covers, F.lit(False)))
+    counts = rows.groupBy("_range", "path").agg(F.count("*").alias("changes"))
+    whole = pieces.filter("_covers").join(counts, "_range").select("run_id", "path", "changes")
+    ends = pieces.filter("NOT _covers").join(rows, "_range").filter(
         (F.col("generation") > F.col("start_generation"))
         & (F.col("generation") <= F.col("end_generation"))
         & (F.col("ended_at").isNull() | (F.col("timestamp") <= F.col("ended_at")))
     )
-    return joined.groupBy("run_id", "path").agg(F.count("*").alias("changes"))
+    found = whole.unionByName(ends.groupBy("run_id", "path").agg(F.count("*").alias("changes")))
+    return found.groupBy("run_id", "path").agg(F.sum("changes").alias("changes"))
 
 
 def lower_median(rows: DataFrame, key: str, value: str, order: list[Column], samples: int = SAMPLES) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import handles, paths, text
 from ..functions.rows import attach, unnest
 from ..functions.sqltext import bind, lit
+from ..session import written
 
 # Read budgets in bytes and surrounding lines.
 DEFAULT_BUDGET = 30_000
@@ -159,17 +160,25 @@ def metadata(described: DataFrame) -> DataFrame:
 def share_budget(files: DataFrame, max_chars: int) -> DataFrame:
     """Several reads under one byte budget, in the order of ``seq`` per ``request``.
 
-    A read starts with what the earlier reads of its request left over.
+    A read starts with what the earlier reads of its request left over.  The sizes are
+    dealt into ranges of (request, seq) and summed per range; what the ranges before
+    have used is carried to each range of a request, so one request fills many tasks.
+    Reads of one ``seq`` follow in path order.
     """
     from pyspark.sql import Window as W
 
-    earlier = W.partitionBy("request").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    size = F.octet_length("content")
-    used = F.coalesce(F.sum(size).over(earlier), F.lit(0))
-    left = F.greatest(F.lit(budget(max_chars)) - used, F.lit(0))
-    return files.select("request", "seq", "path", size.alias("total"), F.least(size, left).alias("granted")).filter(
-        (F.col("granted") > 0) | (F.col("total") == 0)
-    )
+    limit = F.lit(budget(max_chars))
+    sized = files.select("request", "seq", "path", F.octet_length("content").alias("total"))
+    rows = written(sized.repartitionByRange("request", "seq", "path").withColumn("_range", F.spark_partition_id()), "read-ranges")
+    before = W.partitionBy("request").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("request", "_range").agg(F.sum("total").alias("_sum"))
+    carried = sums.select("request", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
+    earlier = W.partitionBy("request", "_range").orderBy("seq", "path").rowsBetween(W.unboundedPreceding, -1)
+    # A null request is one like any other.
+    both = rows.alias("r").join(carried.alias("c"), F.expr("r._range = c._range AND r.request <=> c.request"))
+    joined = both.select("r.*", "c._carry").withColumn("_used", F.col("_carry") + F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    left = F.greatest(limit - F.col("_used"), F.lit(0))
+    return joined.select("request", "seq", "path", "total", F.least("total", left).alias("granted")).filter((F.col("granted") > 0) | (F.col("total") == 0))
 
 
 def pages_of(files: DataFrame, max_chars: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..errors import EngineError
 from ..functions import handles, paths, terms, text
+from ..functions.multipattern import line_hits
 from ..functions.rows import unnest, winners
 from .windows import merge_lines
 
@@ -236,43 +237,64 @@ def search_many(
     context: int = DEFAULT_CONTEXT,
     case_sensitive: bool = False,
     prune: str = "terms",
+    workspace: str = "main",
 ) -> DataFrame:
-    """Several patterns in one scan; each keeps its own limit and order.
+    """Several patterns in one scan; each keeps its own limit, order and error.
 
-    The request holds a handful of patterns, so each becomes one window column
-    of the same row.  ``row_number() <= limit`` is planned as a group limit,
-    which trims every task to ``limit`` rows per pattern before the exchange.
+    All literals of the request are one automaton, which reads a text once whatever
+    their number; regexes become one window column each.  ``row_number() <= limit`` is
+    planned as a group limit, which trims every task to ``limit`` rows per pattern before
+    the exchange.  Texts are fetched for the winners alone.  A pattern that is no
+    pattern gives one row with ``error`` and no window.
     """
     limit = clamp_limit(max_results)
     context = min(context, MAX_CONTEXT)
     cap = limit if paths.scope_size(scope) == 1 else min(limit, PER_FILE_CAP)
     if not patterns:
         raise EngineError("INVALID_REQUEST", "queries cannot be empty")
-    # One flag per pattern, computed once; a file with no flag set is not split.
-    flags = F.array(*[possible(corpus, p, syntax, case_sensitive, prune) for p in patterns])
-    files = corpus.filter(paths.in_scope("path", scope)).select("path", "content", flags.alias("_flags"))
-    files = text.with_lines(files, only=F.exists("_flags", lambda f: f))
-
-    def hits(i: int, pattern: str) -> Column:
-        matcher = line_matcher(pattern, syntax, case_sensitive)
-        numbered = F.transform("lines", lambda line, j: F.when(matcher(line), j + 1))
-        return F.when(F.get("_flags", F.lit(i)), F.array_compact(numbered)).otherwise(F.array().cast("array<int>"))
-
-    columns = {f"_hits{i}": hits(i, p) for i, p in enumerate(patterns)}
-    files = files.withColumns({**columns, "_count": text.line_count("content")})
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("query_index"),
-                F.lit(q).alias("query"),
-                F.slice(merge_lines(f"_hits{i}", context, "_count"), F.lit(1), F.lit(cap)).alias("windows"),
-            )
-            for i, q in enumerate(patterns)
-        ]
-    )
-    per_file = unnest(files, entries, "e", "path").select("path", "e.*")
-    windows = unnest(per_file, "windows", "w", "path", "query_index", "query", position="turn").select(
-        "path", "query_index", "query", "turn", "w.*"
+    failed: list[tuple[int, str, str]] = []
+    valid: list[tuple[int, str]] = []
+    for i, pattern in enumerate(patterns):
+        try:
+            if pattern == "":
+                raise EngineError("INVALID_REQUEST", "a text search needs a pattern")
+            line_matcher(pattern, syntax, case_sensitive)
+            valid.append((i, pattern))
+        except EngineError as error:
+            failed.append((i, pattern, error.code))
+    schema = "query_index INT, query STRING, error STRING"
+    errors = corpus.sparkSession.createDataFrame(failed, schema)
+    files = corpus.filter(paths.in_scope("path", scope))
+    none = F.array().cast("array<int>")
+    if syntax == "literal":
+        files = files.withColumn("_found", line_hits(F.col("content"), [p for _, p in valid], case_sensitive))
+        files = files.filter(F.exists("_found", lambda f: F.size(f) > 0)) if valid else files.filter(F.lit(False))
+        # The needle is in the text; what is left to ask is whether one of its terms is indexed.
+        wanted = [terms.query_terms(p) if prune == "terms" else [] for _, p in valid]
+        allowed = [has_term(corpus, w) if w else F.lit(True) for w in wanted]
+        hits = {i: F.when((F.size(F.get("_found", F.lit(k))) > 0) & allowed[k], F.get("_found", F.lit(k))).otherwise(none) for k, (i, _) in enumerate(valid)}
+    else:
+        files = text.with_lines(files)
+        hits = {i: F.array_compact(_numbered(line_matcher(p, syntax, case_sensitive))) for i, p in valid}
+    files = files.withColumns({**{f"_hits{i}": h for i, h in hits.items()}, "_count": text.line_count("content")})
+    entry = lambda i, q: F.struct(F.lit(i).alias("query_index"), F.lit(q).alias("query"), F.slice(merge_lines(f"_hits{i}", context, "_count"), F.lit(1), F.lit(cap)).alias("windows"))
+    if not valid:
+        top = corpus.sparkSession.createDataFrame([], "path STRING, query_index INT, query STRING, turn INT, line INT, start_line INT, end_line INT, rank INT")
+    else:
+        entries = F.array(*[entry(i, q) for i, q in valid])
+        per_file = unnest(files, entries, "e", "path").select("path", "e.*")
+        windows = unnest(per_file, "windows", "w", "path", "query_index", "query", position="turn").select("path", "query_index", "query", "turn", "w.*")
+        order = W.partitionBy("query_index").orderBy("turn", "path")
+        top = windows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    # At most ``limit`` rows for each pattern of the request.
+    found = winners(top, corpus, "content").select(
+        "path", "query_index", "query", "turn", "line", "start_line", "end_line", "rank",
+        text.join_lines(text.split_lines("content"), F.col("start_line"), F.col("end_line")).alias("preview"),
+        handles.range_handle(workspace, F.col("path"), F.col("start_line"), F.col("end_line"), handles.content_hash("content")).alias("handle"),
+        F.lit(syntax).alias("match_type"), F.lit(1.0).alias("score"), F.lit(f"{syntax}_match").alias("reason"), F.lit(None).cast("string").alias("error"),
     )
-    order = W.partitionBy("query_index").orderBy("turn", "path")
-    return windows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return found.unionByName(errors, allowMissingColumns=True)
+
+
+def _numbered(matcher) -> Column:
+    return F.transform("lines", lambda line, j: F.when(matcher(line), j + 1))

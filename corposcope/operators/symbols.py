@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import handles, paths, syntax, text
+from ..functions.intervals import owner_names
 from ..functions.rows import attach, unnest, winners
 from ..functions.sqltext import bind, lit
 from .search import DEFAULT_RESULTS, clamp_limit
@@ -172,13 +173,10 @@ def definition_at(files: DataFrame, line: Column) -> DataFrame:
 
 
 def owners(files: DataFrame) -> DataFrame:
-    """Each symbol with the smallest strictly larger symbol around it."""
-    owner = (
-        "array_min(transform(filter(a, o -> o.start_line <= s.start_line AND o.end_line >= s.end_line AND "
-        "(o.start_line < s.start_line OR o.end_line > s.end_line)), "
-        "o -> named_struct('span', o.end_line - o.start_line, 'name', o.name))).name"
-    )
-    paired = bind("symbols", "a", f"transform(a, (s, i) -> named_struct('ordinal', i, 's', s, 'owner', {owner}))")
-    return unnest(files, F.expr(paired), "e", "path").select(
-        "path", "e.ordinal", "e.s.name", "e.s.start_line", "e.s.end_line", "e.owner"
+    """Each symbol with the smallest strictly larger symbol around it, by one sorted
+    fold over the symbols of a file (``functions.intervals``)."""
+    spans = F.transform("symbols", lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["name"].alias("name")))
+    named = files.select("path", "symbols", owner_names(spans).alias("_owners"))
+    return unnest(named, "symbols", "s", "path", "_owners", position="ordinal").select(
+        "path", "ordinal", "s.name", "s.start_line", "s.end_line", F.get("_owners", F.col("ordinal")).alias("owner")
     )

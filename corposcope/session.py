@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise EngineError("NO_SHARED_FOLDER", "set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="corposcope-checkpoint-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, re-readable by every executor."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/corposcope-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
