@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import handles
-from ..operators import edits, symbols
+from ..operators import edit_requests, edits, symbols
 from ..sources import corpus
 from .base import BASE, CORPUS, RUN, SYMBOLS, query, with_ctes
 
@@ -274,3 +274,70 @@ def edit_transactions_conflicts(spark, sf):
 def syntax_gate(spark, sf):
     """Documents as planned texts: prose under a code extension does not parse."""
     return edits.syntax_gate(corpus.documents(spark, sf).select("path", F.col("content").alias("after")))
+
+
+def _change(**columns):
+    """A change of a request; columns that its kind does not need are null."""
+    values = {c: columns.get(c, F.lit(None)) for c in edit_requests.COLUMNS if c != "txn"}
+    return F.struct(*(v.cast(edit_requests.COLUMNS[c]).alias(c) for c, v in values.items()))
+
+
+def _requested(files, *changes):
+    asked = files.select(F.col("doc_id").cast("string").alias("txn"), F.explode(F.array_compact(F.array(*changes))).alias("c")).select("txn", "c.*")
+    plan = edit_requests.plan_requests(asked, files.select("path", "content"), snapshot="now")
+    return plan.select("txn", "path", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(handles.content_hash("after"), F.lit("")).alias("after_hash"))
+
+
+@query("edit_request_all_kinds", with_ctes(CORPUS) + """
+SELECT doc_id::VARCHAR AS txn, path, '' AS error, '' AS after_hash FROM corpus
+UNION ALL SELECT doc_id::VARCHAR, 'kept/' || path, '', sha256('# head' || chr(10) || replace(content, 'la', 'LA') || 'tail') FROM corpus
+UNION ALL SELECT doc_id::VARCHAR, 'new/' || path, '', '' FROM corpus""")
+def edit_request_all_kinds(spark, sf):
+    """Replace, two inserts, a rename, and a file that is created and deleted again."""
+    files = corpus.documents(spark, sf)
+    n = ((F.octet_length("content") - F.octet_length(F.replace("content", F.lit("la"), F.lit("")))) / 2).cast("int")
+    stem, path, fresh, now = F.concat(F.lit("doc_"), F.col("doc_id")), F.col("path"), F.concat(F.lit("new/"), "path"), F.lit("now")
+    return _requested(
+        files,
+        _change(seq=F.lit(1), kind=F.lit("replace"), path=path, old_text=F.lit("la"), new_text=F.lit("LA"), expected_replacements=n, snapshot_id=now),
+        _change(seq=F.lit(2), kind=F.lit("insert"), path=path, anchor_symbol=stem, position=F.lit("before"), content=F.lit("# head\n"), expected_hash=handles.content_hash("content"), snapshot_id=now),
+        _change(seq=F.lit(3), kind=F.lit("insert"), path=path, anchor_symbol=stem, position=F.lit("after"), content=F.lit("tail"), snapshot_id=now),
+        _change(seq=F.lit(4), kind=F.lit("rename"), path=path, to=F.concat(F.lit("kept/"), path), snapshot_id=now),
+        _change(seq=F.lit(5), kind=F.lit("create"), path=fresh, content=F.lit("x"), snapshot_id=now),
+        _change(seq=F.lit(6), kind=F.lit("delete"), path=fresh, snapshot_id=now),
+    )
+
+
+@query("edit_request_ranges", with_ctes(CORPUS, "cut AS (SELECT doc_id, path, content, string_split(content, chr(10)) AS p FROM corpus)",
+    """placed AS (SELECT *, CASE WHEN len(p) >= 2 THEN length(p[1]) + 1 ELSE length(content) END AS a,
+  CASE WHEN len(p) >= 4 THEN length(array_to_string(p[1:3], chr(10))) + 1 ELSE length(content) END AS b FROM cut)""") + """
+SELECT doc_id::VARCHAR AS txn, path, CASE doc_id % 4 WHEN 1 THEN 'STALE_FILE' WHEN 2 THEN 'AMBIGUOUS_HANDLE_EDIT_ORDER' WHEN 3 THEN 'MISSING_PRECONDITION' ELSE '' END AS error,
+  CASE WHEN doc_id % 4 = 0 THEN sha256(left(content, a) || 'X' || CASE WHEN suffix(substr(content, a + 1, b - a), chr(10)) THEN chr(10) ELSE '' END || substr(content, b + 1)) ELSE '' END AS after_hash
+FROM placed""")
+def edit_request_ranges(spark, sf):
+    """Lines 2 and 3 by their handle: as they are, of another version, beside another change, or without a guard."""
+    files = corpus.documents(spark, sf)
+    case, path = F.col("doc_id") % 4, F.col("path")
+    digest = F.when(case == 1, F.lit("0" * 64)).otherwise(handles.content_hash("content"))
+    handle = handles.range_handle("main", path, F.lit(2), F.lit(3), digest)
+    return _requested(
+        files,
+        F.when(case != 3, _change(seq=F.lit(1), kind=F.lit("replace_range"), path=path, handle=handle, new_text=F.lit("X"))),
+        F.when(case == 2, _change(seq=F.lit(2), kind=F.lit("delete"), path=path, snapshot_id=F.lit("now"))),
+        F.when(case == 3, _change(seq=F.lit(3), kind=F.lit("delete"), path=path)),
+    )
+
+
+@query("edit_request_checks", with_ctes(CORPUS, f"""asked AS (SELECT doc_id, path, content, {needle_sql(FIRST_WORD)} AS a, {needle_sql(TWO_WORDS)} AS b FROM corpus)""",
+    "counted AS (SELECT *, (strlen(content) - strlen(replace(content, a, ''))) // strlen(a) AS na, (strlen(content) - strlen(replace(content, b, ''))) // strlen(b) AS nb FROM asked)") + """
+SELECT doc_id::VARCHAR AS txn, path, CASE WHEN doc_id % 5 = 0 THEN 'STALE_SNAPSHOT' WHEN na <> 1 OR nb <> 1 THEN 'EXACT_MATCH_COUNT' ELSE 'OVERLAPPING_EDITS' END AS error,
+  '' AS after_hash FROM counted""")
+def edit_request_checks(spark, sf):
+    """Two replacements of which one lies in the other; every fifth request names an older snapshot."""
+    files = corpus.documents(spark, sf)
+    path, asked = F.col("path"), F.when(F.col("doc_id") % 5 == 0, "then").otherwise("now")
+    return _requested(
+        files,
+        _change(seq=F.lit(1), kind=F.lit("replace"), path=path, old_text=_needle(FIRST_WORD), new_text=F.lit("x"), snapshot_id=asked),
+        _change(seq=F.lit(2), kind=F.lit("replace"), path=path, old_text=_needle(TWO_WORDS), new_text=F.lit("y"), snapshot_id=asked),
+    )

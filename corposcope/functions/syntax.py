@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .paths import LANGUAGE_EXTENSIONS
+
 SYMBOLS_TYPE = T.ArrayType(
     T.StructType(
         [
@@ -128,6 +130,13 @@ def _symbols(language: str, content: str) -> list[dict]:
     return _brace_symbols(language, content) if language in BRACE_LANGUAGES else []
 
 
+def symbols_at(path: str, content: str) -> list[dict]:
+    """Declarations of one text, its language told by the path."""
+    extension = path.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    language = next((name for name, known in LANGUAGE_EXTENSIONS.items() if extension in known), "text")
+    return _symbols(language, content)
+
+
 @F.pandas_udf(SYMBOLS_TYPE)
 def code_symbols(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """(language, content) -> declarations in source order."""

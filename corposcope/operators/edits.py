@@ -288,7 +288,7 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=PLAN_SCHEMA.names)
 
 
-def _with_line_ends(value: str, like: str) -> str:
+def with_line_ends(value: str, like: str) -> str:
     """``value`` with the line ends of ``like``, if those are of one kind."""
     pairs = like.count("\r\n")
     lf, cr = like.count("\n") - pairs, like.count("\r") - pairs
@@ -301,12 +301,12 @@ def _with_line_ends(value: str, like: str) -> str:
 def _replaced(before: str, old: str, new: str, expected: int) -> str | None:
     """All occurrences replaced if there are ``expected`` of them, else None.  A needle
     rewritten to the file's line ends goes before the needle as given."""
-    needle = _with_line_ends(old, before)
+    needle = with_line_ends(old, before)
     if needle == old or before.count(needle) != expected:
         needle = old
     if before.count(needle) != expected:
         return None
-    new = _with_line_ends(new, before)
+    new = with_line_ends(new, before)
     if new and not new.endswith("\n") and needle.endswith("\n"):
         new += "\r\n" if needle.endswith("\r\n") else "\n"
     return before.replace(needle, new)
@@ -328,7 +328,7 @@ def _fold_transaction(txn: str, rows) -> list[list]:
         elif row["kind"] == "create":
             allowed = before is None or row.get("overwrite") is True
             error = None if allowed else "PATH_EXISTS"
-            updates[path] = (before, row["new_text"] if before is None else _with_line_ends(row["new_text"], before))
+            updates[path] = (before, row["new_text"] if before is None else with_line_ends(row["new_text"], before))
         elif row["kind"] == "delete":
             updates[path] = (before, None)
         elif row["kind"] == "rename":

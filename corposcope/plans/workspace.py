@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import handles, paths, text
-from ..operators import changelog, index, reads, references, search, symbols
+from ..functions.rows import MOST_PATHS
+from ..operators import changelog, edit_requests, edits, index, reads, references, search, symbols
 from ..operators.lookup import Stored
 from ..sources.corpus import admit, describe
 from . import requests
@@ -184,6 +185,20 @@ class Workspace:
             out = out.join(lines, "path", "left").withColumn("imports", F.coalesce(F.col("imports").cast("array<struct<line:int,text:string>>"), empty))
         return out
 
+    def plan_edit(self, changes: list[dict], *, snapshot_id: str | None = None, detail: str = "standard", cap: int = 0) -> DataFrame:
+        """The plan of one edit request: a row for each file with its text before and after and
+        its diff, or one row with the error.  Shapes are checked first and raise."""
+        if not isinstance(changes, list) or not changes:
+            raise EngineError("INVALID_REQUEST", "changes must be a list and cannot be empty")
+        checked = [requests.check_change(c) for c in changes]
+        rows = [tuple({"txn": "edit", "seq": i, "snapshot_id": snapshot_id, **c}.get(name) for name in edit_requests.COLUMNS) for i, c in enumerate(checked, 1)]
+        table = self.spark.createDataFrame(rows, ", ".join(f"{c} {kind}" for c, kind in edit_requests.COLUMNS.items()))
+        named = sorted({c[f].replace("\\", "/") for c in checked for f in ("path", "to") if c.get(f)})
+        current = self.snapshot_id() if snapshot_id is not None else None
+        files = self._at(*named) if len(named) <= MOST_PATHS else self.files
+        plan = edit_requests.plan_requests(table, files, workspace=self.name, snapshot=current, extractor="code" if self.parsed else "prose")
+        return edits.shape_diff(edits.with_diff(plan.drop("txn")), detail, cap)
+
     def references_at(self, path: str, line: int, max_results: int = 20) -> DataFrame:
         """References of the symbol at a position; same result as by name."""
         row = symbols.resolve_positions(self._at(path), F.lit(line)).first()
