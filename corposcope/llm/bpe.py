@@ -27,13 +27,11 @@ import functools
 import hashlib
 import json
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from .common import by_batch, texts_of
 
@@ -133,6 +131,15 @@ class Automaton:
         for text, token in self.specials.items():
             self.labels[token] = text.encode()
 
+    @functools.cached_property
+    def words(self) -> Words:
+        """Stored words of this worker.  They hang on the broadcast, so they last from task
+        to task and go with it: Spark drops it from a worker that gets other work."""
+        return Words(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
+
     def _cell(self, u: int, v: int, now: int) -> bool:
         """Whether the state of ``u`` has an arc ``v`` once the first ``now`` gadgets are built."""
         born, cut = self.born, self.cut
@@ -246,23 +253,6 @@ def compile_file(path: str) -> Automaton:
     return Automaton(labels, merges, {t["content"]: t["id"] for t in spec.get("added_tokens") or []})
 
 
-# One per Python worker: tokenizer and its words, kept between tasks.
-_kept: dict[str, Words] = {}
-
-
-def _words(shared: tuple[str, Broadcast]) -> Words:
-    name, automaton = shared
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = Words(automaton.value)
-    return _kept[name]
-
-
-def _share(spark: SparkSession, automaton: Automaton) -> tuple[str, Broadcast]:
-    """The compiled automaton for every executor; its size is that of the vocabulary."""
-    return uuid.uuid4().hex, spark.sparkContext.broadcast(automaton)
-
-
 def spell(automaton: Automaton, ids) -> str:
     """The labels of the arcs in order, as text."""
     return b"".join(map(automaton.labels.__getitem__, ids)).decode("utf-8", "replace")
@@ -276,10 +266,11 @@ def encode(docs: DataFrame, automaton: Automaton, key: str = "doc_id", text: str
     Texts are encoded whole.  A null text counts as empty: no ids.  Repeated rows
     and null keys stay; other columns of ``docs`` are not read.
     """
-    shared = _share(docs.sparkSession, automaton)
+    # Its size is that of the vocabulary.
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def work(batch: pa.RecordBatch) -> dict:
-        words = _words(shared)
+        words = shared.value.words
         get, pieces = words.__getitem__, words.automaton.pieces
         rows = [b"".join(map(get, pieces(t))) for t in texts_of(batch, "text")]
         sizes = np.array([len(r) // 4 for r in rows], np.int64)
@@ -308,10 +299,10 @@ def decode(encoded: DataFrame, automaton: Automaton, ids: str = "token_ids", out
 
     Bytes that are no UTF-8 become U+FFFD; null ids spell ''; an unknown id raises.
     """
-    shared = _share(encoded.sparkSession, automaton)
+    shared = encoded.sparkSession.sparkContext.broadcast(automaton)
 
     def work(batch: pa.RecordBatch) -> dict:
-        texts = [spell(shared[1].value, row or ()) for row in batch.column(ids).to_pylist()]
+        texts = [spell(shared.value, row or ()) for row in batch.column(ids).to_pylist()]
         return dict(zip(batch.schema.names, batch.columns)) | {out: pa.array(texts, pa.string())}
 
     kept = [f for f in encoded.schema.fields if f.name != out]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
+# Bytes of an Arrow batch that are turned into Python objects at a time.
+SLICE_BYTES = 4 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,12 +23,11 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors see.
 
-    Only where the setting is absent (a local session, as in tests) a folder of
-    this machine is made and set.
+    Only a local session, as in tests, gets a folder of this machine where the setting
+    is absent, one for the session; on a cluster its absence is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="corposcope-shared-")
+    folder = checkpoint_dir(spark)
+    if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -45,15 +48,16 @@ def remainder(key: Column, divisor: int) -> Column:
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Rows of ``df`` through ``work``, one Arrow batch at a time, in place (no shuffle).
 
-    ``work`` returns the columns by name.  Spark bounds a batch by its bytes, so
-    long texts make short batches.
+    ``work`` returns the columns by name.  It gets about ``SLICE_BYTES`` at a time (one
+    row at least), so what it holds does not grow with the rows of a batch.
     """
     names = [f.name for f in _struct(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = work(batch)
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                columns = work(batch.slice(at, step))
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     return df.mapInArrow(run, schema)
