@@ -40,7 +40,7 @@ def items(spark, rows):
 def brute(rows, given):
     want = set()
     for i, t in given:
-        if i is not None and (words := decontam.words_of(t or "")):
+        if (words := decontam.words_of(t or "")):
             q, a = map(decontam.shingles, decontam.split_item(words))
             for d, x in rows:
                 w = decontam.words_of(x or "")
@@ -99,10 +99,51 @@ def test_block_max_search_is_exact(monkeypatch):
 def test_decontamination_on_odd_rows(spark, odd, none):
     assert decontam.matches(odd, decontam.indexes(items(spark, []))).collect() == []
     index = decontam.indexes(items(spark, [(1, None), (2, ""), (None, "a b c"), (3, "a b c"), (3, "a b c")]))
-    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontam.matches(odd, index).collect()) == [(0, 3), (5, 3), (5, 3)]
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in decontam.matches(odd, index).collect()) == [(0, 0), (0, 3), (5, 0), (5, 0), (5, 3), (5, 3)]
     assert decontam.matches(none, index).collect() == []
-    assert odd.where(~decontam.flagged(odd, index)).count() == odd.count() - 3
-    assert odd.where(~decontam.flagged(odd, [])).count() == odd.count()
+    assert decontam.without(odd, index).count() == odd.count() - 3 and decontam.without(odd, index).columns == odd.columns
+    assert decontam.without(odd, decontam.indexes(items(spark, []))).count() == odd.count()
+
+
+def test_items_of_few_words_and_many_shingles(spark, docs):
+    """Number grids: more shingles may be missing than there are distinct words."""
+    rng = random.Random(9)
+    given = [(i, " ".join(rng.choice([f"{a}{i}" for a in "abcdefghij"[: 2 + i % 9]]) for _ in range(rng.randint(60, 200)))) for i in range(40)]
+    rows = []
+    for i, t in given:
+        words = t.split(" ")
+        for n in range(1, 4):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), n):
+                changed[at] = "changed"
+            rows.append((10 * i + n, " ".join(changed)))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs(rows), decontam.indexes(items(spark, given))).collect()}
+    assert got == brute(rows, given) and len(got) > 40
+
+
+def test_least_score_is_a_lower_bound():
+    """Against every set of shingles that may be missing, on short items."""
+    from itertools import combinations
+
+    rng = random.Random(10)
+    for _ in range(200):
+        words = [rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(1, 16))]
+        weights = {t: rng.random() + 0.01 for t in words}
+        parts = tuple(map(decontam.shingles, decontam.split_item(words)))
+        bound = decontam.least_score(weights, parts)
+        assert 0 < bound <= sum(weights.values()) + 1e-9
+        terms = sorted(weights)
+        for n in range(len(terms) + 1):
+            for gone in combinations(terms, n):
+                if all(not p or sum(not set(s) & set(gone) for s in p) >= 0.8 * len(p) - 1e-9 for p in parts):
+                    assert sum(w for t, w in weights.items() if t not in gone) >= bound - 1e-9
+
+
+def test_text_ids_and_two_items_of_one_id(spark, docs):
+    given = spark.createDataFrame([("x-1", "one two three four five six seven"), ("x-1", "red green blue cyan pink gray black"), ("y", "nothing of this is found here")], "item_id STRING, text STRING")
+    rows = [(1, "say one two three four five six seven"), (2, "red green blue cyan pink gray black"), (3, "other words")]
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.matches(docs(rows), decontam.indexes(given)).collect())
+    assert got == [(1, "x-1"), (2, "x-1")]
 
 
 def test_separate_answers(spark, docs):
