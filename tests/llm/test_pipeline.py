@@ -38,6 +38,16 @@ def test_stages(spark):
     assert sizes[0] > sizes[1] and sizes[2] > sizes[3] > sizes[4] == sizes[5] > 0
 
 
+def test_rows_of_one_id_and_rows_without_one(spark):
+    """Whatever the order of the rows: a clean text of a doubled id stays, equal rows go once."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "en"), (2, b, "en"), (2, a, "de"), (2, b, "de"), (None, b, "fr"), (None, c, "es"), (None, c, "en"), (None, c, "fr")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, g, None, None) for i, t, g in order], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").repartition(3)
+        got = [(r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+        assert sorted(got, key=str) == sorted([(1, a, "en"), (2, b, "de"), (None, c, "en")], key=str)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (2, ""), (None, "a b"), (3, "x" * 9000)]])
 def test_odd_rows(spark, rows):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
