@@ -6,7 +6,7 @@ the columns of ``documents`` and every row that they do not reject.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corposcope.llm import bpe, decontam, linetemplates, nearcopies, simhash, toxicity
@@ -34,16 +34,22 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.  Texts
     are linked by their fingerprints (three words, 2 bits) and by a Jaccard similarity
-    of 0.8 or more of their five-word shingles.  Rows with one id are one document; rows without an id are never named by a group, and stay."""
-    kept = simhash.groups(docs, more=nearcopies.links(docs)).where("doc_id = component_id").select("doc_id").distinct()
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one_each.union(docs.where("doc_id is null"))
+    of 0.8 or more of their five-word shingles.  A row is named by its id and its text:
+    rows with one id and different texts are different documents, of which the smallest
+    hash counts as the smaller id; rows without an id come after all others.  Of rows
+    that are equal in both one stays, the first by its other columns."""
+    number = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    name = F.concat(F.coalesce(F.concat(F.lit("0"), number), F.lit("1")), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.col("text").isNull().cast("string"))
+    named = docs.withColumn("__row", name)
+    kept = simhash.groups(named, key="__row", more=nearcopies.links(docs)).where("__row = component_id").select("__row").distinct()
+    first = Window.partitionBy("__row").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    return named.join(kept, "__row", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = decontam.indexes(read(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.where(~decontam.flagged(docs, found))
+    return decontam.without(docs, found)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
