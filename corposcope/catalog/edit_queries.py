@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import handles
+from ..functions import handles, positions
 from ..operators import edit_requests, edits, symbols
 from ..sources import corpus
 from .base import BASE, CORPUS, RUN, SYMBOLS, query, with_ctes
@@ -201,6 +201,29 @@ def compile_text_edits(spark, sf):
     return plan.select("path", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(handles.content_hash("after"), F.lit("")).alias("after_hash"))
 
 
+@query("located_edits", with_ctes(CORPUS, "wide AS (SELECT doc_id, path, replace(content, 'e', '😀') AS content FROM corpus)",
+    "led AS (SELECT *, string_split(content, chr(10))[1] AS first FROM wide)",
+    "asked AS (SELECT *, 3 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS s FROM led WHERE length(first) >= 8)") + """
+SELECT path, CASE WHEN doc_id % 4 = 0 AND substr(first, 4, 1) = '😀' THEN 'INVALID_LSP_POSITION' WHEN doc_id % 7 = 1 THEN 'INVALID_LSP_EDIT' ELSE '' END AS error,
+  CASE WHEN (doc_id % 4 = 0 AND substr(first, 4, 1) = '😀') OR doc_id % 7 = 1 THEN ''
+    ELSE sha256(left(content, s) || '<>' || substr(content, 6, 1) || '|' || substr(content, 7)) END AS after_hash
+FROM asked""")
+def located_edits(spark, sf):
+    """Two edits by UTF-16 columns on lines with astral characters; some columns split one, some lines are none."""
+    files = corpus.documents(spark, sf).withColumn("content", F.replace("content", F.lit("e"), F.lit("😀")))
+    line = F.element_at(F.split("content", "\n", -1), 1)
+    before = lambda n: positions.units_before(line, F.lit(n), "utf-16")
+    start = before(3) + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)
+    last = F.when(F.col("doc_id") % 7 == 1, 10**6).otherwise(0)
+
+    def edit(a, row, b, text):
+        return F.struct(F.lit(0).alias("start_line"), a.alias("start_column"), row.alias("end_line"), b.alias("end_column"), F.lit(text).alias("text"))
+
+    asked = files.filter(F.length(line) >= 8).select("path", F.explode(F.array(edit(before(6), last, before(6), "|"), edit(start, F.lit(0), before(5), "<>"))).alias("e")).select("path", "e.*")
+    plan = edits.compile_located_edits(files, asked)
+    return plan.select("path", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(handles.content_hash("after"), F.lit("")).alias("after_hash"))
+
+
 @query("edit_transactions", with_ctes(CORPUS, """facts AS (SELECT doc_id, path, content, (strlen(content) - strlen(replace(content, 'la', ''))) // 2 AS n FROM corpus)""") + """
 SELECT doc_id::VARCHAR AS txn, path, CASE WHEN doc_id % 3 = 0 THEN 'EXACT_MATCH_COUNT' ELSE '' END AS error, CASE WHEN doc_id % 3 = 0 THEN '' ELSE sha256(content) END AS before_hash,
   '' AS after_hash FROM facts

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import handles, linediff, paths, syntax, text
+from ..functions import handles, linediff, paths, positions, syntax, text
 from ..functions.rows import attach, is_small, unnest
 from ..functions.sqltext import bind
 
@@ -208,17 +208,55 @@ def compile_text_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     whose size the file itself bounds once overlaps are refused.
     """
     grouped = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("e"))
-    df = grouped.join(files.select("path", "content"), "path")
+    return _compiled(grouped.join(files.select("path", "content"), "path").withColumn("_error", F.lit(None).cast("string")))
+
+
+def compile_located_edits(files: DataFrame, edits: DataFrame, encoding: str = "utf-16") -> DataFrame:
+    """Apply edits (path, start_line, start_column, end_line, end_column, text) per file, whose
+    columns count code units of ``encoding`` from 0.
+
+    The edits of a file meet its table of lines in one row.  A line outside the file is
+    INVALID_LSP_EDIT, a column inside a character or behind its line INVALID_LSP_POSITION;
+    the first edit by position with an error gives the error of the file.  A path
+    without a file is PATH_NOT_FOUND.
+    """
+    place = F.struct("start_line", "start_column", "end_line", "end_column", "text")
+    grouped = edits.groupBy("path").agg(F.array_sort(F.collect_list(place)).alias("_asked"))
+    df = grouped.join(files.select("path", "content"), "path", "left").withColumn("_lines", positions.line_table())
+
+    def located(line: Column, column: Column) -> Column:
+        at = F.when(line >= 0, F.get("_lines", line))
+        return F.struct((at.isNull() | (F.col("content") == "")).alias("outside"), (at["start"] + positions.characters_before(at["text"], column, encoding)).alias("at"))
+
+    def edit(e: Column) -> Column:
+        return text.pin(
+            F.struct(located(e["start_line"], e["start_column"]).alias("a"), located(e["end_line"], e["end_column"]).alias("b")),
+            lambda p: F.struct(
+                p["a"]["at"].alias("start"), p["b"]["at"].alias("end"), e["text"].alias("text"),
+                F.when(p["a"]["outside"] | p["b"]["outside"], "INVALID_LSP_EDIT").when(p["a"]["at"].isNull() | p["b"]["at"].isNull(), "INVALID_LSP_POSITION").alias("error"),
+            ),
+        )
+
+    df = df.withColumn("_placed", F.transform("_asked", edit))
+    first = F.get(F.filter(F.transform("_placed", lambda p: p["error"]), lambda x: x.isNotNull()), F.lit(0))
+    df = df.withColumn("_error", F.when(F.col("content").isNull(), "PATH_NOT_FOUND").otherwise(first))
+    # A stable order: of two edits at one place the one that was asked for first.
+    ordered = F.array_sort(F.transform("_placed", lambda p, i: F.struct(p["start"], p["end"], i.alias("i"), p["text"])))
+    return _compiled(df.withColumn("e", F.transform(ordered, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text")))))
+
+
+def _compiled(df: DataFrame) -> DataFrame:
+    """``e`` (start, end, text; sorted) applied to ``content`` unless there is an ``_error``."""
     clash = F.expr("exists(transform(e, (x, i) -> coalesce(x.end > get(e, i + 1).start, false)), y -> y)")
     applied = F.expr(
         "aggregate(e, named_struct('out', '', 'at', 0), (acc, x) -> named_struct("
         "'out', concat(acc.out, substr(content, acc.at + 1, x.start - acc.at), x.text), 'at', x.end), "
         "acc -> concat(acc.out, substr(content, acc.at + 1)))"
     )
-    return df.withColumn("_clash", clash).select(
-        "path", F.when(F.col("_clash"), "OVERLAPPING_LSP_EDITS").alias("error"),
-        F.size("e").alias("edits"), handles.content_hash("content").alias("expected_hash"),
-        F.col("content").alias("before"), F.when(~F.col("_clash"), applied).alias("after"),
+    df = df.withColumn("error", F.coalesce(F.col("_error"), F.when(clash, F.lit("OVERLAPPING_LSP_EDITS"))))
+    return df.select(
+        "path", "error", F.size("e").alias("edits"), handles.content_hash("content").alias("expected_hash"),
+        F.col("content").alias("before"), F.when(F.col("error").isNull(), applied).alias("after"),
     )
 
 
