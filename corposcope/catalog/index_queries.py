@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import handles, paths, terms, text
 from ..functions.rows import unnest
 from ..operators import index, symbols
+from ..session import written
 from ..sources import corpus, repository
 from .base import BASE, CORPUS, SYMBOLS, document_type_sql, handle_sql, language_sql, query, sql_list, terms_sql, with_ctes
 
@@ -180,6 +181,25 @@ def snapshot_id(spark, sf):
     return index.snapshot_id(corpus.documents(spark, sf), "abc123")
 
 
+# After the change: every tenth document longer, every tenth gone, every tenth new beside the old.
+CHANGED = """corpus AS (
+  SELECT path, content || CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE '' END AS content FROM given WHERE doc_id % 10 <> 1
+  UNION ALL SELECT 'new/' || path, content FROM given WHERE doc_id % 10 = 2)"""
+
+
+@query("snapshot_refreshed", _snapshot_sql("abc123").replace(CORPUS, CORPUS.replace("corpus AS", "given AS", 1) + ", " + CHANGED))
+def snapshot_refreshed(spark, sf):
+    """The id after a change, from the stored lanes and the changed rows."""
+    files = corpus.documents(spark, sf)
+    turn = F.col("doc_id") % 10
+    longer = files.filter(turn == 0).select("path", F.concat("content", F.lit("x")).alias("content"))
+    gone = files.filter(turn == 1).select("path", F.lit(None).cast("string").alias("content"))
+    fresh = files.filter(turn == 2).select(F.concat(F.lit("new/"), "path").alias("path"), "content")
+    lanes = written(index.snapshot_lanes(files), "lanes")
+    return index.snapshot_of(index.refreshed_lanes(lanes, files, longer.union(gone).union(fresh)), "abc123")
+
+
+
 @query("range_handles", with_ctes(*BASE) + f"SELECT path, {handle_sql('path', '1', 'lc', 'sha256(content)')} AS handle FROM parts")
 def range_handles(spark, sf):
     df = corpus.documents(spark, sf)

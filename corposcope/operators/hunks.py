@@ -34,9 +34,14 @@ def parse(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
     line seen in that file so far.  A range without count counts one line.
     """
     last_path = bind(f"regexp_extract_all(p, {lit(_NEW_PATH)}, 1)", "f", "get(f, size(f) - 1)")
+    # Up to each piece, which piece had a path last: one fold, collected as text.
+    last_given = (
+        "cast(split(rtrim(aggregate(c, named_struct('out', '', 'last', -1, 'i', 0), (acc, x) -> named_struct("
+        "'out', concat(acc.out, cast(if(x IS NULL, acc.last, acc.i) AS string), ' '), 'last', if(x IS NULL, acc.last, acc.i), "
+        "'i', acc.i + 1)).out), ' ') AS array<int>)"
+    )
     hunk = (
-        "named_struct('path', regexp_replace(coalesce(get(array_compact(slice(c, 1, i + 2)), "
-        f"size(array_compact(slice(c, 1, i + 2))) - 1), ''), {lit(chr(92) + 's+$')}, ''), "
+        f"named_struct('path', regexp_replace(coalesce(get(c, get(n, i + 1)), ''), {lit(chr(92) + 's+$')}, ''), "
         f"'old', regexp_extract(p, {lit(_RANGES)}, 1), 'new', regexp_extract(p, {lit(_RANGES)}, 2), "
         "'text', concat(head, p))"
     )
@@ -46,7 +51,10 @@ def parse(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
             "if(startswith(a[0], '@@ '), concat(array(''), a), a)", "q",
             bind(
                 f"transform(q, p -> {last_path})", "c",
-                bind("q[0]", "head", f"transform(slice(q, 2, size(q)), (p, i) -> {hunk})"),
+                bind(
+                    last_given, "n",
+                    bind("q[0]", "head", f"transform(slice(q, 2, size(q)), (p, i) -> {hunk})"),
+                ),
             ),
         ),
     )

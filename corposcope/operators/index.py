@@ -153,11 +153,31 @@ def snapshot_lanes(corpus: DataFrame) -> DataFrame:
 
 
 def snapshot_id(corpus: DataFrame, head: str = "", tag: str = SNAPSHOT_TAG) -> DataFrame:
-    lanes = snapshot_lanes(corpus)
+    return snapshot_of(snapshot_lanes(corpus), head, tag)
+
+
+def snapshot_of(lanes: DataFrame, head: str = "", tag: str = SNAPSHOT_TAG) -> DataFrame:
+    """(file_count, snapshot_id) from stored lanes: one row, no file is read."""
     token = handles.snapshot_token(tag, F.lit(head), F.col("file_count"), [F.col(f"lane{i}") for i in range(8)])
     return lanes.select("file_count", token.alias("snapshot_id"))
 
 
+def refreshed_lanes(lanes: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
+    """The lanes of what ``refresh`` makes of ``files``: those before, XOR the rows that go,
+    XOR the rows that come.
+
+    Of ``files`` (path, hash) the two narrow columns are read, no text; ``changed`` is as in
+    ``refresh``.  Of several rows for one path the corpus would have several too.
+    """
+    digest = F.col("hash") if "hash" in files.columns else handles.content_hash("content")
+    present = changed.filter(F.col("content").isNotNull())
+    touched = removed_paths(files.select("path"), changed).union(present.select("path")).distinct()
+    gone = files.select("path", digest.alias("hash")).join(touched, "path", "left_semi")
+    come = present.select("path", handles.content_hash("content").alias("hash"))
+    parts = lanes.withColumn("_sign", F.lit(1)).unionByName(snapshot_lanes(gone).withColumn("_sign", F.lit(-1))).unionByName(snapshot_lanes(come).withColumn("_sign", F.lit(1)))
+    return parts.agg(F.sum(F.col("_sign") * F.col("file_count")).alias("file_count"), *[F.bit_xor(f"lane{i}").alias(f"lane{i}") for i in range(8)])
+
+
 def refresh(files: DataFrame, changed: DataFrame) -> DataFrame:
     """Rows after a set of path events.
 
@@ -194,7 +214,8 @@ def removed_paths(files: DataFrame, changed: DataFrame) -> DataFrame:
 
 def build(corpus: DataFrame, target: str, *, extractor: str = "prose", max_bytes: int = MOST_BYTES) -> dict[str, str]:
     """Write ``files``, ``postings``, ``symbols`` and ``identifiers`` as parquet, and
-    ``refused``: the paths that were not admitted, each with the reason.
+    ``refused``: the paths that were not admitted, each with the reason, and ``snapshot``:
+    the lanes of the snapshot's id.
 
     Rows are range-partitioned on (key, path), so a key that fills a third of the
     table is spread over many files, each row group covers a narrow key range,
@@ -203,12 +224,13 @@ def build(corpus: DataFrame, target: str, *, extractor: str = "prose", max_bytes
     # The range partitioner samples its child, so the rows are dealt before anything is computed on them.
     admitted = admit(corpus, max_bytes).repartitionByRange("path").sortWithinPartitions("path")
     files = with_terms(with_symbols(describe(admitted), extractor)).drop("lines")
-    out = {name: f"{target}/{name}" for name in ("files", "postings", "symbols", "identifiers", "refused")}
+    out = {name: f"{target}/{name}" for name in ("files", "postings", "symbols", "identifiers", "refused", "snapshot")}
     files.write.mode("overwrite").parquet(out["files"])
     refused(corpus, max_bytes).write.mode("overwrite").parquet(out["refused"])
     # Later tables read the stored rows: the text is parsed once.
     spark = corpus.sparkSession
     stored = spark.read.parquet(out["files"])
+    snapshot_lanes(stored).write.mode("overwrite").parquet(out["snapshot"])
     tables = {
         "postings": (unnest(stored, "indexed_terms", "term", "path"), ["term", "path"]),
         "symbols": (symbol_rows(stored), ["name", "path"]),

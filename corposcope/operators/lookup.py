@@ -33,6 +33,8 @@ class Stored:
     postings: DataFrame
     symbols: DataFrame
     identifiers: DataFrame
+    # The lanes of the snapshot's id; None where only the other tables are at hand.
+    snapshot: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, tables: dict[str, str]) -> Stored:
@@ -41,7 +43,7 @@ class Stored:
         more than ten."""
         key = "spark.sql.parquet.pushdown.inFilterThreshold"
         spark.conf.set(key, str(max(MOST_PATHS, int(spark.conf.get(key)))))
-        return cls(*(spark.read.parquet(tables[name]) for name in ("files", "postings", "symbols", "identifiers")))
+        return cls(*(spark.read.parquet(tables[name]) for name in ("files", "postings", "symbols", "identifiers", "snapshot") if name in tables))
 
     def at(self, *wanted: str) -> DataFrame:
         """Files of the paths of a point read."""
@@ -49,8 +51,9 @@ class Stored:
 
     def holding(self, hits: DataFrame) -> DataFrame:
         """Files of the paths in ``hits``."""
-        found = {r["path"] for r in hits.select("path").limit(MOST_PATHS + 1).collect()}
-        if len(found) <= MOST_PATHS and not self._more(hits, found):
+        rows = hits.select("path").limit(MOST_PATHS + 1).collect()
+        found = {r["path"] for r in rows}
+        if len(rows) <= MOST_PATHS or (len(found) <= MOST_PATHS and not self._more(hits, found)):
             return at_paths(self.files, sorted(found))
         return self.files.join(hits.select("path"), "path", "left_semi")
 

@@ -210,6 +210,8 @@ class Workspace:
         return self._references(target, context=0, max_results=max_results)[0]
 
     def snapshot_id(self, head: str = "") -> str:
+        if self.stored and self.stored.snapshot is not None:
+            return index.snapshot_of(self.stored.snapshot, head).first()["snapshot_id"]
         return index.snapshot_id(self.files, head).first()["snapshot_id"]
 
     def require_snapshot(self, expected: str, head: str = "") -> None:

@@ -100,3 +100,17 @@ def test_symbol_read(both):
     full = read(value="src/m003.py::helper_3", include_imports=True, surrounding_lines=1).results["r"].first()
     assert [(i.line, i.text) for i in full.imports] == [(1, "import os"), (2, "from a import b")] and full.start_line == 4
     assert read(value="src/m003.py::gone").errors["r"].code == "SYMBOL_NOT_FOUND" and read(value="gone.py::helper_3").errors["r"].code == "SYMBOL_NOT_FOUND"
+
+
+def test_lanes_follow_a_refresh(spark):
+    files = spark.createDataFrame([("a/x", "1"), ("a/y", "2"), ("b", "3"), ("c", "4")], "path STRING, content STRING")
+    changed = spark.createDataFrame([("a", None), ("b", "33"), ("c", "4"), ("d/e", "5"), ("gone", None)], "path STRING, content STRING")
+    after = index.refresh(files, changed).select("path", "content")
+    got = index.refreshed_lanes(index.snapshot_lanes(files), files, changed)
+    assert rows(got) == rows(index.snapshot_lanes(after)) and after.count() == 3
+
+
+def test_stored_snapshot(both):
+    scanned, stored, _ = both
+    assert stored.snapshot_id("h") == scanned.snapshot_id("h")
+    assert "files" not in stored.stored.snapshot.inputFiles()[0].rsplit("/", 2)[-2]
