@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..errors import EngineError
 from ..functions import handles, paths, terms, text
+from ..functions.ambiguity import is_ambiguous
 from ..functions.multipattern import line_hits
 from ..functions.rows import unnest, winners
 from .windows import merge_lines
@@ -51,10 +52,8 @@ def check_regex(pattern: str) -> str:
         (r"\(\?>|[*+?]\+|\{\d+(?:,\d*)?\}\+", "atomic group or possessive quantifier"),
         (r"\\[GZQE]", "anchor or quote unknown to the dialect"),
     ):
-        if re.search(construct, re.sub(r"\\\\", "", pattern)):
+        if re.search(construct, re.sub(r"\\[xpP]\{[^}]*\}", "x", re.sub(r"\\\\", "", pattern))):
             raise EngineError("INVALID_REGEX", f"{what} is not supported", query_length=len(pattern))
-    if re.search(r"\((?:[^()\\]|\\.)*(?:[*+]|\{\d+,\})\)(?:[*+]|\{\d+,\})", pattern):
-        raise EngineError("INVALID_REGEX", "an unbounded repeat of an unbounded repeat is not supported", query_length=len(pattern))
     unknown = set(re.findall(r"\[:\^?(\w+):\]", pattern)) - POSIX.keys()
     if unknown:
         raise EngineError("INVALID_REGEX", f"unknown class {sorted(unknown)[0]}", query_length=len(pattern))
@@ -62,6 +61,12 @@ def check_regex(pattern: str) -> str:
         re.compile(re.sub(r"\\[pP](\{\w+\}|\w)|\\z|\\x\{[0-9A-Fa-f]+\}|\[:\^?\w+:\]", "x", _unnamed(pattern)))
     except re.error as error:
         raise EngineError("INVALID_REGEX", str(error), query_length=len(pattern)) from error
+    try:
+        ambiguous = is_ambiguous(_unnamed(pattern), ignore_case=True)
+    except (re.error, OverflowError, RecursionError) as error:
+        raise EngineError("INVALID_REGEX", str(error), query_length=len(pattern)) from error
+    if ambiguous:
+        raise EngineError("INVALID_REGEX", "a repeat can read one text in two ways", query_length=len(pattern))
     return pattern
 
 

@@ -51,6 +51,25 @@ def test_unsupported_regex_is_refused(pattern):
     assert error.value.code == "INVALID_REGEX"
 
 
+AMBIGUOUS = [r"([a-z]+\s?)*$", "(a|a)*b", r"(\w+\d?)+x", "(a*)*", "(a|ab|b)*", "(x{1,3})*y", "(.*a)*", r"(\p{L}+\s*)+", "((a|b)+c?)*"]
+CLEAR = [
+    "(ab+)+", "a+b+", ".*foo.*bar", r"(\w+\s)+x", r"\bfoo(bar|baz)*\b", r"(\p{L}+\s)+", "(a|b)*", "(ab|a)*c", r"^\s*(def|class)\s+\w+", "([0-9]+,)*[0-9]+",
+    r"[[:alpha:]]+\d", r"\x{41}+", "a{500}b{1,300}", r"\w+\s?\z", "(?P<n>a+)b",
+]
+
+
+@pytest.mark.parametrize("pattern", AMBIGUOUS)
+def test_two_ways_round_a_loop_are_refused(pattern):
+    with pytest.raises(EngineError) as error:
+        search.check_regex(pattern)
+    assert error.value.code == "INVALID_REGEX"
+
+
+@pytest.mark.parametrize("pattern", CLEAR)
+def test_one_way_round_a_loop_is_accepted(pattern):
+    assert search.check_regex(pattern) == pattern
+
+
 def test_one_scope_lifts_the_per_file_cap(corpus):
     df = corpus({"a/x.txt": "needle\n\n\n" * 12, "b.txt": "needle\n"})
     assert search.search_text(df, "needle", context=0, max_results=50).count() == 9
