@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import handles, text
 from ..operators import reads
 from ..sources import corpus
-from .base import BASE, CORPUS, base64url_sql, document_type_sql, handle_sql, language_sql, preview_sql, query, with_ctes
+from .base import BASE, CORPUS, REGISTRY, base64url_sql, document_type_sql, handle_sql, language_sql, preview_sql, query, with_ctes
 
 
 def boundary_sql(h: str, i: str) -> str:
@@ -61,6 +61,12 @@ def read_range(spark, sf):
     return _shown(reads.read_range(corpus.documents(spark, sf), 2, 6))
 
 
+@query("read_compact", with_ctes(CORPUS) + f"""SELECT path, sha256(corpus.content) AS hash, CASE WHEN contains(corpus.content, chr(10)) THEN 'lf' ELSE 'none' END AS line_ending, r.content
+FROM corpus JOIN ({REGISTRY["read_range"].sql}) r USING (path)""")
+def read_compact(spark, sf):
+    return reads.compact(reads.read_range(corpus.documents(spark, sf), 2, 6))
+
+
 @query("read_clamped", read_sql(preview_sql(), "least(90, greatest(len(ls), 1))", "greatest(len(ls), 1)", 700, '{"kind":"lines","start_line":90,"end_line":2147483647}'))
 def read_clamped(spark, sf):
     return _shown(reads.read_range(corpus.documents(spark, sf), 90, max_chars=700))

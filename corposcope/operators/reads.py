@@ -23,6 +23,21 @@ MAX_SURROUNDING = 200
 IMPORT_PREFIXES = ["use ", "pub use ", "extern crate ", "import ", "from ", "package "]
 
 
+# What a compact read keeps.
+COMPACT_FIELDS = [
+    "kind", "path", "hash", "content", "line_ending", "run_id", "status", "exit_code", "output", "output_truncated",
+    "language", "document_type", "line_count", "size", "modified_ns", "imports",
+]
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """The columns of a read that a compact reply keeps, and its error if it can have one.
+
+    Offsets, handles and continuations are then never computed.
+    """
+    return rows.select(*[c for c in rows.columns if c in COMPACT_FIELDS or c == "error"])
+
+
 def budget(max_chars: int | None) -> int:
     return min(DEFAULT_BUDGET if max_chars is None else max_chars, MAX_BUDGET)
 

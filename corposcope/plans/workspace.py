@@ -146,6 +146,10 @@ class Workspace:
         return index.repo_map(self.files, scope=requests.request_paths(request), max_results=self._limit(request))
 
     def _read(self, request: dict) -> DataFrame:
+        rows = self._read_whole(request)
+        return reads.compact(rows) if request.get("response_detail") == "compact" else rows
+
+    def _read_whole(self, request: dict) -> DataFrame:
         target, value = request["target"], request["value"]
         limit = request.get("max_chars")
         one = self.spark.createDataFrame([(value,)], "value STRING")

@@ -114,3 +114,13 @@ def test_stored_snapshot(both):
     scanned, stored, _ = both
     assert stored.snapshot_id("h") == scanned.snapshot_id("h")
     assert "files" not in stored.stored.snapshot.inputFiles()[0].rsplit("/", 2)[-2]
+
+
+def test_compact_reads(both):
+    reply = both[1].retrieve([
+        {"operation": "read", "target": "path", "value": "src/shared.py", "response_detail": "compact"}, {"operation": "read", "target": "symbol", "value": "shared_call", "response_detail": "compact", "include_imports": True},
+        {"operation": "read", "target": "metadata", "value": "src/shared.py", "response_detail": "compact"}])
+    assert {k: v.columns for k, v in reply.results.items()} == {
+        "op_1": ["path", "hash", "line_ending", "content", "error"], "op_2": ["path", "hash", "line_ending", "content", "kind", "imports"],
+        "op_3": ["path", "hash", "size", "language", "document_type", "line_count"]}
+    assert reply.results["op_1"].first().content == FILES["src/shared.py"]
