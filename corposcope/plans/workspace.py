@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions import handles, paths, text
 from ..functions.rows import MOST_PATHS
-from ..operators import changelog, edit_requests, edits, index, reads, references, search, symbols
+from ..operators import changelog, edit_requests, edits, hunks, index, reads, references, search, symbols
 from ..operators.lookup import Stored
 from ..sources.corpus import admit, describe
-from . import requests
+from . import diff_pages, requests
 
 # Instruction files shown with a summary, and their inline limit.
 INSTRUCTION_FILES = ["AGENTS.md", "CLAUDE.md"]
@@ -203,6 +203,35 @@ class Workspace:
         plan = edit_requests.plan_requests(table, files, workspace=self.name, snapshot=current, extractor="code" if self.parsed else "prose")
         return edits.shape_diff(edits.with_diff(plan.drop("txn")), detail, cap)
 
+    def diff_page(
+        self, parsed: DataFrame, snapshot_id: str, *, paths_: list[str] | None = None, symbol: str | None = None, start_line: int | None = None,
+        end_line: int | None = None, hunk_ids: list[str] | None = None, max_chars: int = reads.DEFAULT_BUDGET, continuation: str | None = None,
+    ) -> tuple[DataFrame, str | None]:
+        """A page of the hunks in ``parsed`` (``hunks.parse``) that a request selects, and the next token.
+
+        A symbol needs exactly one path and one declaration there; its hunks are those that
+        meet its lines.  A range of lines needs both ends.  All rules given hold at once.
+        A continuation brings the rules it was made with; others beside it are an error.
+        """
+        given = {"paths": paths_ or [], "symbol": symbol, "start_line": start_line, "end_line": end_line, "hunk_ids": hunk_ids or []}
+        asked = any(v not in (None, []) for v in given.values())
+        scope = given
+        if continuation is not None:
+            scope = handles.decode_token(diff_pages.PREFIX, continuation, "INVALID_CONTINUATION").get("scope") or given
+        kept = parsed
+        if scope["paths"]:
+            kept = kept.filter(paths.in_scope("path", scope["paths"]))
+        if scope["symbol"] is not None:
+            if len(scope["paths"]) != 1:
+                raise EngineError("INVALID_REQUEST", "the hunks of a symbol need exactly one path")
+            found = self._resolve(scope["symbol"], scope["paths"][0])
+            kept = kept.filter(hunks.overlaps(found.start_line, found.end_line))
+        if scope["start_line"] is not None and scope["end_line"] is not None:
+            kept = kept.filter(hunks.overlaps(scope["start_line"], scope["end_line"]))
+        if scope["hunk_ids"]:
+            kept = kept.filter(F.col("id").isin(scope["hunk_ids"]))
+        return diff_pages.page(kept, snapshot_id, max_chars=max_chars, scope=given if asked or continuation is None else None, continuation=continuation)
+
     def references_at(self, path: str, line: int, max_results: int = 20) -> DataFrame:
         """References of the symbol at a position; same result as by name."""
         row = symbols.resolve_positions(self._at(path), F.lit(line)).first()

@@ -136,3 +136,35 @@ def test_workspace_plans_an_edit(spark, corpus):
         with pytest.raises(EngineError):
             ws.plan_edit(bad)
     assert handles.decode_token("range:", found.handle, "X")["p"] == "a.py"
+
+
+def test_diff_requests(spark, corpus):
+    """Hunks by path, by the lines of one declaration, by range, by id; tokens keep their rules."""
+    from corposcope.operators import hunks
+
+    ws = Workspace(spark, corpus({"a.py": A, "b.py": "def f():\n    pass\n\n\ndef f():\n    pass\n"}), extractor="code")
+    text = "".join(
+        f"diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n" + "".join(f"@@ -{n},1 +{n},1 @@\n-x\n+y{n}\n" for n in (1, 2, 5, 6)) for p in ("a.py", "b.py"))
+    parsed = hunks.parse(spark.createDataFrame([("d", text)], "key STRING, diff STRING"), ["key"])
+
+    def lines(**rules):
+        return [(r.path, r.new_start) for r in ws.diff_page(parsed, "s", **rules)[0].collect()]
+
+    assert len(lines()) == 8 and lines(paths_=["a.py"], symbol="g") == [("a.py", 5), ("a.py", 6)]
+    assert lines(start_line=2, end_line=4) == [("a.py", 2), ("b.py", 2)] and len(lines(start_line=2)) == 8
+    one = [r.id for r in parsed.collect() if r.path == "b.py" and r.new_start == 6]
+    assert lines(hunk_ids=one) == [("b.py", 6)] and lines(hunk_ids=one, start_line=1, end_line=2) == []
+    for rules, code in (({"symbol": "g"}, "INVALID_REQUEST"), ({"symbol": "g", "paths_": ["a.py", "b.py"]}, "INVALID_REQUEST"), ({"symbol": "h", "paths_": ["a.py"]}, "SYMBOL_NOT_FOUND"), ({"symbol": "f", "paths_": ["b.py"]}, "AMBIGUOUS_SYMBOL")):
+        with pytest.raises(EngineError) as error:
+            lines(**rules)
+        assert error.value.code == code
+    shown, token = ws.diff_page(parsed, "s", paths_=["a.py"], max_chars=90)
+    seen = [(r.path, r.new_start) for r in shown.collect()]
+    while token:
+        shown, token = ws.diff_page(parsed, "s", max_chars=90, continuation=token)
+        seen += [(r.path, r.new_start) for r in shown.collect()]
+    assert seen == [("a.py", n) for n in (1, 2, 5, 6)]
+    _, token = ws.diff_page(parsed, "s", paths_=["a.py"], max_chars=90)
+    with pytest.raises(EngineError) as error:
+        ws.diff_page(parsed, "s", paths_=["b.py"], max_chars=90, continuation=token)
+    assert error.value.code == "CONTINUATION_SCOPE_MISMATCH"
