@@ -70,6 +70,16 @@ def run_attribution(spark, sf):
     return changelog.attribute_runs(log, runs)
 
 
+@query("run_attribution_frozen", with_ctes(LOG, """runs AS (SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H') AS run_id, min(generation) - 1 AS a,
+  coalesce(min(generation) FILTER (source = 'error'), max(generation)) AS b, arg_min("timestamp", generation) FILTER (source = 'error') AS ended_at FROM log GROUP BY 1)""") + """
+SELECT run_id, path, count(*) AS changes FROM runs JOIN log ON generation > a AND generation <= b AND (ended_at IS NULL OR "timestamp" <= ended_at) GROUP BY run_id, path""")
+def run_attribution_frozen(spark, sf):
+    """Hours as runs, each frozen at its first error."""
+    log = corpus.events_log(spark, sf)
+    polls = log.select(F.date_format(F.date_trunc("hour", "timestamp"), "yyyy-MM-dd HH").alias("run_id"), "generation", "timestamp", F.col("source").alias("state"))
+    return changelog.attribute_runs(log, changelog.frozen_runs(polls, ["error"]))
+
+
 @query("run_retention", with_ctes(LOG, """runs AS (SELECT user_id AS run_id, CASE WHEN arg_max(source, generation) = 'signup' THEN NULL ELSE max(generation) END AS ended_at FROM log GROUP BY 1)""",
     "finished AS (SELECT *, row_number() OVER (ORDER BY ended_at DESC, run_id DESC) AS rank FROM runs WHERE ended_at IS NOT NULL)") + """
 SELECT run_id, TRUE AS active FROM runs WHERE ended_at IS NULL

@@ -170,6 +170,19 @@ def attribute_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     return found.groupBy("run_id", "path").agg(F.sum("changes").alias("changes"))
 
 
+def frozen_runs(polls: DataFrame, terminal: list[str]) -> DataFrame:
+    """(run_id, start_generation, end_generation, ended_at) of each run as its first
+    terminal poll left it; later polls change nothing.
+
+    ``polls`` (run_id, generation, timestamp, state) come in any order and any number per
+    run; they are reduced before the shuffle.  A run without a terminal poll is open: it
+    ends at its last poll's generation and has no end time.
+    """
+    ended = F.when(F.col("state").isin(terminal), F.struct("generation", "timestamp"))
+    runs = polls.groupBy("run_id").agg((F.min("generation") - 1).alias("start_generation"), F.min(ended).alias("_stop"), F.max("generation").alias("_last"))
+    return runs.select("run_id", "start_generation", F.coalesce("_stop.generation", "_last").alias("end_generation"), F.col("_stop.timestamp").alias("ended_at"))
+
+
 def lower_median(rows: DataFrame, key: str, value: str, order: list[Column], samples: int = SAMPLES) -> DataFrame:
     """Lower median over the newest samples of each key."""
     kept = retain_per_key(rows, key, order, samples)
