@@ -102,11 +102,13 @@ def operation_id(request: object, number: int) -> str:
 def check_operation(request: dict) -> dict:
     if not isinstance(request, dict):
         raise EngineError(_OPERATION.invalid, "an operation is an object", field="operation")
-    _types(request, _OPERATION)
     # A field without a value counts as not given.
     request = {k: v for k, v in request.items() if v is not None}
     kind = request.get("operation")
+    if not isinstance(kind, str | None):
+        raise EngineError(_OPERATION.invalid, "operation must be a string", field="operation")
     _check(request, kind, OPERATIONS, _OPERATION)
+    _types(request, _OPERATION)
     for field in OPERATIONS[kind][0][1:]:
         _text(request, field, _OPERATION)
     paths = request.get("paths", [])
@@ -122,11 +124,11 @@ def check_operation(request: dict) -> dict:
 def check_change(request: dict) -> dict:
     if not isinstance(request, dict):
         raise EngineError(_CHANGE.invalid, "a change is an object", field="kind")
-    _types(request, _CHANGE)
     kind = request.get("kind")
     if not isinstance(kind, str) or not kind.strip():
         raise EngineError(_CHANGE.missing, "a change needs a kind", field="kind")
     _check(request, kind, CHANGES, _CHANGE)
+    _types(request, _CHANGE)
     _text(request, "path", _CHANGE)
     if kind == "replace_range":
         _text(request, "handle", _CHANGE)
