@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, texts_of
+from .common import by_batch, texts_of, written
 
 FIELDS = 4
 GENERAL = 6
@@ -151,7 +151,8 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", cou
     with ``passages``.
     All other columns stay as they are.
     """
-    found = occurrences(docs, key, text, passages)
+    # Read twice: the templates are made once.
+    found = written(occurrences(docs, key, text, passages), "templates")
     later = found.join(recurring(found), ["hi", "lo"]).where(F.col("key") > F.col("first_key"))
     if passages:
         drops = _whole_runs(later.groupBy("key").agg(F.collect_list(F.struct("at", "sure")).alias("marks")))
