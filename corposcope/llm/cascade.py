@@ -120,11 +120,12 @@ class Estimate:
 
 
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and rejections of each rule alone, on about ``rows`` rows drawn by hash."""
+    """Cost and rejections of each rule alone, on about ``rows`` rows drawn at random (a
+    fixed seed), so that copies of one text are in the sample in their share."""
     total = docs.count()
     share = min(1.0, rows / total) if total else 1.0
-    # Repeated texts are drawn together; that shifts an estimate, not a verdict.
-    drawn = docs.where(F.pmod(F.xxhash64(F.coalesce(docs[text], F.lit("")), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000 + 1))
+    # Another draw would shift an estimate, not a verdict.
+    drawn = docs.select(docs[text]).sample(share, 7) if share < 1 else docs
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = texts_of(batch, "text")
@@ -136,7 +137,7 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
         names = [r.name for r in rules]
         return {"rule": pa.array(names), "spent": pa.array(spent, pa.int64()), "rejected": pa.array(rejected, pa.int64()), "n": pa.array([len(texts)] * len(names), pa.int64())}
 
-    found = by_batch(drawn.select(docs[text].alias("text")), work, "rule string, spent bigint, rejected bigint, n bigint")
+    found = by_batch(drawn.select(F.col(text).alias("text")), work, "rule string, spent bigint, rejected bigint, n bigint")
     sums = found.groupBy("rule").agg(F.sum("spent").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
     by = {row["rule"]: Estimate(row["rule"], row["s"] / 1e9, row["r"], row["n"]) for row in sums}
     return [by.get(r.name, Estimate(r.name, 0.0, 0, 0)) for r in rules]

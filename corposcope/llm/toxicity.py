@@ -65,11 +65,13 @@ class Model:
 
 
 def _drawn(rows: DataFrame, key: str, most: int, total: int) -> DataFrame:
-    """All rows, or those of about ``most`` by hash of the key (each in place, no shuffle)."""
+    """All rows, or those of about ``most`` by hash of the key (of the whole row where it has
+    none), each in place, without a shuffle."""
     if total <= most:
         return rows
     share = int(most / total * (1 << 40)) + 1
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 40)) < share)
+    drawn = F.when(F.col(key).isNull(), F.xxhash64(*rows.columns, F.lit(11))).otherwise(F.xxhash64(F.col(key), F.lit(11)))
+    return rows.where(F.pmod(drawn, F.lit(1 << 40)) < share)
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[DataFrame, float]:
