@@ -6,9 +6,9 @@
 * *Large buckets.*  Members of buckets above ``BUCKET`` are first compared with the
   ``NEXT`` that follow in an order of the bucket's own, which joins a large group of
   copies.  Where members of several components are left in a bucket, they are dealt
-  anew by ``MORE_BANDS`` keys of ``MORE_ROWS`` further MinHash values (the same chance at 0.8;
-  two texts that share half their shingles share such a key with a chance of one in nine,
-  two that share a quarter with one in eight thousand), and every two members of such a smaller
+  anew by ``MORE_BANDS`` keys of ``MORE_ROWS`` further MinHash values (a pair at exactly 0.8
+  shares none with a chance of 4 in 100,000; two texts that share half their shingles
+  share one with a chance of 0.08, two that share a quarter with 0.0001), and every two members of such a smaller
   bucket that are in different components are compared.  So a bucket of texts that have
   one passage in common falls apart, and no link between components is missed.
 
@@ -34,7 +34,7 @@ WORDS = 5
 # The least similarity, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 25, 4
-MORE_BANDS, MORE_ROWS = 120, 10
+MORE_BANDS, MORE_ROWS = 90, 10
 BUCKET, NEXT = 32, 8
 # Shingles multiplied at a time: 800 bytes each.
 CHUNK = 1 << 13
@@ -85,19 +85,21 @@ def _keys(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(id, key), once for each distinct text that has words; with ``wanted`` (id) those
     texts only, and by the further keys.  One text's words are held at a time."""
     chosen = _Wanted(wanted) if wanted is not None else None
-    bands = MORE_BANDS if chosen else BANDS
 
     def work(batch: pa.RecordBatch) -> dict:
-        ids: dict[bytes, np.ndarray] = {}
+        keys: dict[bytes, np.ndarray] = {}
         for t in batch.column("text"):
             tokens = words_of(t.as_py() or "")
-            if tokens and (i := identity(tokens)) not in ids and (chosen is None or i in chosen):
-                ids[i] = band_keys(shingles(tokens), more=chosen is not None)
-        flat = np.concatenate([*ids.values(), np.zeros(0, np.int64)])
-        return {"id": pa.array(np.repeat(np.array(list(ids), object), bands), pa.binary()), "key": pa.array(flat, pa.int64())}
-
-    found = by_batch(texts, work, "id binary, key bigint").distinct()
-    return found if wanted is None else found.join(wanted, "id", "left_semi")
+            if tokens and (i := identity(tokens)) not in keys and (chosen is None or i in chosen):
+                keys[i] = band_keys(shingles(tokens), more=chosen is not None)
+        return {"id": pa.array(list(keys), pa.binary()), "keys": pa.array(list(keys.values()), pa.list_(pa.int64()))}
+
+    found = by_batch(texts, work, "id binary, keys array<bigint>")
+    if wanted is None:
+        return found.select("id", F.explode("keys").alias("key")).distinct()
+    # The keys of an id are those of its words, the same in every row.
+    once = found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("keys").alias("keys"))
+    return once.select("id", F.explode("keys").alias("key"))
 
 
 class _Wanted:
