@@ -278,7 +278,10 @@ def shape_diff(planned: DataFrame, detail: str, cap: int) -> DataFrame:
 
 
 def syntax_gate(plan: DataFrame) -> DataFrame:
-    """checked / skipped / SYNTAX_ERROR for each planned text; deletions have none."""
+    """checked / skipped / SYNTAX_ERROR for each planned text; deletions have none.
+
+    A text that its parser can neither accept nor refuse, for its depth, is skipped.
+    """
     rows = plan.filter(F.col("after").isNotNull())
     broken = syntax.parse_has_error(paths.language("path"), F.col("after"))
     return rows.withColumn("_broken", broken).select(

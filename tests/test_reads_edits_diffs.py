@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corposcope.functions import handles, linediff, text
+from corposcope.functions import handles, linediff, syntax, text
 from corposcope.operators import edits, hunks, reads, symbols
 
 
@@ -138,6 +138,20 @@ def test_syntax_gate_and_diff(corpus):
     assert (row.added, row.removed) == (1, 2) and row.diff.startswith("--- a/b.py\n+++ b/b.py\n@@ -1,2 +1 @@\n-x = 0\n-y\n+x = 1\n")
 
 
+@pytest.mark.parametrize("path,after,check", [
+    ("a.py", "Aterth " * 20_000, "SYNTAX_ERROR"), ("a.py", "x = " + "a." * 50_000 + "a\n", "checked"), ("a.py", "x = " + "not " * 50_000 + "a\n", "skipped"),
+    ("a.json", "[" * 100_000 + "]" * 100_000, "skipped"), ("a.py", "x = 1\r\n" + "No end of it " * 9_000, "SYNTAX_ERROR")])
+def test_syntax_gate_beyond_the_parser(corpus, path, after, check):
+    assert edits.syntax_gate(corpus({path: after}).withColumnRenamed("content", "after")).first().syntax_check == check
+
+
+def test_deep_and_missing_python_texts():
+    deep = "x = " + "+".join(["a"] * 2_000) + "\n"
+    assert len(syntax._marks("a", "python", deep)) == 2_000
+    assert syntax._marks("a", "python", "x = " + "not " * 50_000 + "a\n") == syntax._symbols("python", "Aterth " * 20_000) == []
+    assert syntax._has_error("python", None) is None
+
+
 def test_rename_preview_respects_boundaries(corpus):
     row = edits.rename_identifier(corpus({"a": "la lala la_x $la la."}), "la", "n$1").first()
     assert (row.after, row.edits) == ("n$1 lala la_x $la n$1.", 2)
