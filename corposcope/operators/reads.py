@@ -42,11 +42,11 @@ def budget(max_chars: int | None) -> int:
     return min(DEFAULT_BUDGET if max_chars is None else max_chars, MAX_BUDGET)
 
 
-def _page(df: DataFrame, body: Column, offset: Column, limit: int) -> DataFrame:
-    """Cut ``body`` to ``limit`` bytes from ``offset``, at character boundaries."""
+def _page(df: DataFrame, body: Column, offset: Column, limit: int | None) -> DataFrame:
+    """Cut ``body`` to ``limit`` bytes (None: all) from ``offset``, at character boundaries."""
     df = df.withColumn("_utf8", F.encode(body, "UTF-8")).withColumn("_total", F.octet_length("_utf8"))
     df = df.withColumn("offset", text.char_boundary(F.col("_utf8"), F.least(offset, F.col("_total"))))
-    end = text.char_boundary(F.col("_utf8"), F.least(F.col("offset") + limit, F.col("_total")))
+    end = F.col("_total") if limit is None else text.char_boundary(F.col("_utf8"), F.least(F.col("offset") + limit, F.col("_total")))
     df = df.withColumn("next_offset", end)
     return df.withColumn("text", text.byte_slice(F.col("_utf8"), F.col("offset"), F.col("next_offset")))
 
@@ -94,8 +94,12 @@ def read_paths(files: DataFrame, requested: DataFrame, **options) -> DataFrame:
     return ok.unionByName(bad, allowMissingColumns=True)
 
 
-def read_handles(files: DataFrame, tokens: DataFrame, *, workspace: str = "main", max_chars: int | None = None) -> DataFrame:
-    """Serve ``handle`` tokens; a changed file or another workspace is an error."""
+def read_handles(files: DataFrame, tokens: DataFrame, *, workspace: str = "main", max_chars: int | None = None, whole: bool = False) -> DataFrame:
+    """Serve ``handle`` tokens; a changed file or another workspace is an error.
+
+    A read above the budget carries its continuation; ``whole`` gives the text that a
+    reader has who follows the continuations to the end.
+    """
     asked = tokens.select("handle", handles.decode_range("handle").alias("r")).select(
         "handle", F.col("r.w").alias("workspace"), F.col("r.p").alias("path"), F.col("r.a").alias("a"),
         F.col("r.b").alias("b"), F.col("r.h").alias("expected"),
@@ -106,11 +110,11 @@ def read_handles(files: DataFrame, tokens: DataFrame, *, workspace: str = "main"
         .when(F.col("content").isNull(), "STALE_HANDLE")
         .when(handles.content_hash("content") != F.col("expected"), "STALE_HANDLE")
     )
-    return _serve(joined.withColumn("error", error), workspace, max_chars, key="handle")
+    return _serve(joined.withColumn("error", error), workspace, None if whole else budget(max_chars), key="handle")
 
 
 def read_continuations(files: DataFrame, tokens: DataFrame, *, workspace: str = "main", max_chars: int | None = None) -> DataFrame:
-    """Resume ``continuation`` tokens in their own scope."""
+    """Resume ``continuation`` tokens in their own scope; ``next`` resumes what is left."""
     asked = tokens.select("continuation", handles.decode_fetch("continuation").alias("r")).select(
         "continuation", F.col("r.workspace_id").alias("workspace"), F.col("r.path").alias("path"),
         F.when(F.col("r.scope.kind") == "lines", F.col("r.scope.start_line")).alias("a"),
@@ -123,23 +127,28 @@ def read_continuations(files: DataFrame, tokens: DataFrame, *, workspace: str =
         .when(F.col("content").isNull(), "STALE_CONTINUATION")
         .when(handles.content_hash("content") != F.col("expected"), "STALE_CONTINUATION")
     )
-    return _serve(joined.withColumn("error", error), workspace, max_chars, key="continuation")
+    return _serve(joined.withColumn("error", error), workspace, budget(max_chars), key="continuation")
 
 
-def _serve(df: DataFrame, workspace: str, max_chars: int | None, key: str) -> DataFrame:
+def _serve(df: DataFrame, workspace: str, limit: int | None, key: str) -> DataFrame:
+    """Rows of ``key`` with their text from its offset on, ``limit`` bytes at most if there is one."""
     offset = F.col("from_offset") if "from_offset" in df.columns else F.lit(0)
     df = text.with_lines(df).withColumn("line_count", text.line_count("content"))
     df = df.withColumn("start_line", F.least(F.greatest(F.coalesce("a", F.lit(1)), F.lit(1)), F.col("line_count")))
     df = df.withColumn("end_line", F.least(F.greatest(F.coalesce("b", F.col("line_count")), F.col("start_line")), F.col("line_count")))
     ranged = text.join_lines("lines", F.col("start_line").cast("int"), F.col("end_line").cast("int"))
     body = F.when(F.col("error").isNotNull(), F.lit("")).when(F.col("a").isNull(), F.col("content")).otherwise(ranged)
-    df = _page(df, body, offset.cast("int"), budget(max_chars))
+    df = _page(df, body, offset.cast("int"), limit)
     served = F.col("error").isNull()
+    scope = F.when(F.col("a").isNull(), handles.full_scope()).otherwise(handles.line_scope(F.col("a"), F.col("b")))
+    # The hash of a file that is served is the one that was expected.
+    token = handles.fetch_token(workspace, F.col("path"), F.col("next_offset"), F.col("expected"), scope)
     return df.select(
         key, "path", "error",
         F.when(served, F.col("start_line")).alias("start_line"), F.when(served, F.col("end_line")).alias("end_line"),
         F.when(served, F.col("text")).alias("content"), F.when(served, F.col("offset")).alias("offset"),
         F.when(served, F.col("next_offset")).alias("next_offset"), F.when(served, F.col("_total")).alias("total_chars"),
+        F.when(served & (F.col("next_offset") < F.col("_total")), token).alias("next" if key == "continuation" else "continuation"),
     )
 
 

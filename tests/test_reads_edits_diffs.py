@@ -43,6 +43,22 @@ def test_handles_of_changed_missing_and_foreign_files(corpus):
     assert handles.decode_token("range:", token, "INVALID_HANDLE")["a"] == 2 and "=" not in token
 
 
+def test_long_reads_by_handle_resume(corpus):
+    line = "é" + "ab" * 40_000
+    df = corpus({"a.txt": f"zero\n{line}\nend\n"})
+    token = df.select(handles.range_handle("main", F.col("path"), F.lit(2), F.lit(3), handles.content_hash("content")).alias("handle"))
+    page = reads.read_handles(df, token)
+    pages, row = [page.first().content], page.first()
+    resume = page.select("continuation")
+    while resume.first().continuation:
+        rest = reads.read_continuations(df, resume)
+        pages.append(rest.first().content)
+        resume = rest.select(F.col("next").alias("continuation"))
+    assert (row.next_offset, row.total_chars, len(pages)) == (30_000, 80_006, 3)
+    whole = reads.read_handles(df, token, whole=True).first()
+    assert "".join(pages) == whole.content == f"{line}\nend" and whole.continuation is None
+
+
 @pytest.mark.parametrize("value,label", [("", "none"), ("a", "none"), ("a\n", "lf"), ("a\r\n", "crlf"), ("a\r\nb\n", "mixed"), ("a\rb", "mixed")])
 def test_line_ending_labels(spark, value, label):
     assert one(spark, value, text.line_ending("v")) == label
