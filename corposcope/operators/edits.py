@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -307,26 +307,45 @@ def plan_transactions(changes: DataFrame, files: DataFrame) -> DataFrame:
     transaction is one group; it is one request, which its sender bounds.  The
     first error voids the transaction.
     """
-    touched = changes.select("path").union(changes.filter(F.col("to").isNotNull()).select(F.col("to").alias("path"))).distinct()
-    current = files.join(touched, "path", "left_semi").select("path", "content")
-    target = current.select(F.col("path").alias("to"), F.lit(True).alias("to_exists"))
-    rows = changes.join(current, "path", "left").join(target, "to", "left")
+    # A path and its text meet once; whether a target is taken is asked without any text,
+    # and only for changes that have one, as all nulls of a join key meet in one task.
+    touched = changes.select("txn", "path").distinct()
+    texts = touched.join(files.select("path", "content"), "path")
+    aimed = changes.filter(F.col("to").isNotNull())
+    taken = files.select(F.col("path").alias("to")).distinct().withColumn("to_exists", F.lit(True))
+    steps = aimed.join(taken, "to", "left").unionByName(changes.filter(F.col("to").isNull()), allowMissingColumns=True)
+    # The texts of a transaction come before its changes.
+    rows = texts.withColumn("_step", F.lit(0)).unionByName(steps.withColumn("_step", F.lit(1)), allowMissingColumns=True)
     # One hash partition holds whole transactions, sorted; a partition is streamed
     # batch by batch, and only the transaction being read is in memory.
-    ordered = rows.repartition("txn").sortWithinPartitions("txn", "seq")
-    return ordered.mapInPandas(_fold_partition, PLAN_SCHEMA)
+    ordered = rows.repartition("txn").sortWithinPartitions("txn", "_step", "seq")
+    return ordered.mapInArrow(_fold_partition, PLAN_SCHEMA)
 
 
-def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    records = (r for batch in batches for r in batch.to_dict("records"))
+# So many rows or characters are handed back at a time.
+MOST_ROWS, MOST_CHARACTERS = 1000, 8 << 20
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, so that a batch is never a second time in memory as Python objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = pa.schema([(name, pa.string()) for name in PLAN_SCHEMA.names])
     out: list[list] = []
-    for txn, rows in itertools.groupby(records, key=lambda r: r["txn"]):
-        out.extend(_fold_transaction(txn, rows))
-        if len(out) >= 1000:
-            yield pd.DataFrame(out, columns=PLAN_SCHEMA.names)
-            out = []
+    held = 0
+    for txn, rows in itertools.groupby(_records(batches), key=lambda r: r["txn"]):
+        for row in _fold_transaction(txn, rows):
+            out.append(row)
+            held += sum(len(x) for x in row if x is not None)
+            if len(out) >= MOST_ROWS or held >= MOST_CHARACTERS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], schema=types)
+                out, held = [], 0
     if out:
-        yield pd.DataFrame(out, columns=PLAN_SCHEMA.names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], schema=types)
 
 
 def with_line_ends(value: str, like: str) -> str:
@@ -354,11 +373,15 @@ def _replaced(before: str, old: str, new: str, expected: int) -> str | None:
 
 
 def _fold_transaction(txn: str, rows) -> list[list]:
+    """Plan rows of one transaction, whose texts (``_step`` 0) come before its changes."""
     plan: dict[str, list] = {}
+    stored: dict[str, str] = {}
     for row in rows:
         path, error = row["path"], None
-        stored = row["content"] if isinstance(row["content"], str) else None
-        before = plan[path][1] if path in plan else stored
+        if row["_step"] == 0:
+            stored[path] = row["content"]
+            continue
+        before = plan[path][1] if path in plan else stored.get(path)
         updates: dict[str, tuple] = {}
         if row["kind"] != "create" and before is None:
             error = "PATH_NOT_FOUND"

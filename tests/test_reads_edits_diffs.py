@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -154,6 +155,28 @@ def test_syntax_gate_and_diff(corpus):
     assert (row.added, row.removed) == (1, 2) and row.diff.startswith("--- a/b.py\n+++ b/b.py\n@@ -1,2 +1 @@\n-x = 0\n-y\n+x = 1\n")
 
 
+def test_changes_without_a_target_meet_in_no_join(spark, corpus):
+    changes = spark.createDataFrame(
+        [(f"t{i}", 1, "replace", f"p{i}", None, "x", "y", 1) for i in range(40)], "txn STRING, seq INT, kind STRING, path STRING, to STRING, old_text STRING, new_text STRING, expected INT")
+    plan = edits.plan_transactions(changes, corpus({f"p{i}": "x" for i in range(40)}))
+    joins = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "isnotnull(to#" in line]
+    assert joins and sorted(r.after for r in plan.collect()) == ["y"] * 40
+
+
+def test_fold_hands_texts_back_by_size():
+    def batches():
+        for i in range(20):
+            seen.append(i)
+            text = {"txn": str(i), "_step": 0, "path": "p", "content": "x" * 3_000_000}
+            yield pa.RecordBatch.from_pylist([text, {"txn": str(i), "_step": 1, "path": "p", "content": None, "kind": "delete"}], names)
+
+    names = pa.schema([("txn", pa.string()), ("_step", pa.int32()), ("path", pa.string()), ("content", pa.string()), ("kind", pa.string())])
+    seen, out = [], []
+    for batch in edits._fold_partition(batches()):
+        out.append((len(seen), batch.num_rows))
+    assert out[0][0] <= 5 and max(n for _, n in out) <= 3 and sum(n for _, n in out) == 20
+
+
 @pytest.mark.parametrize("path,after,check", [
     ("a.py", "Aterth " * 20_000, "SYNTAX_ERROR"), ("a.py", "x = " + "a." * 50_000 + "a\n", "checked"), ("a.py", "x = " + "not " * 50_000 + "a\n", "skipped"),
     ("a.json", "[" * 100_000 + "]" * 100_000, "skipped"), ("a.py", "x = 1\r\n" + "No end of it " * 9_000, "SYNTAX_ERROR")])
