@@ -16,41 +16,44 @@ from . import search_queries  # noqa: F401  its SQL is shared
 from .base import CORPUS, REGISTRY, query, with_ctes
 from .symbol_queries import _first_target
 
-_built: dict[tuple[str, str], dict[str, str]] = {}
+_built: dict[tuple[str, str], tuple[str, dict[str, str]]] = {}
 
 
-def _tables(spark: SparkSession, sf: str) -> dict[str, str]:
-    """The index of the documents, built once per session in the shared folder."""
+def _tables(spark: SparkSession, sf: str, *narrow: str) -> dict[str, str]:
+    """The index of the documents in the shared folder: once per session the stored files, and
+    each narrow table when a request first asks it."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _built:
         folder = f"{checkpoint_dir(spark).rstrip('/')}/corposcope-index-{uuid.uuid4().hex}"
-        _built[key] = index.build(corpus.documents(spark, sf).select("path", "content"), folder)
-    return _built[key]
+        _built[key] = folder, index.build(corpus.documents(spark, sf).select("path", "content"), folder, tables=())
+    folder, out = _built[key]
+    _built[key] = folder, index.extend(spark, out, folder, narrow)
+    return _built[key][1]
 
 
-def _answer(spark: SparkSession, sf: str, **request) -> DataFrame:
-    return Workspace.open(spark, _tables(spark, sf), max_results=200).retrieve([request], fail_fast=True).results["op_1"]
+def _answer(spark: SparkSession, sf: str, narrow: str, **request) -> DataFrame:
+    return Workspace.open(spark, _tables(spark, sf, narrow), max_results=200).retrieve([request], fail_fast=True).results["op_1"]
 
 
 @query("indexed_search", REGISTRY["search_literal_ci"].sql)
 def indexed_search(spark, sf):
-    return _answer(spark, sf, operation="search_text", pattern="le")
+    return _answer(spark, sf, "postings", operation="search_text", pattern="le")
 
 
 @query("indexed_search_scoped", REGISTRY["search_literal_scoped"].sql)
 def indexed_search_scoped(spark, sf):
-    return _answer(spark, sf, operation="search_text", pattern="que", paths=["./src"], context_lines=0, max_results=200)
+    return _answer(spark, sf, "postings", operation="search_text", pattern="que", paths=["./src"], context_lines=0, max_results=200)
 
 
 @query("indexed_symbols", REGISTRY["find_symbol_ranked"].sql)
 def indexed_symbols(spark, sf):
-    return _answer(spark, sf, operation="find_symbol", symbol="ER", max_results=60)
+    return _answer(spark, sf, "symbols", operation="find_symbol", symbol="ER", max_results=60)
 
 
 @query("indexed_references", REGISTRY["references_lexical"].sql)
 def indexed_references(spark, sf):
-    stored = Stored.open(spark, _tables(spark, sf))
-    target = _first_target(stored.declaring("Le"), "Le")
+    stored = Stored.open(spark, _tables(spark, sf, "symbols", "identifiers"))
+    target = _first_target(stored.first_declaring("Le"), "Le")
     found = references.find_references(stored.with_token("Le"), target, context=1, max_results=50, push=True)
     return found.withColumn("enclosing_symbol", F.coalesce("enclosing_symbol", F.lit("")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,32 +214,39 @@ def removed_paths(files: DataFrame, changed: DataFrame) -> DataFrame:
     )
 
 
-def build(corpus: DataFrame, target: str, *, extractor: str = "prose", max_bytes: int = MOST_BYTES) -> dict[str, str]:
-    """Write ``files``, ``postings``, ``symbols`` and ``identifiers`` as parquet, and
-    ``refused``: the paths that were not admitted, each with the reason, and ``snapshot``:
-    the lanes of the snapshot's id.
+# The narrow tables and the keys they are sorted by.
+NARROW = {"postings": ["term", "path"], "symbols": ["name", "path"], "identifiers": ["token", "path"]}
+
+
+def build(
+    corpus: DataFrame, target: str, *, extractor: str = "prose", max_bytes: int = MOST_BYTES, tables: Iterable[str] = NARROW
+) -> dict[str, str]:
+    """Write ``files`` and the narrow ``tables`` as parquet, and ``refused``: the paths that
+    were not admitted, each with the reason, and ``snapshot``: the lanes of the snapshot's id.
 
-    Rows are range-partitioned on (key, path), so a key that fills a third of the
-    table is spread over many files, each row group covers a narrow key range,
-    and a lookup by path, term, name or token reads few of them.
+    ``files`` is range-partitioned on the path.  A narrow table has one sorted part for each
+    part of ``files``, so its rows are computed once and never exchanged; a hot key fills
+    as many files as hold it, and a lookup reads the pages of its key in each part.
     """
     # The range partitioner samples its child, so the rows are dealt before anything is computed on them.
     admitted = admit(corpus, max_bytes).repartitionByRange("path").sortWithinPartitions("path")
     files = with_terms(with_symbols(describe(admitted), extractor)).drop("lines")
-    out = {name: f"{target}/{name}" for name in ("files", "postings", "symbols", "identifiers", "refused", "snapshot")}
+    out = {name: f"{target}/{name}" for name in ("files", "refused", "snapshot")}
     files.write.mode("overwrite").parquet(out["files"])
     refused(corpus, max_bytes).write.mode("overwrite").parquet(out["refused"])
     # Later tables read the stored rows: the text is parsed once.
-    spark = corpus.sparkSession
+    snapshot_lanes(corpus.sparkSession.read.parquet(out["files"])).write.mode("overwrite").parquet(out["snapshot"])
+    return extend(corpus.sparkSession, out, target, tables)
+
+
+def extend(spark: SparkSession, out: dict[str, str], target: str, tables: Iterable[str]) -> dict[str, str]:
+    """``out`` of a build with those of the narrow ``tables`` that it lacks."""
     stored = spark.read.parquet(out["files"])
-    snapshot_lanes(stored).write.mode("overwrite").parquet(out["snapshot"])
-    tables = {
-        "postings": (unnest(stored, "indexed_terms", "term", "path"), ["term", "path"]),
-        "symbols": (symbol_rows(stored), ["name", "path"]),
-        "identifiers": (identifiers(stored), ["token", "path"]),
-    }
-    for name, (df, keys) in tables.items():
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(out[name])
+    rows = {"postings": lambda: unnest(stored, "indexed_terms", "term", "path"), "symbols": lambda: symbol_rows(stored), "identifiers": lambda: identifiers(stored)}
+    for name in tables:
+        if name not in out:
+            rows[name]().sortWithinPartitions(*NARROW[name]).write.mode("overwrite").parquet(f"{target}/{name}")
+            out = {**out, name: f"{target}/{name}"}
     return out
 
 

@@ -61,6 +61,31 @@ def test_many_paths_are_joined(both, spark, monkeypatch):
     assert rows(found) == rows(scanned.retrieve(REQUESTS[6:7]).results["op_1"])
 
 
+def test_many_paths_send_no_text(both, spark, monkeypatch):
+    from corposcope.operators import lookup
+
+    stored = Stored.open(spark, both[2])
+    asked = {
+        "terms": lambda: stored.with_terms("needle value"), "token": lambda: stored.with_token("shared_call", ["src"]), "name": lambda: stored.declaring("Box.open"),
+        "like": lambda: stored.symbols_like("HELPER_1", None, 9)}
+    few = {k: {r.path for r in f().select("path").collect()} for k, f in asked.items()}
+    monkeypatch.setattr(lookup, "MOST_PATHS", 0)
+    for k, f in asked.items():
+        many = f()
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert few[k] <= {r.path for r in many.select("path").collect()} and "Exchange" not in plan and "Join" not in plan, k
+        assert k == "like" or len(few[k]) == many.count()
+
+
+def test_tables_are_built_when_asked(spark, tmp_path, corpus):
+    out = index.build(corpus({"b.md": "Beta\n", "a.md": "Alpha Beta\nBeta\n"}), str(tmp_path / "ix"), tables=["symbols"])
+    assert set(out) == {"files", "refused", "snapshot", "symbols"}
+    assert [r.path for r in Stored.open(spark, out).first_declaring("Beta").collect()] == ["a.md"]
+    assert Stored.open(spark, out).first_declaring("Gamma").count() == 0
+    more = index.extend(spark, out, str(tmp_path / "ix"), index.NARROW)
+    assert set(more) == set(out) | {"postings", "identifiers"} and Stored.open(spark, more).with_token("Beta").count() == 2
+
+
 def test_refused_paths_have_a_reason(both, spark):
     scanned, stored, tables = both
     assert {(r.path, r.reason) for r in spark.read.parquet(tables["refused"]).collect()} == {
