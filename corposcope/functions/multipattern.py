@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import array
 import functools
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,11 +49,23 @@ def lines_with(content: str, patterns: tuple[str, ...], case_sensitive: bool) ->
 
 
 def line_hits(content: Column, patterns: list[str], case_sensitive: bool) -> Column:
-    """Array, by pattern, of arrays of line numbers; null content holds nothing."""
+    """Array, by pattern, of arrays of line numbers; null content holds nothing.
+
+    The texts of a batch are taken one by one and their line numbers kept in one buffer.
+    A test of the result would be pushed below it and compute it a second time,
+    which Spark does not do for an expression that is not called deterministic.
+    """
     given = tuple(patterns)
 
-    @F.pandas_udf("array<array<int>>")
-    def scan(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: lines_with(t, given, case_sensitive))
+    @F.arrow_udf("array<array<int>>")
+    def scan(texts: pa.Array) -> pa.Array:
+        numbers, ends = array.array("i"), array.array("i", [0])
+        for t in texts:
+            for lines in lines_with(t.as_py() or "", given, case_sensitive):
+                numbers.frombytes(lines.tobytes())
+                ends.append(len(numbers))
+        by_pattern = pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32)), pa.array(np.asarray(numbers, np.int32)))
+        rows = np.arange(len(texts) + 1, dtype=np.int32) * len(given)
+        return pa.ListArray.from_arrays(pa.array(rows), by_pattern)
 
-    return scan(content)
+    return scan.asNondeterministic()(content)

@@ -159,3 +159,11 @@ def test_line_rule(corpus, content):
     row = text.with_lines(corpus({"p": content})).select("lines", text.line_count("content").alias("n")).first()
     assert row.lines == reference_lines(content)
     assert row.n == max(1, len(reference_lines(content)))
+
+
+def test_many_patterns_scan_a_text_once(spark, corpus):
+    df = corpus([("a.txt", "one\r\ntwo one\n"), ("b.txt", None), ("c.txt", ""), ("d.txt", "TWO\n")])
+    found = search.search_many(df, ["two", "one", "absent"], context=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted((r.query, r.path, r.line, r.start_line, r.end_line) for r in found.collect()) == [("one", "a.txt", 1, 1, 2), ("two", "a.txt", 2, 2, 2), ("two", "d.txt", 1, 1, 1)]
